@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontam import op1_decontamination
+from .span_dedup import op9_substring_dedup
+from .suffix_dedup import op8_suffix_dedup
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op8_suffix_dedup, op9_substring_dedup)}
 
 WORDS = r"""
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -28,4 +30,16 @@ items AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS win FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+least AS (SELECT win, min(doc_id) AS first_doc FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (
+    SELECT DISTINCT doc_id, p FROM windows JOIN least USING (win), unnest(range(i, i + 50)) AS t(p) WHERE doc_id > first_doc),
+kept AS (
+    SELECT doc_id, count(*) FILTER (gone.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY t.p) FILTER (gone.p IS NULL) AS kept
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) AS t LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
