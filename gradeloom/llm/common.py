@@ -48,3 +48,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_on(df: DataFrame, side: DataFrame, key: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Inner join with a side of a few numbers a row: broadcast if its counted rows are at most broadcast_rows, else shuffled."""
+    return df.join(F.broadcast(side) if side.count() <= broadcast_rows else side, key)
+
+
+def letters(text: Column) -> Column:
+    """Whether the text has a letter; false for null."""
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
+def fetch(df: DataFrame):
+    """The rows on the driver, as pandas by Arrow; only for tables of a bounded size."""
+    return df.toArrow().to_pandas()

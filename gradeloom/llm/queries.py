@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontam import op1_decontamination
+from .langid import op2_language_id
 from .packing import op6_best_fit_packing
 from .span_dedup import op9_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
 from .token_store import op4_token_shards
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_shards, op6_best_fit_packing, op8_suffix_dedup, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_token_shards, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_substring_dedup)}
 
 WORDS = r"""
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
