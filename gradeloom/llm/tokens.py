@@ -1,26 +1,45 @@
 """Encoding of many texts by a public tokenizer file, with a bounded cache of words in each Python worker.
 
 The tokenizers of these files treat the pieces of a text that their patterns cut out one by one. Texts are cut at places
-where such a piece always ends, a blank before a word or the end of a word before its closing punctuation; each distinct
+where such a piece always ends, such as a blank before a word or a word's end before a sign; each distinct
 piece is encoded once by the library and its ids are put together again. Texts for which a cut could change the
 ids (special tokens written out, blanks outside ASCII) are given to the library whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
+BLANK = rb" \t\n\x0b\x0c\r"
 #: A blank belongs to the word after it, as in the byte-level pattern.
-SPACED = re.compile(rb" ?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
+SPACED = re.compile(rb" ?[^%s]+|[%s]+(?![^%s])|[%s]+" % (BLANK, BLANK, BLANK, BLANK))
+#: A word's end before signs, the apostrophe apart.
 CLOSING = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.S)
+ODD_BLANKS = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\0")
 WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+class Numbers(dict):
+    """Numbers the keys asked for; new keys are also listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
-    def __init__(self, path: str, keeps_blanks: bool, most_pieces: int = 500_000):
+    def __init__(self, path: str, keeps_blanks: bool, most_pieces: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all that it has
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -29,46 +48,70 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.flat, self.start, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         self.used = 0
 
-    def add(self, piece: bytes, ids) -> None:
-        n, size = len(self.number), len(ids)
-        if n == len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
-        while self.used + size > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + size] = ids
-        self.start[n], self.size[n] = self.used, size
-        self.used += size
-        self.number[piece] = n
-
-    def ids(self, piece: bytes) -> np.ndarray:
-        n = self.number[piece]
-        return self.flat[self.start[n] : self.start[n] + self.size[n]]
-
     def whole(self, raw: bytes) -> bool:
+        """Whether cutting the text could change its ids."""
         if any(s in raw for s in self.special):
             return True
         return self.keeps_blanks and any(b in raw for b in (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")) and bool(WIDE_BLANK.search(raw))
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Put the pieces into the cache."""
-        parts = {p: m.groups() for p in pieces if (m := CLOSING.fullmatch(p))}
-        todo = {x for p in pieces for x in parts.get(p, (p,)) if x not in self.number}
+    def cut(self, raw: bytes) -> list:
+        """Keys of the text's pieces: a piece with a blank before it stands without the blank, other pieces begin with a newline or a 0."""
         if not self.keeps_blanks:
-            low = {x: x.lower() for x in todo}
-            todo = {x for x in low.values() if x not in self.number}
-        todo = list(todo)
-        for x, e in zip(todo, self.tokenizer.encode_batch_fast([x.decode() for x in todo], add_special_tokens=False), strict=True):
-            self.add(x, e.ids)
-        for p in pieces:
-            if p not in self.number:
-                xs = parts.get(p, (p,))
-                if not self.keeps_blanks:
-                    xs = [x.lower() for x in xs]
-                self.add(p, np.concatenate([self.ids(x) for x in xs]))
+            return raw.lower().split()
+        if raw[:1].isspace() or raw[-1:].isspace() or any(x in raw for x in ODD_BLANKS):
+            return [p[1:] if p[:1] == b" " and len(p) > 1 and p[1:2] not in b" \0\n" else b"\0" + p for p in SPACED.findall(raw)]
+        parts = raw.replace(b"\n", b" \n").split(b" ")
+        parts[0] = b"\0" + parts[0]
+        return parts if raw else []
+
+    def text(self, key) -> str:
+        if isinstance(key, tuple):
+            return key[0].decode()
+        if not self.keeps_blanks:
+            return key.decode()
+        return (key[1:] if key[:1] == b"\0" else key if key[:1] == b"\n" else b" " + key).decode()
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered pieces one after another, and where each piece's end."""
+        size, done = self.size[at], np.cumsum(self.size[at])
+        total = int(done[-1]) if len(done) else 0
+        return self.flat[np.repeat(self.start[at] - (done - size), size) + np.arange(total)], done
+
+    def put(self, at: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[at], self.size[at] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+
+    def learn(self) -> None:
+        """Encode the pieces that are new."""
+        number, new, first = self.number, self.number.new, len(self.number) - len(self.number.new)
+        plain, joined = [], []
+        sign = b"\0" if self.keeps_blanks else b""
+        for i, key in enumerate(new):  # grows as parts are added
+            m = CLOSING.fullmatch(key) if not isinstance(key, tuple) else None
+            if m:
+                joined.append((first + i, number[m[1]], number[sign + m[2]]))
+            else:
+                plain.append(i)
+        if len(number) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(number)), np.resize(self.size, 2 * len(number))
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.text(new[i]) for i in plain], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.put(np.array(plain, np.int64) + first, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+        if joined:
+            at, head, tail = np.array(joined, np.int64).T
+            while len(at):  # parts that are joined themselves come first
+                ready = (head < first) | ~np.isin(head, at)
+                both, done = self.gather(np.stack((head[ready], tail[ready]), 1).reshape(-1))
+                self.put(at[ready], both, np.diff(done[1::2], prepend=0))
+                at, head, tail = at[~ready], head[~ready], tail[~ready]
+        number.new = []
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after another, and each text's number of ids."""
@@ -77,33 +120,14 @@ class Encoder:
         pieces, ends = [], []
         for raw in texts:
             if self.whole(raw):
-                pieces.append(None)
+                pieces.append((raw,))
             else:
-                pieces += SPACED.findall(raw) if self.keeps_blanks else raw.split()
+                pieces += self.cut(raw)
             ends.append(len(pieces))
-        get = self.number.get
-        at = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        whole = {}
-        if (missing := np.flatnonzero(at < 0)).size:
-            self.learn({pieces[i] for i in missing} - {None})
-            for i in missing:
-                if pieces[i] is None:
-                    text = int(np.searchsorted(ends, i, side="right"))
-                    whole[i] = np.array(self.tokenizer.encode(texts[text].decode(), add_special_tokens=False).ids, np.uint32)
-                    at[i] = 0
-                else:
-                    at[i] = self.number[pieces[i]]
-        size, start = self.size[at], self.start[at]
-        flat = self.flat
-        if whole:
-            base = self.used
-            flat = np.concatenate([flat[:base], *whole.values()])
-            for i, x in whole.items():
-                start[i], size[i] = base, len(x)
-                base += len(x)
-        done = np.cumsum(size)
-        total = int(done[-1]) if len(done) else 0
-        ids = flat[np.repeat(start - (done - size), size) + np.arange(total)]
+        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        if self.number.new:
+            self.learn()
+        ids, done = self.gather(at)
         return ids, np.diff(np.concatenate(([0], done))[np.array(ends, np.int64)] if ends else np.zeros(0, np.int64), prepend=0)
 
 
