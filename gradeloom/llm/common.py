@@ -63,3 +63,16 @@ def letters(text: Column) -> Column:
 def fetch(df: DataFrame):
     """The rows on the driver, as pandas by Arrow; only for tables of a bounded size."""
     return df.toArrow().to_pandas()
+
+
+BITS = 24
+
+
+def only_near(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys may be among wanted's: a bitmap of fixed size, 2^18 numbers whatever the tables' sizes, is
+    broadcast so that the other rows' texts need not be shuffled. A join still has to follow."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << BITS))
+    bits = wanted.select((place / 64).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(keys)}), {1 << BITS}) % 64 as int))").alias("b"))
+    bits = materialize(bits.groupBy("_word").agg(F.bit_or("b").alias("_bits")))
+    near = rows.withColumn("_word", (place / 64).cast("int")).join(F.broadcast(bits), "_word")
+    return near.filter(f"shiftright(_bits, cast(pmod(xxhash64({', '.join(keys)}), {1 << BITS}) % 64 as int)) & 1 = 1").drop("_word", "_bits")

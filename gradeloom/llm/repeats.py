@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, prepare
+from .common import as_bytes, materialize, only_near, prepare
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -159,38 +159,176 @@ def name_windows(symbols_of: Callable, size: int):
     return run
 
 
+def take_blocks(size: int):
+    """mapInPandas function: the bytes that the windows of each run cover."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for d, h, raw, todo, keys in zip(part["_d"], part["_h"], part["raw"], part["todo"], part["keys"], strict=True):
+                for x, key in zip(todo, keys, strict=True):
+                    start, n = int(x) >> 32, (int(x) >> 1) & 0x7FFFFFFF
+                    out.append((d, h, start, n, bool(x & 1), int(key), raw[start : start + n + size - 1]))
+            yield pd.DataFrame(out, columns=["_d", "_h", "start", "n", "own", "key", "block"])
+
+    return run
+
+
+def ranks(*columns: np.ndarray) -> np.ndarray:
+    """The rank of each row of the columns among the distinct rows."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        c = np.unique(c, return_inverse=True)[1]
+        out = np.unique(out * (c.max(initial=0) + 1) + c, return_inverse=True)[1]
+    return out
+
+
+def load8(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The next ``size`` (0 to 8) bytes from each place, as a big-endian number."""
+    out = np.zeros(len(at), U)
+    for i in range(8):
+        out = out << U(8) | np.where(i < size, text[np.minimum(at + i, len(text) - 1)], 0).astype(U)
+    return out
+
+
+STEP = 16
+
+
+def sort_suffixes(text: np.ndarray, bucket: np.ndarray, offset: np.ndarray, at: np.ndarray, covers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``at`` to a depth of ``size`` bytes, bucket by bucket, and which of them in that order equal the one before.
+
+    A suffix's bucket is its anchor's and its offset from the anchor. covers: the places of text at multiples of STEP from their
+    anchors, ascending. The ranks of these samples to the needed depth come first, by doubling; a suffix is then
+    its few bytes before the next sample, that sample's rank, and its few last bytes.
+    """
+    depth = (size - STEP) // STEP * STEP
+    rank = ranks(load8(text, covers, np.full(len(covers), 8)), load8(text, covers + 8, np.full(len(covers), 8)))
+    known, done = STEP, {STEP: rank}
+    while known * 2 <= depth:
+        rank = ranks(rank, after(covers, rank, known))
+        known *= 2
+        done[known] = rank
+    total, left = rank, depth - known
+    at_depth = known
+    for width in sorted(done, reverse=True):
+        if left >= width:
+            total = ranks(total, after(covers, done[width], at_depth))
+            at_depth, left = at_depth + width, left - width
+    i = np.searchsorted(covers, at)
+    head = covers[i] - at
+    tail_at, tail = covers[i] + depth, at + size - covers[i] - depth
+    keys = (bucket, offset, load8(text, at, np.minimum(head, 8)), load8(text, at + 8, np.clip(head - 8, 0, 8)), total[i])
+    keys += tuple(load8(text, tail_at + k, np.clip(tail - k, 0, 8)) for k in range(0, 2 * STEP, 8))
+    order = np.lexsort(keys[::-1])
+    same = np.ones(len(at), bool)
+    same[:1] = False
+    for k in keys:
+        k = k[order]
+        same[1:] &= k[1:] == k[:-1]
+    return order, same
+
+
+def after(covers: np.ndarray, rank: np.ndarray, step: int) -> np.ndarray:
+    """The rank of the sample that stands ``step`` further on, or -1."""
+    i = np.searchsorted(covers, covers + step)
+    i[i == len(covers)] = 0
+    return np.where(covers[i] == covers + step, rank[i], -1)
+
+
+def sort_buckets(size: int, seed: int, most_bytes: int = 1 << 21):
+    """mapInPandas function over blocks that are sorted by bucket: the spans of repeated windows."""
+
+    def solve(rows: list[tuple]) -> pd.DataFrame:
+        blocks = [r[6] for r in rows]
+        n = np.array([r[3] for r in rows], np.int64)
+        lens = np.array([len(b) for b in blocks], np.int64)
+        base = np.cumsum(lens) - lens
+        text = np.frombuffer(b"".join(blocks), np.uint8)
+        # where the anchor stands: all windows of a block hold it, so it is the least seed of the block's first window
+        bucket, anchor = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        span = size - seed + 1
+        seeds = Hashes(BYTE_VALUES[text]).all(seed)
+        which = {}
+        for j, r in enumerate(rows):
+            bucket[j] = which.setdefault(r[5], len(which))
+            v = seeds[base[j] : base[j] + span] >> PLACE_BITS
+            anchor[j] = int(np.argmin(v))
+        row = np.repeat(np.arange(len(rows)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + base[row]
+        place = np.arange(len(text)) - np.repeat(base + anchor, lens)
+        covers = np.flatnonzero(place % STEP == 0)
+        order, same = sort_suffixes(text, bucket[row], base[row] + anchor[row] - at, at, covers, size)
+        hit = np.zeros(len(at), bool)
+        hit[order] = same | np.append(same[1:], False)
+        own = np.array([r[4] for r in rows])
+        hit &= own[row]
+        first = hit & ~(np.append(False, hit[:-1]) & np.append(False, row[1:] == row[:-1]))
+        last = hit & ~(np.append(hit[1:], False) & np.append(row[1:] == row[:-1], False))
+        a, b = np.flatnonzero(first), np.flatnonzero(last)
+        start = np.array([r[2] for r in rows], np.int64)
+        lo = start[row[a]] + at[a] - base[row[a]]
+        return pd.DataFrame({"_d": [rows[j][0] for j in row[a]], "_h": [rows[j][1] for j in row[a]], "lo": lo.astype(np.int32), "hi": (lo + (b - a) + size).astype(np.int32)})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for part in parts:
+            for r in part[["_d", "_h", "start", "n", "own", "key", "block"]].itertuples(index=False, name=None):
+                if held > most_bytes and r[5] != rows[-1][5]:
+                    yield solve(rows)
+                    rows, held = [], 0
+                rows.append(r)
+                held += len(r[6])
+        if rows:
+            yield solve(rows)
+
+    return run
+
+
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_d: the id (the least number for null); _h tells rows of equal ids apart; raw: the bytes."""
     raw = as_bytes(F.col(text_col))
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), F.hash(raw).alias("_h"), raw.alias("raw"))
 
 
-def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int, first_stays: bool) -> DataFrame:
+def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int, first_stays: bool, sort_up_to: int = 0) -> DataFrame:
     """_d, _h and the arrays lo and hi: where spans that repeated windows cover begin and end, for the rows that have any.
 
     first_stays False: a window is repeated if it starts at any other place too. True: if it also starts in a row
-    with a smaller _d.
+    with a smaller _d. Anchors with at most ``sort_up_to`` different blocks (bytes only) are resolved by sorting these blocks'
+    suffixes in one task, bucket by bucket; larger ones by counting names of windows, which has no group to gather.
     """
     prepare(rows.sparkSession)
     texts = rows.select("_d", "_h", "raw").filter(F.length("raw") >= size)
     runs = materialize(texts.mapInPandas(find_runs(symbols_of, size, seed), ROW + ", start int, n int, key long, block long"))
-    shared = runs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    shared = materialize(runs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))  # written, so that the joins' sides are plain shuffles, which can be split
     runs = materialize(runs.join(shared, "key"))
     place = F.struct("_d", "_h", "start")
-    classes = runs.groupBy("key", "block").agg(F.count("*").alias("c"), F.min(place).alias("rep"))
-    mixed = classes.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1").select("key", F.lit(True).alias("mixed"))
-    classes = materialize(classes.join(mixed, "key", "left").filter("c > 1 or mixed").select("key", "block", "c", "rep", F.coalesce("mixed", F.lit(False)).alias("mixed")))
+    classes = materialize(runs.groupBy("key", "block").agg(F.count("*").alias("c"), F.min(place).alias("rep")))
+    mixed = materialize(classes.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"))
+    classes = materialize(classes.join(mixed, "key", "left").filter("c > 1 or classes > 1").select("key", "block", "c", "rep", F.coalesce("classes", F.lit(1)).alias("classes")))
     known = runs.join(classes, ["key", "block"])
     if first_stays:
-        whole, todo = F.col("_d") > F.col("rep._d"), F.col("mixed") & (F.col("_d") == F.col("rep._d"))
+        whole, todo = F.col("_d") > F.col("rep._d"), (F.col("classes") > 1) & (F.col("_d") == F.col("rep._d"))
         own: Column = F.lit(True)
     else:
-        whole, todo = F.col("c") > 1, F.col("mixed") & (place == F.col("rep"))
+        whole, todo = F.col("c") > 1, (F.col("classes") > 1) & (place == F.col("rep"))
         own = F.col("c") == 1
-    known = known.select("_d", "_h", "start", "n", whole.alias("whole"), todo.alias("todo"), own.alias("own"))
+    known = materialize(known.select("_d", "_h", "start", "n", "key", "classes", whole.alias("whole"), todo.alias("todo"), own.alias("own")).filter("whole or todo"))
     marks = known.filter("whole").select("_d", "_h", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (size - 1)).alias("hi"))
-    todo = known.filter("todo").groupBy("_d", "_h").agg(F.collect_list(F.expr("cast(start as long) * 4294967296 + n * 2 + cast(own as int)")).alias("todo"))
-    named = texts.join(todo.hint("shuffle_hash"), ["_d", "_h"])
+    todo = known.filter("todo")
+    packed = F.expr("cast(start as long) * 4294967296 + n * 2 + cast(own as int)")
+
+    if sort_up_to:
+        few = todo.filter(F.col("classes") <= sort_up_to)
+        todo = todo.filter(F.col("classes") > sort_up_to)
+        pairs = few.groupBy("_d", "_h").agg(F.collect_list(F.struct(packed.alias("todo"), F.col("key"))).alias("pairs"))
+        pairs = pairs.select("_d", "_h", F.col("pairs.todo").alias("todo"), F.col("pairs.key").alias("keys"))
+        blocks = only_near(texts, few, "_d", "_h").join(pairs.hint("shuffle_hash"), ["_d", "_h"])
+        blocks = blocks.mapInPandas(take_blocks(size), ROW + ", start int, n int, own boolean, key long, block binary")
+        spans = blocks.repartition("key").sortWithinPartitions("key").mapInPandas(sort_buckets(size, seed), ROW + ", lo int, hi int")
+        marks = marks.unionByName(spans)
+
+    named = only_near(texts, todo, "_d", "_h").join(todo.groupBy("_d", "_h").agg(F.collect_list(packed).alias("todo")).hint("shuffle_hash"), ["_d", "_h"])
     windows = materialize(named.mapInPandas(name_windows(symbols_of, size), ROW + ", start int, own boolean, window long"))
     names = windows.groupBy("window")
     if first_stays:
@@ -203,6 +341,12 @@ def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int,
     return marks.groupBy("_d", "_h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
 
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows with lo and hi, null where there are none."""
+    spans = materialize(spans)
+    return rows.join(spans.hint("shuffle_hash"), ["_d", "_h"], "left")
+
+
 def covered(n: int, lo, hi) -> np.ndarray:
     """Which of n symbols lie in a span."""
     change = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .repeats import covered, repeated_spans, with_keys, word_symbols
+from .repeats import covered, repeated_spans, with_keys, with_spans, word_symbols
 
 
 def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +41,7 @@ def remove_copied_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     rows = with_keys(docs, id_col, text_col)
     spans = repeated_spans(rows, word_symbols, size, seed, first_stays=True)
-    joined = rows.join(spans.hint("shuffle_hash"), ["_d", "_h"], "left")
+    joined = with_spans(rows, spans)
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.select("_id", "raw", "lo", "hi").mapInPandas(cut, f"_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("_id", id_col)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .repeats import byte_symbols, covered, repeated_spans, with_keys
+from .repeats import byte_symbols, covered, repeated_spans, with_keys, with_spans
 
 
 def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +33,7 @@ def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_id": part["_id"], "_d": part["_d"], "_h": part["_h"], "n_bytes": n, "n_removed": removed, "n_spans": spans, "kept_sha256": digest, "kept": kept})
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, seed: int = 128) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, seed: int = 128, sort_up_to: int = 2000) -> DataFrame:
     """One row for each row of ``docs``: id_col, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
     A byte goes if a ``size``-byte string over it also starts anywhere else, in the same document or another. Null counts as
@@ -41,8 +41,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     columns are ignored.
     """
     rows = with_keys(docs, id_col, text_col)
-    spans = repeated_spans(rows, byte_symbols, size, seed, first_stays=False)
-    joined = rows.join(spans.hint("shuffle_hash"), ["_d", "_h"], "left")
+    spans = repeated_spans(rows, byte_symbols, size, seed, first_stays=False, sort_up_to=sort_up_to)
+    joined = with_spans(rows, spans)
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.select("_id", "_d", "_h", "raw", "lo", "hi").mapInPandas(cut, f"_id {kind}, _d long, _h int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.drop("_d", "_h").withColumnRenamed("_id", id_col)

@@ -56,7 +56,7 @@ def frame(spark, docs):
 def test_bytes(spark):
     for seed in (1, 2):
         docs = corpus(seed)
-        got = remove_repeats(frame(spark, docs), size=50, seed=17).drop("kept").collect()
+        got = remove_repeats(frame(spark, docs), size=50, seed=17, sort_up_to={1: 2000, 2: 3}[seed]).drop("kept").collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_bytes(docs, 50)))
 
 
