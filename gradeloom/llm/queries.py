@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import op1_decontamination
 from .html_text import op5_html_extraction
 from .langid import op2_language_id
+from .near_dups import op10_near_duplicates
 from .packing import op6_best_fit_packing
 from .sketch import op3_fingerprints
 from .span_dedup import op9_substring_dedup
@@ -12,7 +13,7 @@ from .suffix_dedup import op8_suffix_dedup
 from .token_store import op4_token_shards
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_fingerprints, op4_token_shards, op5_html_extraction, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_fingerprints, op4_token_shards, op5_html_extraction, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_substring_dedup, op10_near_duplicates)}
 
 WORDS = r"""
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
