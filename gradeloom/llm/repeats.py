@@ -284,10 +284,10 @@ def sort_buckets(size: int, seed: int, most_bytes: int = 1 << 21):
     return run
 
 
-def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_d: the id (the least number for null); _h tells rows of equal ids apart; raw: the bytes."""
+def with_keys(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_d: the id (the least number for null); _h tells rows of equal ids apart; raw: the bytes; _k0 ...: the columns to keep."""
     raw = as_bytes(F.col(text_col))
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), F.hash(raw).alias("_h"), raw.alias("raw"))
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), F.hash(raw).alias("_h"), raw.alias("raw"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
 
 
 def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int, first_stays: bool, sort_up_to: int = 0) -> DataFrame:

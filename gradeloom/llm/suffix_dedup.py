@@ -17,36 +17,46 @@ from .common import table
 from .repeats import byte_symbols, covered, repeated_spans, with_keys, with_spans
 
 
-def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        n, removed, spans, digest, kept = [], [], [], [], []
-        for raw, lo, hi in zip(part["raw"], part["lo"], part["hi"], strict=True):
-            n.append(len(raw))
-            if lo is None or not len(lo):
-                removed.append(0), spans.append(0), kept.append(raw)
-            else:
-                gone = covered(len(raw), lo, hi)
-                removed.append(int(gone.sum()))
-                spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-            digest.append(hashlib.sha256(kept[-1]).hexdigest())
-        yield pd.DataFrame({"_id": part["_id"], "_d": part["_d"], "_h": part["_h"], "n_bytes": n, "n_removed": removed, "n_spans": spans, "kept_sha256": digest, "kept": kept})
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, seed: int = 128, sort_up_to: int = 2000) -> DataFrame:
-    """One row for each row of ``docs``: id_col, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
+def cut(texts: bool):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n, removed, spans, digest, kept = [], [], [], [], []
+            for raw, lo, hi in zip(part.pop("raw"), part.pop("lo"), part.pop("hi"), strict=True):
+                n.append(len(raw))
+                if lo is None or not len(lo):
+                    removed.append(0), spans.append(0)
+                else:
+                    gone = covered(len(raw), lo, hi)
+                    removed.append(int(gone.sum()))
+                    spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
+                    raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                digest.append(hashlib.sha256(raw).hexdigest())
+                if texts:
+                    kept.append(raw.decode(errors="ignore"))
+            part["n_bytes"], part["n_removed"], part["n_spans"], part["kept_sha256"] = n, removed, spans, digest
+            if texts:
+                part["kept"] = kept
+            yield part
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, seed: int = 128, sort_up_to: int = 2000, keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
+    """One row for each row of ``docs``: id_col, the columns in ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay) and, with
+    ``texts``, kept: these bytes as text, without those of letters that were cut apart.
 
     A byte goes if a ``size``-byte string over it also starts anywhere else, in the same document or another. Null counts as
     empty; rows of equal id and text are documents of their own (so copies of each other); an empty table gives none; other
     columns are ignored.
     """
-    rows = with_keys(docs, id_col, text_col)
+    rows = with_keys(docs, id_col, text_col, keep)
     spans = repeated_spans(rows, byte_symbols, size, seed, first_stays=False, sort_up_to=sort_up_to)
-    joined = with_spans(rows, spans)
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.select("_id", "_d", "_h", "raw", "lo", "hi").mapInPandas(cut, f"_id {kind}, _d long, _h int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.drop("_d", "_h").withColumnRenamed("_id", id_col)
+    extra = [f"_k{i}" for i in range(len(keep))]
+    joined = with_spans(rows, spans).select("_id", *extra, "raw", "lo", "hi")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in joined.schema[: 1 + len(keep)])
+    out = joined.mapInPandas(cut(texts), schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
+    return out.withColumnsRenamed({"_id": id_col} | dict(zip(extra, keep, strict=True)))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False)

@@ -67,5 +67,14 @@ def test_words(spark):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_words(docs, 12)))
 
 
+def test_texts_and_kept_columns(spark):
+    a, b = (" ".join(str(i) for i in range(lo, lo + 9)) for lo in (100, 200))
+    docs = [(1, a + "é" * 40), (2, "é" * 40 + b), (3, None)]
+    got = {r["doc_id"]: (r["kept"], r["lo"], r["n"]) for r in remove_repeats(frame(spark, docs), size=20, seed=5, keep=("lo", "n")).collect()}
+    assert got == {1: (a, 1, 2), 2: (b, 1, 2), 3: ("", 1, 2)}
+    got = {r["doc_id"]: r["kept"] for r in remove_copied_passages(frame(spark, [(1, "a b c d e"), (2, "x b c d  e")]), size=3, seed=2).collect()}
+    assert got == {1: "a b c d e", 2: "x"}
+
+
 def test_empty(spark):
     assert remove_repeats(frame(spark, [])).count() == 0 and remove_copied_passages(frame(spark, [])).count() == 0
