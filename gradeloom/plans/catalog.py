@@ -1,4 +1,4 @@
 """Registry of the queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import metric_queries  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
