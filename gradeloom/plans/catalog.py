@@ -1,4 +1,4 @@
 """Registry of the queries and their SQL."""
 
-from . import metric_queries, table_queries  # noqa: F401
+from . import array_queries, metric_queries, table_queries, window_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
