@@ -47,3 +47,8 @@ def ranked(df: DataFrame, keys: list[str], value: str, **grid) -> DataFrame:
     total = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     rank = (F.col("n_below") + (F.col("n") + 1) / 2).alias("avg_rank")
     return kept.join(steps, [*keys, value]).join(total, keys).select(*kept.columns, rank, (rank / F.col("_total")).alias("pct_rank"))
+
+
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Correlation as an aggregate; null where a side is constant (the built-in one raises an error there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import auc, balanced_accuracy, bootstrap, hanley_se, macro, replicate_weight, wilson
-from ..functions.ranks import avg_rank, pct_rank, ranked
+from ..functions.ranks import corr, ranked
 from ..sources.tables import table, to_long
 from .base import AUCS, GOLD, RANKED, SCORED, gold, query, scored
 
@@ -147,7 +147,7 @@ SELECT label, round(corr(a, b), 6) AS ab, round(corr(a, c), 6) AS ac, round(corr
 )
 def met11(spark, d):
     w = ranked(scored(spark, d), ["arm", "label"], "p").groupBy("label", "doc_id").pivot("arm", ["a", "b", "c"]).agg(F.first("avg_rank"))
-    return w.groupBy("label").agg(*[r6(F.corr(x, y)).alias(x + y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
+    return w.groupBy("label").agg(*[r6(corr(x, y)).alias(x + y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
 
 
 @query(
@@ -157,7 +157,7 @@ SELECT arm_1, arm_2, round(avg(abs(r)), 6) AS mean_abs_r FROM c GROUP BY ALL""",
 )
 def met12(spark, d):
     w = scored(spark, d).groupBy("label", "doc_id").pivot("arm", ["a", "b", "c"]).agg(F.first("p"))
-    pairs = F.array(*[F.struct(F.lit(x).alias("arm_1"), F.lit(y).alias("arm_2"), F.corr(x, y).alias("r")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
+    pairs = F.array(*[F.struct(F.lit(x).alias("arm_1"), F.lit(y).alias("arm_2"), corr(x, y).alias("r")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
     return w.groupBy("label").agg(pairs.alias("x")).select(F.inline("x")).groupBy("arm_1", "arm_2").agg(r6(F.avg(F.abs("r"))).alias("mean_abs_r"))
 
 
@@ -220,7 +220,7 @@ def wide(spark, d):
 )
 def met17(spark, d):
     ab, ac = F.col("a") - F.col("b"), F.col("a") - F.col("c")
-    return wide(spark, d).groupBy("label").agg(r6(F.avg(F.abs(ab))).alias("mean_delta"), r6(F.corr(ab, ac)).alias("delta_corr"), r6(F.avg(F.abs(ab)) / F.avg(F.abs(ac))).alias("ratio"))
+    return wide(spark, d).groupBy("label").agg(r6(F.avg(F.abs(ab))).alias("mean_delta"), r6(corr(ab, ac)).alias("delta_corr"), r6(F.avg(F.abs(ab)) / F.avg(F.abs(ac))).alias("ratio"))
 
 
 @query(
@@ -275,7 +275,7 @@ def errors(rows, threshold=0.5):
 def met22(spark, d):
     delta = lambda x, y: F.avg(F.abs(F.col(x) - F.col(y)))
     ratio = delta("a", "b") / ((delta("a", "c") + delta("b", "c")) / 2)
-    return wide(spark, d).groupBy("label").agg(r6(ratio).alias("ratio"), r6(F.corr("a", "b")).alias("r"), F.when(ratio < 0.1, "neutral").when(ratio < 1, "small").otherwise("large").alias("verdict"))
+    return wide(spark, d).groupBy("label").agg(r6(ratio).alias("ratio"), r6(corr("a", "b")).alias("r"), F.when(ratio < 0.1, "neutral").when(ratio < 1, "small").otherwise("large").alias("verdict"))
 
 
 @query(

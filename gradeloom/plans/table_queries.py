@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import corr
 from ..sources.tables import table, to_long
 from .base import GOLD, SCORED, documents, gold, query, scored
 from .metric_queries import errors, r6
@@ -272,7 +273,7 @@ def agg8(spark, d):
 
 @query("agg9_label_correlation", "SELECT round(corr(quality, toxic), 6) AS phi FROM labels")
 def agg9(spark, d):
-    return table(spark, d, "labels").agg(r6(F.corr("quality", "toxic")).alias("phi"))
+    return table(spark, d, "labels").agg(r6(corr("quality", "toxic")).alias("phi"))
 
 
 @query("agg12_mode", "SELECT l_suppkey, l_returnflag AS top FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag) = 1")
