@@ -34,7 +34,7 @@ def fingerprint(df: DataFrame, key: str, categories: list[str], number: str) ->
     """key and its fingerprint: the modes (least of ties) of the categories and the rounded median of a number, nulls written as NA."""
     modes = [F.mode(c, True).alias(f"_{c}") for c in categories]
     g = df.groupBy(key).agg(*modes, F.bround(F.median(number), 3).alias("_n"))
-    parts = [F.coalesce(F.col(f"_{c}").cast("string"), F.lit("NA")) for c in categories] + [F.coalesce(F.format_string("%.3f", "_n"), F.lit("NA"))]
+    parts = [F.coalesce(F.col(f"_{c}").cast("string"), F.lit("NA")) for c in categories] + [F.when(F.col("_n").isNull(), "NA").otherwise(F.format_string("%.3f", "_n"))]
     return g.select(key, F.concat_ws("|", *parts).alias("fingerprint"))
 
 
