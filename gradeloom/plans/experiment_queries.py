@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import auc, macro
+from ..functions.metrics import auc, bootstrap, macro
 from ..functions.ranks import ranked
 from ..operators.folds import assign_folds, fold_report
 from ..sources.tables import table
 from .base import AUCS, GOLD, RANKED, SCORED, gold, query, scored
-from .metric_queries import HANLEY, loo_logloss, r6
+from .metric_queries import HANLEY, boot_sql, loo_logloss, r6
 
 #: one row a labelled document with a fold by source number
 FOLDS = "f AS (SELECT doc_id, source, lang, quality, toxic, CAST(substr(source, 4) AS BIGINT) % 5 AS fold FROM documents JOIN labels USING (doc_id))"
@@ -343,3 +343,75 @@ def ens13(spark, d):
     j = a.join(F.broadcast(b), F.col("arm_1") < F.col("arm_2"))  # a row a source
     return j.select("arm_1", "arm_2", F.when(F.abs(F.col("m1") - F.col("m2")) <= 0.02, "tie").when(F.col("m1") > F.col("m2"), "first").otherwise("second").alias("verdict"))
 
+
+
+MEMBERS = "mem AS (SELECT doc_id, label, y, p, CASE arm WHEN 'a' THEN 0 WHEN 'b' THEN 1 ELSE 2 END AS member FROM scored)"
+
+
+def members(spark, d) -> DataFrame:
+    """Scores by member number; member doc_id % 3 is the one that did not see the document."""
+    return scored(spark, d).withColumn("member", F.when(F.col("arm") == "a", 0).when(F.col("arm") == "b", 1).otherwise(2))
+
+
+@query("fold6_held_out_member", f"WITH {SCORED}, {MEMBERS} SELECT doc_id, label, round(avg(p), 9) AS p FROM mem WHERE member = doc_id % 3 GROUP BY ALL")
+def fold6(spark, d):
+    return members(spark, d).filter(F.col("member") == F.col("doc_id") % 3).groupBy("doc_id", "label").agg(F.round(F.avg("p"), 9).alias("p"))
+
+
+@query(
+    "met20_inflation",
+    f"""WITH {SCORED}, {MEMBERS}, v AS (SELECT 'all' AS kind, doc_id, label, any_value(y) AS y, round(avg(p), 9) AS p FROM mem GROUP BY doc_id, label UNION ALL SELECT 'held', doc_id, label, any_value(y), round(avg(p), 9) FROM mem WHERE member = doc_id % 3 GROUP BY doc_id, label),
+r AS (SELECT *, rank() OVER (PARTITION BY kind, label ORDER BY p) + (count(*) OVER (PARTITION BY kind, label, p) - 1) / 2.0::DOUBLE AS ar FROM v),
+a AS (SELECT kind, label, (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc FROM r GROUP BY ALL)
+SELECT round(avg(auc) FILTER (kind = 'all') - avg(auc) FILTER (kind = 'held'), 6) AS inflation FROM a""",
+)
+def met20(spark, d):
+    """Macro AUC of the mean over all members less that of the members that did not see the document."""
+    m = members(spark, d)
+    mean = lambda rows, kind: rows.groupBy("doc_id", "label", "y").agg(F.round(F.avg("p"), 9).alias("p")).withColumn("kind", F.lit(kind))
+    a = auc(mean(m, "all").unionByName(mean(m.filter(F.col("member") == F.col("doc_id") % 3), "held")), ["kind", "label"])
+    side = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("auc")))
+    return a.agg(r6(side("all") - side("held")).alias("inflation"))
+
+
+SITE = "CAST(substr(source, 4) AS BIGINT) % 5"
+
+
+@query(
+    "ens8_fold_schemes",
+    f"""WITH {sweep_sql(FINE).replace("fams AS (SELECT f1.doc_id", "fams0 AS (SELECT f1.doc_id").replace(", wts AS", f", sited AS (SELECT fams0.*, {SITE} AS site, CAST(substr(source, 4) AS BIGINT) % 2 AS parity FROM fams0 JOIN documents USING (doc_id)), fams AS (SELECT 'random' AS scheme, * FROM sited WHERE site <> 4 AND doc_id % 2 = 0 UNION ALL SELECT 'site', * FROM sited WHERE site <> 4 AND parity = 0), wts AS", 1).replace("mix AS (SELECT w, label, y,", "mix AS (SELECT w, scheme, label, y,").replace("PARTITION BY w, label", "PARTITION BY w, scheme, label").replace("ma AS (SELECT w, label,", "ma AS (SELECT w, scheme, label,")},
+pick AS (SELECT scheme, label, w FROM ma QUALIFY row_number() OVER (PARTITION BY scheme, label ORDER BY auc DESC, w) = 1),
+hp AS (SELECT scheme, label, y, round((1 - w) * r1 + w * r2, 9) AS p FROM sited JOIN pick USING (label) WHERE site = 4),
+hr AS (SELECT *, rank() OVER (PARTITION BY scheme, label ORDER BY p) + (count(*) OVER (PARTITION BY scheme, label, p) - 1) / 2.0::DOUBLE AS ar FROM hp),
+ha AS (SELECT scheme, label, (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc FROM hr GROUP BY ALL)
+SELECT scheme, round(avg(auc), 6) AS macro_auc FROM ha GROUP BY scheme""",
+)
+def ens8(spark, d):
+    """Weights picked on random rows or on whole sites, both scored on the sites held out from either."""
+    number = F.substring("source", 4, 9).cast("long")
+    rows = families(spark, d).join(table(spark, d, "documents", "doc_id", "source"), "doc_id").withColumns({"site": number % 5, "parity": number % 2})
+    dev = rows.filter("site <> 4")
+    picked = pick_weights(dev.filter("doc_id % 2 = 0").withColumn("scheme", F.lit("random")).unionByName(dev.filter("parity = 0").withColumn("scheme", F.lit("site"))), ("scheme", "label"))
+    held = rows.filter("site = 4").join(F.broadcast(picked.select("scheme", "label", "w")), "label")
+    held = held.withColumn("p", F.round((1 - F.col("w")) * F.col("r1") + F.col("w") * F.col("r2"), 9))
+    m = macro(auc(held, ["scheme", "label"]), ["scheme"])
+    return m.select("scheme", r6("macro_auc").alias("macro_auc"))
+
+
+def noise_sql(name: str, where: str) -> str:
+    cte = boot_sql(20).split("cells AS", 1)[1].replace("WHERE w > 0", f"WHERE w > 0 {where}")
+    for x in ("cells", "steps", "boot", "macros"):
+        cte = cte.replace(f"FROM {x}", f"FROM {x}_{name}").replace(f"{x} AS (", f"{x}_{name} AS (")
+    return f"cells_{name} AS" + cte
+
+
+@query(
+    "ens14_instruments",
+    f"WITH {boot_sql(20).split('cells AS', 1)[0]}{noise_sql('few', 'AND doc_id % 5 = 0')}, {noise_sql('all', '')}, s AS (SELECT arm, stddev_pop(macro_auc) AS sd FROM macros_few GROUP BY arm), z AS (SELECT arm, stddev_pop(macro_auc) AS sd FROM macros_all GROUP BY arm) SELECT arm, round(s.sd / z.sd, 4) AS ratio FROM s JOIN z USING (arm)",
+)
+def ens14(spark, d):
+    """How much noisier a fifth of the documents is than all of them, as a ratio of bootstrap deviations."""
+    rows = scored(spark, d)
+    sd = lambda df, name: macro(bootstrap(df, ["arm", "label"], "doc_id", 20), ["arm", "rep"]).groupBy("arm").agg(F.stddev_pop("macro_auc").alias(name))
+    j = sd(rows.filter("doc_id % 5 = 0"), "few").join(sd(rows, "all_"), "arm")
+    return j.select("arm", F.round(F.try_divide("few", "all_"), 4).alias("ratio"))

@@ -291,3 +291,29 @@ def agg10(spark, d):
 @query("agg11_positive_by_language", f"WITH {FOUND} SELECT lang, round(avg((state = 'pos')::INTEGER) FILTER (label = 'one'), 6) AS one, round(avg((state = 'pos')::INTEGER) FILTER (label = 'two'), 6) AS two FROM states GROUP BY lang")
 def agg11(spark, d):
     return states(spark, d).groupBy("lang").pivot("label", list(SPEC)).agg(r6(F.avg((F.col("state") == "pos").cast("double"))))
+
+
+def sql_gap(a: str, b: str) -> str:
+    one = lambda s: OCC.format(n=len(s), s=s)
+    return f"list_min(list_transform({one(a)}, lambda a: list_min(list_transform({one(b)}, lambda b: greatest(0, greatest(a, b) - least(a + {len(a)}, b + {len(b)}))))))"
+
+
+@query("txt12_derived_key", f"WITH {CL}, g AS (SELECT doc_id, pos, {sql_gap('the', 'ing')} AS gap FROM clauses WHERE contains(clause, 'the') AND contains(clause, 'ing')) SELECT doc_id, pos FROM g WHERE gap <= 5")
+def txt12(spark, d):
+    """A key of its own where a side word stands near a structure."""
+    c = clauses(spark, d).filter(F.col("clause").contains("the") & F.col("clause").contains("ing"))
+    return c.filter(t.distance(t.spans(F.col("clause"), ["the"]), t.spans(F.col("clause"), ["ing"])) <= 5).select("doc_id", "pos")
+
+
+@query(
+    "txt17_contrary_side",
+    f"""WITH {CL}, g AS (SELECT doc_id, pos, contains(clause, 'of the') AS phrase, {sql_gap('ing', 'the')} AS near, {sql_gap('ing', 'and')} AS contrary FROM clauses WHERE contains(clause, 'ing') OR contains(clause, 'of the'))
+SELECT doc_id, pos, phrase FROM g WHERE phrase OR (near <= 55 AND near < coalesce(contrary, 1000000))""",
+)
+def txt17(spark, d):
+    """A phrase matches at once; else a stem with its side near it, unless the contrary side is as near."""
+    c = F.col("clause")
+    rows = clauses(spark, d).filter(c.contains("ing") | c.contains("of the"))
+    gap = lambda side: t.distance(t.spans(c, ["ing"]), t.spans(c, [side]))
+    rows = rows.select("doc_id", "pos", c.contains("of the").alias("phrase"), gap("the").alias("near"), gap("and").alias("contrary"))
+    return rows.filter("phrase or (near <= 55 and near < coalesce(contrary, 1000000))").select("doc_id", "pos", "phrase")
