@@ -29,11 +29,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, its lineage ends there, and it survives
-    the loss of executors."""
+    the loss of executors. narrow: a table of a few numbers a row after a shuffle, written in at most two files a core rather
+    than one for each shuffle partition."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +74,6 @@ def only_near(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     broadcast so that the other rows' texts need not be shuffled. A join still has to follow."""
     place = F.pmod(F.xxhash64(*keys), F.lit(1 << BITS))
     bits = wanted.select((place / 64).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(keys)}), {1 << BITS}) % 64 as int))").alias("b"))
-    bits = materialize(bits.groupBy("_word").agg(F.bit_or("b").alias("_bits")))
+    bits = materialize(bits.groupBy("_word").agg(F.bit_or("b").alias("_bits")), narrow=True)
     near = rows.withColumn("_word", (place / 64).cast("int")).join(F.broadcast(bits), "_word")
     return near.filter(f"shiftright(_bits, cast(pmod(xxhash64({', '.join(keys)}), {1 << BITS}) % 64 as int)) & 1 = 1").drop("_word", "_bits")

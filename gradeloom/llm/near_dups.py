@@ -7,8 +7,8 @@ the lowest rank. About k ln k + 2k darts fill the signature whatever the number
 total weight (and further out where a coordinate stays empty).
 
 Signatures are joined band by band. Texts that share a band are not paired with each other: each is compared with the band's first text, by
-exact resemblance, and links are joined to classes. Bands that then still hold several classes are resolved exactly: block by block, the
-signatures of all texts of different classes are compared, and pairs that may be alike are verified exactly as well.
+exact resemblance, and links are joined to classes. Texts of bands that then still hold several classes are compared across these classes, block
+by block: by signature first, and pairs that may be alike exactly as well.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ WIDTH = 5
 K, BAND = 128, 4
 #: Pairs whose signatures agree less than this much are not verified: over 5 standard errors below 0.8.
 ESTIMATE = 0.6
-#: Texts of a band that are compared in one task at a time.
-BLOCK = 256
+#: Texts that one task compares with each other, or with one other text, at a time.
+BLOCK = 512
 
 
 def elements(raw: bytes, width: int = WIDTH) -> np.ndarray:
@@ -102,80 +102,101 @@ def alike(least: float):
                 if first:
                     at, lead = (a, salt), elements(raw)
                 elif at == (a, salt):
-                    other = elements(raw)
-                    both = len(np.intersect1d(lead, other, assume_unique=True))
-                    if both >= least * (len(lead) + len(other) - both) - 1e-9:
+                    if alike_enough(lead, elements(raw), least):
                         out.append((a, b))
             yield pd.DataFrame(out, columns=["_a", "_b"], dtype=np.int64)
 
     return run
 
 
-def compare_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over rows sorted by (band, i, j): pairs of block i and block j of a band whose classes differ and whose signatures agree enough."""
-    at, held = None, []
+def alike_enough(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
 
-    def close():
-        t, cls, side = (np.array([r[n] for r in held]) for n in (0, 1, 2))
-        s = np.stack([np.frombuffer(r[3], "<u2") for r in held])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right if len(right) else left
-        pairs = []
-        for i in left:
-            js = right[(cls[right] != cls[i]) & ((s[right] == s[i]).mean(1) >= ESTIMATE)]
-            pairs += [(min(t[i], t[j]), max(t[i], t[j])) for j in js]
-        return pd.DataFrame(pairs, columns=["_a", "_b"], dtype=np.int64).drop_duplicates()
 
-    for part in parts:
-        for band, i, j, *row in part[["band", "i", "j", "_t", "label", "side", "signature"]].itertuples(index=False, name=None):
-            if (band, i, j) != at:
-                if len(held) > 1:
-                    yield close()
-                at, held = (band, i, j), []
-            held.append(row)
-    if len(held) > 1:
-        yield close()
+def compare_blocks(least: float):
+    """mapInPandas function over rows sorted by (family, i, j): links between classes of block i and block j. Pairs whose signatures agree enough are
+    verified exactly, but for classes that a link found here has joined, so there are fewer links than rows."""
 
+    def links(held: list) -> pd.DataFrame:
+        t, label, side = ([r[n] for r in held] for n in (0, 1, 2))
+        s = np.stack([np.frombuffer(r[3], "<u2") for r in held])
+        cls = np.array(label)
+        left, right = (np.flatnonzero(np.array(side) == k) for k in (0, 1))
+        alone = not len(right)
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = elements(held[i][4])
+            return sets[i]
+
+        out = []
+        for n, i in enumerate(left):
+            others = left[n + 1 :] if alone else right
+            others = others[cls[others] != cls[i]]
+            for j in others[(s[others] == s[i]).mean(1) >= ESTIMATE] if len(others) else ():
+                if cls[i] != cls[j] and alike_enough(set_of(i), set_of(j), least):
+                    out.append((min(t[i], t[j]), max(t[i], t[j])))
+                    cls[cls == cls[j]] = cls[i]
+        return pd.DataFrame(out, columns=["_a", "_b"], dtype=np.int64)
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """_t and label, the least node of its component, for each node of the edges (_a, _b): large and small stars until nothing changes."""
-    spark = edges.sparkSession
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for part in parts:
+            for family, i, j, *row in part[["family", "i", "j", "_t", "label", "side", "signature", "raw"]].itertuples(index=False, name=None):
+                if (family, i, j) != at:
+                    if len(held) > 1:
+                        yield links(held)
+                    at, held = (family, i, j), []
+                held.append(row)
+        if len(held) > 1:
+            yield links(held)
+
+    return run
 
-    def pairs(e: DataFrame) -> DataFrame:
-        return e.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).filter("_a <> _b").distinct()
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("_a", "_b").cast("decimal(20,0)")), F.lit(0))).first()
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """_t and label, the least node of its component, for each node of the edges (_a, _b).
 
-    e = materialize(pairs(edges))
-    before = state(e)
+    Each round every node takes the least of itself and its neighbours as its label, and the graph is contracted to the labels that still
+    have an edge between them; the rounds' labels are then put together.
+    """
+    levels = []
+    e = edges.select("_a", "_b").filter("_a <> _b")
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        least = materialize(both.groupBy("_a").agg(F.min("_b").alias("m")).withColumn("m", F.least("_a", "m")))
-        large = both.filter("_b > _a").join(least, "_a").select(F.col("_b").alias("_a"), F.col("m").alias("_b"))
-        e = materialize(pairs(large))
-        least = materialize(e.groupBy("_a").agg(F.min("_b").alias("m")))
-        small = e.join(least, "_a").select(F.col("_b").alias("_a"), F.col("m").alias("_b")).unionByName(least.select("_a", F.col("m").alias("_b")))
-        e = materialize(pairs(small))
-        now = state(e)
-        if now == before:
+        both = e.select(F.col("_a").alias("_t"), F.col("_b").alias("n")).unionByName(e.select(F.col("_b").alias("_t"), F.col("_a").alias("n")))
+        label = materialize(both.groupBy("_t").agg(F.min("n").alias("label")).withColumn("label", F.least("_t", "label")), narrow=True)
+        levels.append(label)
+        a = label.select(F.col("_t").alias("_a"), F.col("label").alias("la"))
+        b = label.select(F.col("_t").alias("_b"), F.col("label").alias("lb"))
+        e = e.join(a, "_a").join(b, "_b").select(F.least("la", "lb").alias("_a"), F.greatest("la", "lb").alias("_b")).filter("_a <> _b").distinct()
+        e = materialize(e, narrow=True)
+        if e.limit(1).count() == 0:
             break
-        before = now
-    roots = e.select(F.col("_b").alias("_t")).distinct()
-    return materialize(e.select(F.col("_a").alias("_t"), F.col("_b").alias("label")).unionByName(roots.select("_t", F.col("_t").alias("label"))))
+    out = levels[0]
+    for label in levels[1:]:
+        nxt = label.select(F.col("_t").alias("label"), F.col("label").alias("_next"))
+        out = out.join(nxt, "label", "left").select("_t", F.coalesce("_next", "label").alias("label"))
+    return materialize(out, narrow=True) if len(levels) > 1 else out
+
+
+def texts_of(rows: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """_t, raw of the nodes, each once."""
+    wanted = materialize(firsts.join(nodes, "_t").select("_t", "_d"), narrow=True)
+    return only_near(rows, wanted, "_t", "_d").join(wanted, ["_t", "_d"]).select("_t", "raw").dropDuplicates(["_t"])
 
 
 def verified(rows: DataFrame, firsts: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """The pairs (_a, _b) of edges whose texts resemble each other by ``least`` or more. A text goes once to each text it is compared with; one
     with many partners is copied to several tasks, each with a share of them."""
     spark = rows.sparkSession
-    degree = materialize(edges.groupBy("_a").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("salts")))
-    salted = materialize(edges.join(degree, "_a").withColumn("_salt", F.pmod(F.xxhash64("_b"), F.col("salts")).cast("int")).select("_a", "_salt", "_b"))
-    roles = salted.select("_a", "_salt", F.lit(False).alias("lead"), "_b", F.col("_b").alias("_t"))
-    leads = salted.select("_a", "_salt").distinct().select("_a", "_salt", F.lit(True).alias("lead"), F.col("_a").alias("_b"), F.col("_a").alias("_t"))
-    roles = materialize(roles.unionByName(leads))
-    wanted = materialize(firsts.join(roles.select("_t").distinct(), "_t"))
-    texts = only_near(rows, wanted, "_t", "_d").join(wanted, ["_t", "_d"]).select("_t", "raw").dropDuplicates(["_t"])
+    degree = materialize(edges.groupBy("_a").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("salts")), narrow=True)
+    salt = F.pmod(F.xxhash64("_b"), F.col("salts")).cast("int").alias("_salt")
+    roles = edges.join(degree, "_a").select("_a", salt, F.lit(False).alias("lead"), "_b", F.col("_b").alias("_t"))
+    leads = degree.select("_a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"), F.lit(True).alias("lead"), F.col("_a").alias("_b"), F.col("_a").alias("_t"))
+    roles = materialize(roles.unionByName(leads), narrow=True)
+    texts = texts_of(rows, firsts, roles.select("_t").distinct())
     groups = texts.join(roles, "_t").select("_a", "_salt", "lead", "_b", "raw")
     groups = groups.repartition(partitions(spark), "_a", "_salt").sortWithinPartitions("_a", "_salt", F.desc("lead"))
     return groups.mapInPandas(alike(least), "_a long, _b long")
@@ -193,37 +214,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     raw = as_bytes(F.col(text_col))
     rows = docs.select(F.xxhash64(raw).alias("_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), raw.alias("raw"))
     signed = materialize(rows.select("_t", "raw").mapInPandas(sign, "_t long, signature binary, bands array<long>"))
-    firsts = materialize(rows.groupBy("_t").agg(F.min("_d").alias("_d"), F.count("*").alias("copies")))
+    firsts = materialize(rows.groupBy("_t").agg(F.min("_d").alias("_d"), F.count("*").alias("copies")), narrow=True)
     banded = signed.select("_t", F.explode("bands").alias("band"))
-    shared = materialize(banded.groupBy("band").agg(F.min("_t").alias("_a"), F.max("_t").alias("z")).filter("_a < z").select("band", "_a"))
-    members = materialize(banded.join(shared, "band").select("band", "_a", "_t").distinct())
+    shared = materialize(banded.groupBy("band").agg(F.min("_t").alias("_a"), F.max("_t").alias("z")).filter("_a < z").select("band", "_a"), narrow=True)
+    members = materialize(banded.join(shared, "band").select("band", "_a", "_t").distinct(), narrow=True)
     stars = members.filter("_a <> _t").select("_a", F.col("_t").alias("_b")).distinct()
     links = materialize(verified(rows, firsts, stars, least))
     labels = components(links)
 
-    # Bands that still hold several classes: all pairs across classes, by signature first.
-    open_ = members.select("band", "_t").join(labels, "_t", "left").withColumn("label", F.coalesce("label", "_t"))
-    open_ = materialize(open_)
-    several = open_.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    open_ = materialize(open_.join(materialize(several.select("band", "n")), "band"))
+    # Bands that still hold several classes: their texts fall into families that share such bands; blocks of a family are compared with each other.
+    open_ = materialize(members.join(labels, "_t", "left").withColumn("label", F.coalesce("label", "_t")), narrow=True)
+    several = materialize(open_.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band"), narrow=True)
+    open_ = materialize(open_.join(several, "band").select("_a", "_t", "label"), narrow=True)
     if open_.limit(1).count():
-        blocks = (F.floor(F.col("n") / BLOCK) + 1).cast("int")
-        own = F.pmod(F.xxhash64("_t", F.lit(3)), blocks).cast("int")
-        placed = open_.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-        placed = placed.select(
-            "band", "_t", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
-        )
-        once = signed.join(open_.select("_t").distinct(), "_t").select("_t", "signature").dropDuplicates(["_t"])
-        placed = placed.join(once, "_t").repartition(partitions(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j")
-        pairs = placed.select("band", "i", "j", "_t", "label", "side", "signature").mapInPandas(compare_blocks, "_a long, _b long").distinct()
-        pairs = materialize(pairs.join(stars, ["_a", "_b"], "left_anti"))
-        if pairs.limit(1).count():
-            labels = components(links.unionByName(verified(rows, firsts, pairs, least)))
+        family = components(open_.select("_a", F.col("_t").alias("_b"))).withColumnRenamed("label", "family")
+        nodes = materialize(open_.select("_t", "label").distinct().join(family, "_t"), narrow=True)
+        blocks = materialize(nodes.groupBy("family").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks")), narrow=True)
+        nodes = nodes.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("_t", F.lit(3)), F.col("blocks")).cast("int"))
+        placed = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+        placed = materialize(placed.select("family", "_t", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side), narrow=True)
+        known = placed.select("_t").distinct()
+        texts = texts_of(rows, firsts, known).join(signed.join(known, "_t").select("_t", "signature").dropDuplicates(["_t"]), "_t")
+        placed = placed.join(texts, "_t").repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j")
+        more = placed.select("family", "i", "j", "_t", "label", "side", "signature", "raw").mapInPandas(compare_blocks(least), "_a long, _b long")
+        more = materialize(more)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
 
     classes = firsts.join(labels, "_t", "left").withColumn("label", F.coalesce("label", "_t"))
-    classes = materialize(classes)
-    named = materialize(classes.groupBy("label").agg(F.min("_d").alias("class_id"), F.sum("copies").alias("class_size")))
-    classes = materialize(classes.join(named, "label").select("_t", "class_id", "class_size"))
+    classes = materialize(classes, narrow=True)
+    named = materialize(classes.groupBy("label").agg(F.min("_d").alias("class_id"), F.sum("copies").alias("class_size")), narrow=True)
+    classes = materialize(classes.join(named, "label").select("_t", "class_id", "class_size"), narrow=True)
     out = rows.select("_t", "_d").join(classes, "_t").withColumns({"_d": F.nullif("_d", F.lit(-(2**63))), "class_id": F.nullif("class_id", F.lit(-(2**63)))})
     return out.select(F.col("_d").alias(id_col), "class_id", "class_size")
 
