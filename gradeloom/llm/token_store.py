@@ -38,12 +38,15 @@ def pack(tokens: np.ndarray, counts: np.ndarray, ids: np.ndarray, null: np.ndarr
     v = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
     sections, zeros = {"ids": ids.astype("<i8"), "null": null.astype(np.uint8), "counts": counts.astype("<u4")}, []
     for level in reversed(range(bits)):
-        b = (v >> level & 1).astype(bool)
-        sections[f"plane{level}"] = np.packbits(b)
-        sections[f"rank{level}"] = np.concatenate(([0], np.cumsum(np.add.reduceat(b, np.arange(0, len(b), BLOCK), dtype=np.int64) if len(b) else np.zeros(0, np.int64)))).astype("<u4")
-        low, high = v[~b], v[b]
-        zeros.append(len(low))
-        v = np.concatenate((low, high))
+        b = (v & v.dtype.type(1 << level)) != 0
+        plane = np.packbits(b)
+        ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
+        sections[f"plane{level}"], sections[f"rank{level}"] = plane, np.concatenate(([0], np.cumsum(ones))).astype("<u4")
+        out = np.empty_like(v)
+        zeros.append(len(v) - int(ones.sum()))
+        np.compress(~b, v, out=out[: zeros[-1]])
+        np.compress(b, v, out=out[zeros[-1] :])
+        v = out
     packed = {k: zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for k, x in sections.items()}
     at, places = 0, {}
     for k, x in packed.items():
