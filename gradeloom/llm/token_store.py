@@ -125,16 +125,17 @@ class Shard:
         bits = np.unpackbits(plane[block * BLOCK // 8 : (block + 1) * BLOCK // 8])[: self.size - block * BLOCK]
         return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
-    def places(self, token: int, lo: int = 0, hi: int | None = None) -> list[int]:
-        """Where the token stands in [lo, hi), in ascending order."""
+    def up(self, token: int, p: int) -> int:
+        """The place in the text of the token that stands at p after the last parting."""
+        for level in range(self.bits):
+            bit = token >> level & 1
+            p = self.select(level, bit, p - self.zeros[level] if bit else p)
+        return p
+
+    def places(self, token: int, lo: int = 0, hi: int | None = None, most: int | None = None) -> list[int]:
+        """Where the token stands in [lo, hi), in ascending order; at most the first ``most`` places."""
         a, b = self.bounds(token, lo, self.size if hi is None else hi)
-        out = []
-        for p in range(a, b):
-            for level in range(self.bits):
-                bit = token >> level & 1
-                p = self.select(level, bit, p - self.zeros[level] if bit else p)
-            out.append(p)
-        return sorted(out)
+        return [self.up(token, p) for p in range(a, b if most is None else min(b, a + most))]
 
     def tokens(self) -> np.ndarray:
         """All ids: the partings undone from the last to the first."""
@@ -241,7 +242,7 @@ def token_places(spark: SparkSession, folder: str, index: DataFrame, tokens: lis
                 shard = Shard(data)
                 for t in tokens:
                     if n := shard.count(t):
-                        yield pd.DataFrame({"token": [t], "n": [n], "place": [first[part] + shard.places(t)[0]]})
+                        yield pd.DataFrame({"token": [t], "n": [n], "place": [first[part] + shard.places(t, most=1)[0]]})
 
     found = shard_files(spark, folder).mapInPandas(run, "token int, n long, place long")
     return found.groupBy("token").agg(F.sum("n").alias("n"), F.min("place").alias("first_place"))
