@@ -118,3 +118,14 @@ def test_schema_checks(spark):
     with pytest.raises(MissingColumns):
         registry({"x": df}, ["z"])
     assert registry({"x": df, "y": df.drop("b")}, ["a", "b"]).count() == 1
+
+
+def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
+    from gradeloom.sources.tables import blank_to_null, nan_to_null, read_csv, to_long, to_wide
+
+    (tmp_path / "r.csv").write_text('id,report,y\n1,"two\nlines, ""quoted""",0.5\n2, ,NaN\n3,,\n')
+    df = read_csv(spark, str(tmp_path / "r.csv"), "id int, report string, y double")
+    got = {r["id"]: (r["t"], r["y"]) for r in df.select("id", blank_to_null(F.col("report")).alias("t"), nan_to_null(F.col("y")).alias("y")).collect()}
+    assert got == {1: ('two\nlines, "quoted"', 0.5), 2: (None, None), 3: (None, None)}
+    wide = frame(spark, [(1, 0.1, 0.2), (2, None, 0.4)], "id int, a double, b double")
+    assert sorted(map(tuple, to_wide(to_long(wide, ["id"], ["a", "b"]), ["id"], ["a", "b"], value="y").collect())) == [(1, 0.1, 0.2), (2, None, 0.4)]
