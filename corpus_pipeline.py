@@ -60,7 +60,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_best_fit(docs)
+    return pack_best_fit(docs, keep_pieces=False)  # workers go on to other stages: keep their memory small
 
 
 STAGES = [

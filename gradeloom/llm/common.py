@@ -31,10 +31,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, its lineage ends there, and it survives
-    the loss of executors. narrow: a table of a few numbers a row after a shuffle, written in at most two files a core rather
-    than one for each shuffle partition."""
+    the loss of executors. narrow: a table of a few numbers a row after a shuffle, written in one file for every four shuffle
+    partitions, or two for each core if that is more."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+    (df.coalesce(max(2 * spark.sparkContext.defaultParallelism, partitions(spark) // 4)) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

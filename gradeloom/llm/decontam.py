@@ -178,6 +178,36 @@ def join_windows(block, rarity, width: int):
     return run
 
 
+def find_all(blocks: list):
+    """The shingles of all blocks, block after block; one Python worker a task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            none = np.zeros(0, np.int32)
+            part["n_words"], part["hit_at"], part["hit_shingle"] = 0, [none] * len(part), [none] * len(part)
+            for b in blocks:
+                (part,) = find_shingles(b)(iter([part]))
+            yield part.drop(columns="raw")
+
+    return run
+
+
+def join_all(joins: list):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def empty() -> Iterator[pd.DataFrame]:
+            for part in parts:
+                none = np.zeros(0, np.int32)
+                part["span_from"], part["span_to"], part["items"] = [none] * len(part), [none] * len(part), [[] for _ in range(len(part))]
+                yield part
+
+        out = empty()
+        for join in joins:
+            out = join(out)
+        return digest(out)
+
+    return run
+
+
 def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         hit = []
@@ -224,20 +254,18 @@ def contaminated_words(
         blocks.append(spark.sparkContext.broadcast(block))
 
     ints = F.array().cast("array<int>")
-    rows = docs.select(F.col(id_col).alias("_row"), as_bytes(F.col(text_col)).alias("raw"), F.lit(0).cast("long").alias("n_words"), ints.alias("hit_at"), F.array().cast("array<long>").alias("hit_shingle"))
-    for b in blocks:
-        rows = rows.mapInPandas(find_shingles(b), rows.schema)
-    found = materialize(rows.drop("raw"))
+    rows = docs.select(F.col(id_col).alias("_row"), as_bytes(F.col(text_col)).alias("raw"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = materialize(rows.mapInPandas(find_all(blocks), f"_row {kind}, n_words long, hit_at array<int>, hit_shingle array<long>"))
 
     seen = found.select(F.explode(F.array_distinct("hit_shingle")).alias("s")).groupBy("s").count()
-    rows = found.withColumns({"span_from": ints, "span_to": ints, "items": F.array().cast("array<string>")})
+    joins = []
     for b in blocks:
         lo = min(b.value.first.values(), default=0)
         df = {r["s"]: r["count"] for r in seen.filter((F.col("s") >= lo) & (F.col("s") < lo + size_of(b.value))).collect()}
-        rows = rows.mapInPandas(join_windows(b, spark.sparkContext.broadcast(df), shingle), rows.schema)
-    kind = found.schema["_row"].dataType.simpleString()
-    out = rows.mapInPandas(
-        digest, f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, span_from array<int>, span_to array<int>, items array<string>"
+        joins.append(join_windows(b, spark.sparkContext.broadcast(df), shingle))
+    out = found.mapInPandas(
+        join_all(joins), f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, span_from array<int>, span_to array<int>, items array<string>"
     )
     return out.withColumnRenamed("_row", id_col).withColumn("contaminated", F.col("n_hit") > 0)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize, prepare, table
-from .tokens import encoder, tokenizer_path, with_end
+from .tokens import Encoder, encoder, tokenizer_path, with_end
 
 
 def sweeps(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -62,9 +62,9 @@ def sweeps(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def cut_pieces(path: str, size: int, end_id: int):
+def cut_pieces(path: str, size: int, end_id: int, keep_pieces: bool):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path, False)
+        enc = encoder(path, False) if keep_pieces else Encoder(path, False)
         for part in parts:
             ids, counts = with_end(*enc.encode(part["raw"].tolist()), end_id)
             ids, ends = ids.astype("<u4"), np.cumsum(counts)
@@ -91,18 +91,19 @@ def place(plan):
     return run
 
 
-def pack_best_fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, tokenizer: str | None = None, end_id: int = 0, salts: int = 64) -> DataFrame:
+def pack_best_fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, tokenizer: str | None = None, end_id: int = 0, salts: int = 64, keep_pieces: bool = True) -> DataFrame:
     """id_col, piece, start, length, ids_crc32, sequence_id, offset of each piece of each row of docs.
 
     Null text counts as empty (one piece, the end id alone); rows of equal ids are documents of their own; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. With ``keep_pieces`` a Python worker keeps the words that it has
+    encoded from task to task.
     """
     spark = docs.sparkSession
     prepare(spark)
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_row"), as_bytes(F.col(text_col)).alias("raw"))
-    pieces = materialize(rows.mapInPandas(cut_pieces(path, size, end_id), f"_row {kind}, piece int, start long, length long, ids_crc32 long"))
+    pieces = materialize(rows.mapInPandas(cut_pieces(path, size, end_id, keep_pieces), f"_row {kind}, piece int, start long, length long, ids_crc32 long"))
 
     # Ranks within a length: numbered within (length, salt), so that a common length is dealt to many tasks.
     fields = ["_row", "piece", "start", "ids_crc32"]

@@ -300,12 +300,12 @@ def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int,
     prepare(rows.sparkSession)
     texts = rows.select("_d", "_h", "raw").filter(F.length("raw") >= size)
     runs = materialize(texts.mapInPandas(find_runs(symbols_of, size, seed), ROW + ", start int, n int, key long, block long"))
-    shared = materialize(runs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))  # written, so that the joins' sides are plain shuffles, which can be split
-    runs = materialize(runs.join(shared, "key"))
+    shared = materialize(runs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), narrow=True)  # written, so that the joins' sides are plain shuffles, which can be split
+    runs = materialize(runs.join(shared, "key"), narrow=True)
     place = F.struct("_d", "_h", "start")
-    classes = materialize(runs.groupBy("key", "block").agg(F.count("*").alias("c"), F.min(place).alias("rep")))
-    mixed = materialize(classes.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"))
-    classes = materialize(classes.join(mixed, "key", "left").filter("c > 1 or classes > 1").select("key", "block", "c", "rep", F.coalesce("classes", F.lit(1)).alias("classes")))
+    classes = materialize(runs.groupBy("key", "block").agg(F.count("*").alias("c"), F.min(place).alias("rep")), narrow=True)
+    mixed = materialize(classes.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"), narrow=True)
+    classes = materialize(classes.join(mixed, "key", "left").filter("c > 1 or classes > 1").select("key", "block", "c", "rep", F.coalesce("classes", F.lit(1)).alias("classes")), narrow=True)
     known = runs.join(classes, ["key", "block"])
     if first_stays:
         whole, todo = F.col("_d") > F.col("rep._d"), (F.col("classes") > 1) & (F.col("_d") == F.col("rep._d"))
@@ -313,7 +313,7 @@ def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int,
     else:
         whole, todo = F.col("c") > 1, (F.col("classes") > 1) & (place == F.col("rep"))
         own = F.col("c") == 1
-    known = materialize(known.select("_d", "_h", "start", "n", "key", "classes", whole.alias("whole"), todo.alias("todo"), own.alias("own")).filter("whole or todo"))
+    known = materialize(known.select("_d", "_h", "start", "n", "key", "classes", whole.alias("whole"), todo.alias("todo"), own.alias("own")).filter("whole or todo"), narrow=True)
     marks = known.filter("whole").select("_d", "_h", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (size - 1)).alias("hi"))
     todo = known.filter("todo")
     packed = F.expr("cast(start as long) * 4294967296 + n * 2 + cast(own as int)")

@@ -132,9 +132,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, keeps_blanks: bool) -> Encoder:
-    """One encoder a Python worker, kept from batch to batch."""
-    return Encoder(path, keeps_blanks)
+def encoder(path: str, keeps_blanks: bool, most_pieces: int = 1_500_000) -> Encoder:
+    """One encoder a Python worker, kept from batch to batch and task to task: about 250 bytes a piece."""
+    return Encoder(path, keeps_blanks, most_pieces)
 
 
 def tokenizer_path(name: str) -> str:
