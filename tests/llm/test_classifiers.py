@@ -56,3 +56,37 @@ def test_toxicity_without_labels(spark):
     for labelled in (docs.limit(0), docs):
         got = score_toxicity(docs, train_toxicity(labelled))
         assert got.filter(F.col("score").between(0, 1)).count() == 2
+
+
+def test_toxicity_of_words_that_fold_alike(spark):
+    """Toxic and clean Cyrillic words whose letters fold to the same symbols (each pair's last bytes are alike by the fold), and numbers."""
+    rnd, rows, filler = random.Random(5), [], ["дом", "река", "лес", "поле", "город"]
+    for bad, good in (("абвг", "рсту"), ("1488", "1066")):
+        for i in range(400):
+            y = int(rnd.random() < 0.4)
+            words = rnd.choices(filler, k=rnd.randint(3, 20))
+            words.insert(rnd.randint(0, len(words)), bad if y else good)
+            rows.append((len(rows), " ".join(words), y, i % 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold int")
+    got = score_toxicity(docs.filter("fold = 4"), train_toxicity(docs.filter("fold <> 4")), keep=("toxic",))
+    assert got.filter("predicted <> toxic").count() <= 0.03 * got.count()
+
+
+def test_toxicity_tables_grow_and_pairs_count(spark):
+    """Two words that are toxic only side by side."""
+    from gradeloom.llm.word_pairs import train_words
+
+    rnd, rows = random.Random(6), []
+    for i in range(800):
+        y, words = int(rnd.random() < 0.4), rnd.choices(["lorem", "ipsum", "dolor"], k=rnd.randint(4, 12))
+        k = rnd.randint(0, len(words) - 2)
+        words[k:k] = ["hinabgefahren", "zusammengebracht"] if y else ["hinabgefahren", "lorem", "zusammengebracht"]
+        rows.append((i, " ".join(words), y, i % 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold int")
+    got = score_toxicity(docs.filter("fold = 4"), train_toxicity(docs.filter("fold <> 4")), keep=("toxic",))
+    assert got.filter("predicted <> toxic").count() <= 0.03 * got.count()
+    kinds = []
+    for n in (500, 1000):
+        made = spark.createDataFrame([(f"w{i} v{i}".encode(), 0) for i in range(n)], "raw binary, y int")
+        kinds.append(train_words(made)[2][0, 0][2])
+    assert kinds == [1000, 2000]
