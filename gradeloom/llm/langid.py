@@ -126,7 +126,8 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int, dim:
 
 
 def train_language_model(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", texts_a_language: int = 400, most_languages: int = 500) -> LanguageModel:
-    """Fit on a bounded sample: about texts_a_language texts of each language, by hash. Rows without a language or a letter are left out.
+    """Fit on a bounded sample: about texts_a_language different texts of each language, by hash. Rows without a language or a letter are left out.
+    At most most_languages languages, those with the most different texts, are learned: the table has 2^15 numbers for each.
 
     Every fifth text of the sample fits the temperature and the rejection level instead of the weights. The level rejects fewer than
     one in a thousand of the texts whose language is found rightly.
@@ -134,12 +135,13 @@ def train_language_model(labelled: DataFrame, *, text_col: str = "text", lang_co
     prepare(labelled.sparkSession)
     text = F.col(text_col)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("seed"), text.alias("text")).filter(F.col("lang").isNotNull() & letters(text))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    texts = rows.groupBy("lang", "seed").agg(F.lit(1).alias("one"))
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, texts_a_language / n))))])
-    rows = rows.filter(F.pmod(F.col("seed"), F.lit(1_000_000)) < share[F.col("lang")]).dropDuplicates(["lang", "seed"])
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit((1 << 62) * min(texts_a_language, n) // n))])
+    rows = rows.filter(F.shiftrightunsigned("seed", 2) < share[F.col("lang")]).dropDuplicates(["lang", "seed"])
     found = rows.select("lang", "seed", as_bytes(F.col("text")).alias("raw")).mapInPandas(examples, "lang string, seed long, kind int, bucket array<int>, weight array<float>")
     found = fetch(found)
     found = found.sort_values(["seed", "lang", "kind"])

@@ -35,6 +35,16 @@ def test_language_edges(spark):
     assert identify(odd, none).filter("lang_pred <> 'und'").count() == 0 and identify(odd.limit(0), model).count() == 0
 
 
+def test_language_with_many_copies(spark):
+    """A text copied thousands of times does not take the place of its language's other texts."""
+    rows = [(i, t, x) for i, t, x in texts(300, 7)]
+    rows += [(1000 + i, "xyzzy 1 plugh", "aa") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_language_model(docs.filter("doc_id % 3 <> 1"), texts_a_language=60)
+    out = identify(docs.filter("doc_id % 3 = 1 and doc_id < 1000"), model)
+    assert out.filter("lang = 'aa'").count() > 20 and out.filter("lang_pred <> lang").count() == 0
+
+
 def test_toxicity_of_held_out_texts(spark):
     rnd, rows = random.Random(3), []
     for i, t, _ in texts(600, 4):
