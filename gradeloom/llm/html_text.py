@@ -2,7 +2,7 @@
 
 The standard library's parser streams the page's events into lines, one a block element, with the number of tags in each. The ratio of
 text to tags of the lines is smoothed by a Gaussian and parted into two clusters by a threshold; the lines of the upper
-cluster are content. The region of the page that holds the content, its article if it marks one, is then taken
+cluster are content. The region of the page that holds all the content, its articles if it marks any, is then taken
 whole, but for parts whose element or class says that they are something else (menus, adverts, forms, comments ...).
 """
 
@@ -170,20 +170,16 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     content = [ok and r >= cut for r, (*_, ok) in zip(ratio, lines, strict=True)]
     if not any(content):
         content = [ok for *_, ok in lines]
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for (text, _, chain, _), yes in zip(lines, content, strict=True):
-        if yes:
-            for d, c in enumerate(chain):
-                held[c] = held.get(c, 0) + len(text)
-                depth[c] = d
-    total = sum(len(line[0]) for line, yes in zip(lines, content, strict=True) if yes)
-    region = None
-    if marked := [c for c in held if c in parser.regions]:
-        region = max(marked, key=lambda c: (held[c], -depth[c]))
-    elif wide := [c for c in held if held[c] >= 0.8 * total]:
-        region = max(wide, key=lambda c: depth[c])
-    return "\n".join(text for text, _, chain, ok in lines if ok and (region is None or region in chain))
+    chosen = [chain for (_, _, chain, _), yes in zip(lines, content, strict=True) if yes]
+    marked = {c for chain in chosen for c in chain if c in parser.regions}
+    if marked:
+        # beside the marked regions, the containers of lines chosen outside them; of one that is also around a marked region only the chosen lines
+        around = {c for chain in chosen if not marked.isdisjoint(chain) for c in chain}
+        regions = marked | {chain[-1] for chain in chosen if chain and chain[-1] not in around}
+    else:
+        around = set(chosen[0]).intersection(*chosen)
+        regions = {max(around)} if around else set()
+    return "\n".join(text for (text, _, chain, ok), yes in zip(lines, content, strict=True) if ok and (yes or not regions or not regions.isdisjoint(chain)))
 
 
 def extract_main_text(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -30,3 +30,13 @@ def test_edges(spark):
     got = extract_main_text(df).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got)[0] == (0, "x", 1) and len(got) == 4
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_content_in_several_blocks():
+    """All blocks that the clustering chose stay: a short one beside a long one, sibling articles, and text beside an article."""
+    intro, body = "Intro words that are long enough to be content here.", "Body words that are long enough to be content of this page, too."
+    for one, many in (("<div>{}</div>", "<div class=content>{}</div>"), ("<article>{}</article>", "<div>{}</div>"), ("<article>{}</article>", "{}")):
+        page = many.format(one.format(f"<p>{intro}</p>") + one.format(f"<p>{body}</p>" * 8))
+        assert main_text(PAGE.format(main=page)) == "\n".join([intro] + [body] * 8), (one, many)
+    page = f"<article><p>{intro}</p></article><div><div><p>{body}</p></div></div>"
+    assert main_text(PAGE.format(main=page)) == f"{intro}\n{body}"
