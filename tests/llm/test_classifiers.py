@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.llm.langid import identify, third, train_language_model
@@ -100,3 +101,23 @@ def test_toxicity_tables_grow_and_pairs_count(spark):
         made = spark.createDataFrame([(f"w{i} v{i}".encode(), 0) for i in range(n)], "raw binary, y int")
         kinds.append(train_words(made)[2][0, 0][2])
     assert kinds == [1000, 2000]
+
+
+def test_toxicity_by_joined_table_equals_broadcast(spark):
+    rnd, rows = random.Random(8), []
+    for i, t, _ in texts(300, 9):
+        y = int(rnd.random() < 0.3)
+        rows.append((i, t + " vermin" * y, y, i % 5))
+    rows += [(None, None, None, 1), (700, "", 0, None), (701, "x", 0, 0), (701, "x", 0, 0), (702, "lorem vermin " * 90_000, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold int")
+    got = [sorted(map(repr, score_toxicity(docs, train_toxicity(docs, broadcast_rows=n), keep=("toxic", "fold")).collect())) for n in (0, 1_000_000)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
+def test_toxicity_column_names(spark):
+    """A column named like the result's is ignored unless it is to be kept, which is refused."""
+    docs = spark.createDataFrame([(1, "a b", 1, 0, 0.5, 7), (2, "c", 0, 1, 0.1, 8)], "doc_id long, text string, toxic int, fold int, score double, predicted int")
+    model = train_toxicity(docs)
+    assert score_toxicity(docs, model).columns == ["doc_id", "score", "predicted"]
+    with pytest.raises(ValueError):
+        score_toxicity(docs, model, keep=("score",))
