@@ -11,7 +11,11 @@ A window is ``size`` consecutive symbols of one document. Equal windows are foun
    into its windows, which are named by their hashes and counted.
 
 Steps 1 and 3 read texts and send out rows of a few numbers; counts are partly summed before each shuffle, joins may be
-split by adaptive execution, no group is gathered in one task. Names are 64-bit hashes.
+split by adaptive execution, no group is gathered in one task.
+
+What is settled by names is settled by 126 bits: a 64-bit hash, mixed from a polynomial modulo 2^64, and a check of 62 bits, the values of two polynomials modulo
+primes of 31 bits. Among 10^14 different windows two are taken for equal with a probability below 10^-9. Anchors have 64 bits; two that
+collide only make more candidates.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ INVERSE = pow(BASE, -1, 2**64)
 CHUNK = 1 << 18
 PLACE_BITS = U(20)
 BLANKS = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+PRIMES = (2**31 - 1, 2**31 - 19)
 BYTE_VALUES = np.random.default_rng(11).integers(1, 2**64, 256, dtype=U)
 
 ROW = "_d long, _h int"
@@ -47,6 +52,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@cache
+def prime_powers(n: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """For each prime the powers of a base, and of its inverse."""
+    out = []
+    for prime, base in zip(PRIMES, (1_234_567_891, 987_654_321), strict=True):
+        pair = []
+        for b in (base, pow(base, -1, prime)):
+            p, known = np.ones(n, U), 1
+            while known < n:  # each pass doubles what is known
+                step = U(pow(b, known, prime))
+                p[known : 2 * known] = p[: min(known, n - known)] * step % U(prime)
+                known *= 2
+            pair.append(p)
+        out.append(tuple(pair))
+    return tuple(out)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(32))
     x = x * U(0xD6E8FEB86659FD93)
@@ -73,6 +95,23 @@ class Hashes:
         return mix((self.sums[size:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, U)
 
 
+class Checks:
+    """A second name of runs of symbols: 62 bits, by two primes."""
+
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
+        self.parts = []
+        for prime, (power, inverse) in zip(PRIMES, prime_powers(max(2 * CHUNK, 1 << n.bit_length())), strict=True):
+            sums = np.zeros(n + 1, U)
+            np.cumsum(symbols % U(prime) * power[:n] % U(prime), dtype=U, out=sums[1:])
+            self.parts.append((U(prime), sums, inverse))
+
+    def of(self, start, end) -> np.ndarray:
+        """As a non-negative int64."""
+        a, b = ((sums[end] - sums[start]) % prime * inverse[start] % prime for prime, sums, inverse in self.parts)
+        return (a << U(31) | b).view(np.int64)
+
+
 def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the texts one after another, and each text's number of symbols."""
     return BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
@@ -98,7 +137,7 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs_of(symbols: np.ndarray, counts: np.ndarray, size: int, seed: int):
-    """text number, first window, windows, anchor hash, block hash of each run of windows that share their anchor."""
+    """text number, first window, windows, anchor hash, block hash and its check, of each run of windows that share their anchor."""
     first = np.concatenate(([0], np.cumsum(counts)))
     total, span = len(symbols), size - seed + 1
     last = np.full(total, -1, np.int64)  # of each symbol: the last window start of its text
@@ -126,35 +165,39 @@ def runs_of(symbols: np.ndarray, counts: np.ndarray, size: int, seed: int):
         a = anchor[start]
         block = mix(hashes.of(start, ends + size) + mix(((a - start) << 32 | ends - start).astype(U)))
         text = np.searchsorted(first, start + lo, side="right") - 1
-        out.append((text, start + lo - first[text], ends - start + 1, seeds[a], block))
+        out.append((text, start + lo - first[text], ends - start + 1, seeds[a], block, Checks(part).of(start, ends + size)))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def find_runs(symbols_of: Callable, size: int, seed: int):
+def cut_name(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x & U((1 << bits) - 1)).view(np.int64)
+
+
+def find_runs(symbols_of: Callable, size: int, seed: int, bits: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             part = part[part["raw"].map(len) >= size]
             if len(part):
-                text, start, n, key, block = runs_of(*symbols_of(part["raw"].tolist()), size, seed)
-                yield pd.DataFrame({"_d": part["_d"].to_numpy()[text], "_h": part["_h"].to_numpy()[text], "start": start.astype(np.int32), "n": n.astype(np.int32), "key": key.view(np.int64), "block": block.view(np.int64)})
+                text, start, n, key, block, check = runs_of(*symbols_of(part["raw"].tolist()), size, seed)
+                yield pd.DataFrame({"_d": part["_d"].to_numpy()[text], "_h": part["_h"].to_numpy()[text], "start": start.astype(np.int32), "n": n.astype(np.int32), "key": cut_name(key, bits), "block": cut_name(block, bits), "check": check})
 
     return run
 
 
-def name_windows(symbols_of: Callable, size: int):
+def name_windows(symbols_of: Callable, size: int, bits: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for d, h, raw, todo in zip(part["_d"], part["_h"], part["raw"], part["todo"], strict=True):
                 symbols, _ = symbols_of([raw])
-                hashes = Hashes(symbols)
+                hashes, checks = Hashes(symbols), Checks(symbols)
                 todo = np.asarray(todo, np.int64)
                 for own in (True, False):
                     at = [np.arange(x >> 32, (x >> 32) + (x >> 1 & 0x7FFFFFFF)) for x in todo[(todo & 1) == own]]
                     if at:
                         at = np.concatenate(at)
-                        yield pd.DataFrame({"_d": d, "_h": h, "start": at.astype(np.int32), "own": own, "window": hashes.of(at, at + size).view(np.int64)})
+                        yield pd.DataFrame({"_d": d, "_h": h, "start": at.astype(np.int32), "own": own, "window": cut_name(hashes.of(at, at + size), bits), "check": checks.of(at, at + size)})
 
     return run
 
@@ -290,23 +333,24 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), F.hash(raw).alias("_h"), raw.alias("raw"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
 
 
-def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int, first_stays: bool, sort_up_to: int = 0) -> DataFrame:
+def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int, first_stays: bool, sort_up_to: int = 0, name_bits: int = 64) -> DataFrame:
     """_d, _h and the arrays lo and hi: where spans that repeated windows cover begin and end, for the rows that have any.
 
     first_stays False: a window is repeated if it starts at any other place too. True: if it also starts in a row
     with a smaller _d. Anchors with at most ``sort_up_to`` different blocks (bytes only) are resolved by sorting these blocks'
-    suffixes in one task, bucket by bucket; larger ones by counting names of windows, which has no group to gather.
+    suffixes in one task, bucket by bucket; larger ones by counting names of windows, which has no group to gather. Names cut to
+    name_bits collide, but their checks tell them apart (a means of tests).
     """
     prepare(rows.sparkSession)
     texts = rows.select("_d", "_h", "raw").filter(F.length("raw") >= size)
-    runs = materialize(texts.mapInPandas(find_runs(symbols_of, size, seed), ROW + ", start int, n int, key long, block long"))
+    runs = materialize(texts.mapInPandas(find_runs(symbols_of, size, seed, name_bits), ROW + ", start int, n int, key long, block long, check long"))
     shared = materialize(runs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), narrow=True)  # written, so that the joins' sides are plain shuffles, which can be split
     runs = materialize(runs.join(shared, "key"), narrow=True)
     place = F.struct("_d", "_h", "start")
-    classes = materialize(runs.groupBy("key", "block").agg(F.count("*").alias("c"), F.min(place).alias("rep")), narrow=True)
+    classes = materialize(runs.groupBy("key", "block", "check", "n").agg(F.count("*").alias("c"), F.min(place).alias("rep")), narrow=True)
     mixed = materialize(classes.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"), narrow=True)
-    classes = materialize(classes.join(mixed, "key", "left").filter("c > 1 or classes > 1").select("key", "block", "c", "rep", F.coalesce("classes", F.lit(1)).alias("classes")), narrow=True)
-    known = runs.join(classes, ["key", "block"])
+    classes = materialize(classes.join(mixed, "key", "left").filter("c > 1 or classes > 1").select("key", "block", "check", "n", "c", "rep", F.coalesce("classes", F.lit(1)).alias("classes")), narrow=True)
+    known = runs.join(classes, ["key", "block", "check", "n"])
     if first_stays:
         whole, todo = F.col("_d") > F.col("rep._d"), (F.col("classes") > 1) & (F.col("_d") == F.col("rep._d"))
         own: Column = F.lit(True)
@@ -329,14 +373,14 @@ def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int,
         marks = marks.unionByName(spans)
 
     named = only_near(texts, todo, "_d", "_h").join(todo.groupBy("_d", "_h").agg(F.collect_list(packed).alias("todo")).hint("shuffle_hash"), ["_d", "_h"])
-    windows = materialize(named.mapInPandas(name_windows(symbols_of, size), ROW + ", start int, own boolean, window long"))
-    names = windows.groupBy("window")
+    windows = materialize(named.mapInPandas(name_windows(symbols_of, size, name_bits), ROW + ", start int, own boolean, window long, check long"))
+    names = windows.groupBy("window", "check")
     if first_stays:
-        names = names.agg(F.min("_d").alias("least"), F.max("_d").alias("most")).filter("least < most").select("window", "least")
-        hit = windows.join(names, "window").filter("_d > least")
+        names = names.agg(F.min("_d").alias("least"), F.max("_d").alias("most")).filter("least < most").select("window", "check", "least")
+        hit = windows.join(names, ["window", "check"]).filter("_d > least")
     else:
-        names = names.agg(F.count("*").alias("c")).filter("c > 1").select("window")
-        hit = windows.filter("own").join(names, "window")
+        names = names.agg(F.count("*").alias("c")).filter("c > 1").select("window", "check")
+        hit = windows.filter("own").join(names, ["window", "check"])
     marks = marks.unionByName(hit.select("_d", "_h", F.col("start").alias("lo"), (F.col("start") + size).alias("hi")))
     return marks.groupBy("_d", "_h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 

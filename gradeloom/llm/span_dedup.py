@@ -40,7 +40,7 @@ def cut(texts: bool):
     return run
 
 
-def remove_copied_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 50, seed: int = 25, texts: bool = True) -> DataFrame:
+def remove_copied_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 50, seed: int = 25, texts: bool = True, name_bits: int = 64) -> DataFrame:
     """One row for each row of ``docs``: id_col, n_words, n_removed, kept_sha256 and, with ``texts``, kept (the words that stay).
 
     A word goes if a window of ``size`` words over it also starts in a document with a smaller id. A null id counts as the smallest,
@@ -48,7 +48,7 @@ def remove_copied_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     columns are ignored.
     """
     rows = with_keys(docs, id_col, text_col)
-    spans = repeated_spans(rows, word_symbols, size, seed, first_stays=True)
+    spans = repeated_spans(rows, word_symbols, size, seed, first_stays=True, name_bits=name_bits)
     joined = with_spans(rows, spans).select("_id", "raw", "lo", "hi")
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.mapInPandas(cut(texts), f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)

@@ -41,7 +41,7 @@ def cut(texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, seed: int = 128, sort_up_to: int = 2000, keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, seed: int = 128, sort_up_to: int = 2000, keep: tuple[str, ...] = (), texts: bool = True, name_bits: int = 64) -> DataFrame:
     """One row for each row of ``docs``: id_col, the columns in ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay) and, with
     ``texts``, kept: these bytes as text, without those of letters that were cut apart.
 
@@ -50,7 +50,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     columns are ignored.
     """
     rows = with_keys(docs, id_col, text_col, keep)
-    spans = repeated_spans(rows, byte_symbols, size, seed, first_stays=False, sort_up_to=sort_up_to)
+    spans = repeated_spans(rows, byte_symbols, size, seed, first_stays=False, sort_up_to=sort_up_to, name_bits=name_bits)
     extra = [f"_k{i}" for i in range(len(keep))]
     joined = with_spans(rows, spans).select("_id", *extra, "raw", "lo", "hi")
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in joined.schema[: 1 + len(keep)])

@@ -78,3 +78,21 @@ def test_texts_and_kept_columns(spark):
 
 def test_empty(spark):
     assert remove_repeats(frame(spark, [])).count() == 0 and remove_copied_passages(frame(spark, [])).count() == 0
+
+
+def test_names_that_collide(spark):
+    """Names of three bits: nearly all collide, and only the checks tell windows and blocks apart."""
+    docs = corpus(5)
+    got = remove_repeats(frame(spark, docs), size=50, seed=17, sort_up_to=0, name_bits=3).drop("kept").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_bytes(docs, 50)))
+    got = remove_copied_passages(frame(spark, docs), size=12, seed=5, name_bits=3).drop("kept").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_words(docs, 12)))
+
+
+def test_text_longer_than_a_chunk(spark):
+    """Repeats across the places where a very long text is cut into chunks of 2^18 symbols."""
+    rnd = random.Random(9)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(2**18 + 3000))
+    docs = [(1, long), (2, "x" + long[2**18 - 300 : 2**18 + 200] + "y"), (3, "z" + long[5000:5500])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in remove_repeats(frame(spark, docs), texts=False).collect()}
+    assert got == {1: (len(long), 1000, 2), 2: (502, 500, 1), 3: (501, 500, 1)}
