@@ -7,8 +7,12 @@ the lowest rank. About k ln k + 2k darts fill the signature whatever the number
 total weight (and further out where a coordinate stays empty).
 
 Signatures are joined band by band. Texts that share a band are not paired with each other: each is compared with the band's first text, by
-exact resemblance, and links are joined to classes. Texts of bands that then still hold several classes are compared across these classes, block
-by block: by signature first, and pairs that may be alike exactly as well.
+exact resemblance, and links are joined to classes. Bands that then still hold several classes are groups whose texts are compared across these classes,
+block by block. A group of more than a block is first parted by a second shared band, and by a third if need be: texts of
+resemblance 0.8 share 13 of the 32 bands on average, boilerplate of 0.5 two. Blocks hold signatures alone; texts follow only where signatures of
+two classes agree enough, and what is sent out are links that join classes, never all pairs. A pair that meets in several groups is compared in one.
+
+Elements are not weighted here: each distinct run has the weight 1, as resemblance of sets asks for.
 """
 
 from __future__ import annotations
@@ -114,53 +118,88 @@ def alike_enough(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def compare_blocks(least: float):
-    """mapInPandas function over rows sorted by (family, i, j): links between classes of block i and block j. Pairs whose signatures agree enough are
-    verified exactly, but for classes that a link found here has joined, so there are fewer links than rows."""
+def compare_blocks(least: float, texts: bool):
+    """mapInPandas function over rows sorted by (band, i, j): pairs of block i and block j that are of different classes, agree enough by signature and meet here: the
+    group's bands are the first ones that the pair shares. Without texts: the rows that have such a pair. With texts: the links, verified exactly, but for
+    classes that a link found here has joined, so there are fewer links than rows."""
 
-    def links(held: list) -> pd.DataFrame:
-        t, label, side = ([r[n] for r in held] for n in (0, 1, 2))
+    def near(held: list) -> Iterator[tuple[int, np.ndarray]]:
         s = np.stack([np.frombuffer(r[3], "<u2") for r in held])
-        cls = np.array(label)
-        left, right = (np.flatnonzero(np.array(side) == k) for k in (0, 1))
-        alone = not len(right)
-        sets: dict[int, np.ndarray] = {}
+        cls, places = np.array([r[1] for r in held]), held[0][4]
+        left, right = (np.flatnonzero(np.array([r[2] for r in held]) == k) for k in (0, 1))
+        for n, i in enumerate(left):
+            others = right if len(right) else left[n + 1 :]
+            others = others[cls[others] != cls[i]]
+            same = s[others] == s[i]
+            ok = same.mean(1) >= ESTIMATE if len(others) else np.zeros(0, bool)
+            others, shared = others[ok], same[ok].reshape(-1, K // BAND, BAND).all(2)
+            first = np.cumsum(shared, 1) <= len(places)
+            want = np.zeros(K // BAND, bool)
+            want[places] = True
+            others = others[(shared & first == want).all(1)]
+            if len(others):
+                yield i, others
+
+    def links(at: tuple, held: list) -> pd.DataFrame:
+        if not texts:
+            some = np.zeros(len(held), bool)
+            for i, others in near(held):
+                some[i] = some[others] = True
+            return pd.DataFrame([(*at, *held[k][:3], held[k][4]) for k in np.flatnonzero(some)], columns=["band", "i", "j", "_t", "label", "side", "places"])
+        t, cls, sets, out = [r[0] for r in held], np.array([r[1] for r in held]), {}, []
 
         def set_of(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = elements(held[i][4])
+                sets[i] = elements(held[i][5])
             return sets[i]
 
-        out = []
-        for n, i in enumerate(left):
-            others = left[n + 1 :] if alone else right
-            others = others[cls[others] != cls[i]]
-            for j in others[(s[others] == s[i]).mean(1) >= ESTIMATE] if len(others) else ():
-                if cls[i] != cls[j] and alike_enough(set_of(i), set_of(j), least):
-                    out.append((min(t[i], t[j]), max(t[i], t[j])))
-                    cls[cls == cls[j]] = cls[i]
+        for i, others in near(held):
+            for k in others:
+                if cls[i] != cls[k] and alike_enough(set_of(i), set_of(k), least):
+                    out.append((min(t[i], t[k]), max(t[i], t[k])))
+                    cls[cls == cls[k]] = cls[i]
         return pd.DataFrame(out, columns=["_a", "_b"], dtype=np.int64)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
         for part in parts:
-            for family, i, j, *row in part[["family", "i", "j", "_t", "label", "side", "signature", "raw"]].itertuples(index=False, name=None):
-                if (family, i, j) != at:
+            for band, i, j, *row in part[["band", "i", "j", "_t", "label", "side", "signature", "places"] + ["raw"] * texts].itertuples(index=False, name=None):
+                if (band, i, j) != at:
                     if len(held) > 1:
-                        yield links(held)
-                    at, held = (family, i, j), []
+                        yield links(at, held)
+                    at, held = (band, i, j), []
                 held.append(row)
         if len(held) > 1:
-            yield links(held)
+            yield links(at, held)
 
     return run
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def several_classes(groups: DataFrame) -> DataFrame:
+    """The rows (band, places, _t, label) of bands with more than one label, and their number in the band as n."""
+    some = groups.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "n")
+    return materialize(groups.join(materialize(some, narrow=True), "band"), narrow=True)
+
+
+def parted(groups: DataFrame, banded: DataFrame, most: int, rounds: int = 2) -> DataFrame:
+    """Groups of more than ``most`` rows parted by a further band, up to ``rounds`` times."""
+    small = groups.filter(F.col("n") <= most)
+    big = groups.filter(F.col("n") > most)
+    for _ in range(rounds):
+        if big.limit(1).count() == 0:
+            break
+        finer = big.join(banded.withColumnsRenamed({"band": "more", "place": "at"}), "_t").filter(F.col("at") > F.element_at("places", -1))
+        finer = finer.select(F.xxhash64("band", "more").alias("band"), F.concat("places", F.array("at")).alias("places"), "_t", "label")
+        finer = several_classes(finer)
+        small, big = small.unionByName(finer.filter(F.col("n") <= most)), finer.filter(F.col("n") > most)
+    return small.unionByName(big)
+
+
+def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """_t and label, the least node of its component, for each node of the edges (_a, _b).
 
     Each round every node takes the least of itself and its neighbours as its label, and the graph is contracted to the labels that still
-    have an edge between them; the rounds' labels are then put together.
+    have an edge between them; the rounds' labels are then put together. An error is raised if edges are left after most_rounds.
     """
     levels = []
     e = edges.select("_a", "_b").filter("_a <> _b")
@@ -174,6 +213,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         e = materialize(e, narrow=True)
         if e.limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     out = levels[0]
     for label in levels[1:]:
         nxt = label.select(F.col("_t").alias("label"), F.col("label").alias("_next"))
@@ -187,11 +228,11 @@ def texts_of(rows: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame:
     return only_near(rows, wanted, "_t", "_d").join(wanted, ["_t", "_d"]).select("_t", "raw").dropDuplicates(["_t"])
 
 
-def verified(rows: DataFrame, firsts: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+def verified(rows: DataFrame, firsts: DataFrame, edges: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """The pairs (_a, _b) of edges whose texts resemble each other by ``least`` or more. A text goes once to each text it is compared with; one
     with many partners is copied to several tasks, each with a share of them."""
     spark = rows.sparkSession
-    degree = materialize(edges.groupBy("_a").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("salts")), narrow=True)
+    degree = materialize(edges.groupBy("_a").agg((F.floor(F.count("*") / block) + 1).cast("int").alias("salts")), narrow=True)
     salt = F.pmod(F.xxhash64("_b"), F.col("salts")).cast("int").alias("_salt")
     roles = edges.join(degree, "_a").select("_a", salt, F.lit(False).alias("lead"), "_b", F.col("_b").alias("_t"))
     leads = degree.select("_a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"), F.lit(True).alias("lead"), F.col("_a").alias("_b"), F.col("_a").alias("_t"))
@@ -202,52 +243,75 @@ def verified(rows: DataFrame, firsts: DataFrame, edges: DataFrame, least: float)
     return groups.mapInPandas(alike(least), "_a long, _b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """One row for each row of docs: id_col, class_id (the least id of its class) and class_size (rows).
+def named_texts(rows: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
+    """rows (_m, _d, raw) with _t, a number for each different text, and the texts' table (_m, _t, _d: the least id, copies).
+
+    A text is known by _m, its 128-bit digest; _t is a hash, and texts whose hashes collide (all but never with 64 bits) get another number.
+    """
+    rows = rows.withColumn("_t", F.xxhash64("raw").bitwiseAND(F.lit((1 << name_bits) - 1 if name_bits < 64 else -1)))
+    firsts = materialize(rows.groupBy("_m", "_t").agg(F.min("_d").alias("_d"), F.count("*").alias("copies")), narrow=True)
+    twins = firsts.groupBy("_t").agg(F.count("*").alias("n")).filter("n > 1").select("_t")
+    other = materialize(firsts.join(twins, "_t", "left_semi").select("_m", F.xxhash64("_m", F.lit(1)).alias("_other")), narrow=True)
+    if (n := other.count()) == 0:
+        return rows, firsts
+    other = F.broadcast(other) if n <= 1_000_000 else other
+    anew = lambda df: df.join(other, "_m", "left").withColumn("_t", F.coalesce("_other", "_t")).drop("_other")
+    return anew(rows), materialize(anew(firsts), narrow=True)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, block: int = BLOCK, name_bits: int = 64, digests: bool = False) -> DataFrame:
+    """One row for each row of docs: id_col, class_id (the least id of its class) and class_size (rows); with ``digests`` also text_md5, of the row's text, and
+    class_md5, of the text that stands for the class (that of class_id, the least digest of several).
 
     Rows of equal texts are one class, and classes are joined by links between texts whose sets of five-word runs
     have a resemblance of ``least`` or more. Null counts as empty; texts without words are alike only if equal; null ids count as the
-    smallest number; an empty table gives none; other columns are ignored.
+    smallest number; an empty table gives none; other columns are ignored. Groups of more than ``block`` texts are parted and
+    compared block by block. Names of texts cut to name_bits collide, which does not change the result (a means of tests).
     """
     spark = docs.sparkSession
     prepare(spark)
     raw = as_bytes(F.col(text_col))
-    rows = docs.select(F.xxhash64(raw).alias("_t"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), raw.alias("raw"))
+    rows = docs.select(F.unhex(F.md5(raw)).alias("_m"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), raw.alias("raw"))
+    rows, firsts = named_texts(rows, name_bits)
     signed = materialize(rows.select("_t", "raw").mapInPandas(sign, "_t long, signature binary, bands array<long>"))
-    firsts = materialize(rows.groupBy("_t").agg(F.min("_d").alias("_d"), F.count("*").alias("copies")), narrow=True)
-    banded = signed.select("_t", F.explode("bands").alias("band"))
+    firsts_of = firsts.select("_t", "_d")
+    banded = signed.select("_t", F.posexplode("bands").alias("place", "band")).withColumn("place", F.col("place").cast("short"))
     shared = materialize(banded.groupBy("band").agg(F.min("_t").alias("_a"), F.max("_t").alias("z")).filter("_a < z").select("band", "_a"), narrow=True)
-    members = materialize(banded.join(shared, "band").select("band", "_a", "_t").distinct(), narrow=True)
+    members = materialize(banded.join(shared, "band").select("band", "place", "_a", "_t").distinct(), narrow=True)
     stars = members.filter("_a <> _t").select("_a", F.col("_t").alias("_b")).distinct()
-    links = materialize(verified(rows, firsts, stars, least))
+    links = materialize(verified(rows, firsts_of, stars, least, block))
     labels = components(links)
 
-    # Bands that still hold several classes: their texts fall into families that share such bands; blocks of a family are compared with each other.
-    open_ = materialize(members.join(labels, "_t", "left").withColumn("label", F.coalesce("label", "_t")), narrow=True)
-    several = materialize(open_.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band"), narrow=True)
-    open_ = materialize(open_.join(several, "band").select("_a", "_t", "label"), narrow=True)
-    if open_.limit(1).count():
-        family = components(open_.select("_a", F.col("_t").alias("_b"))).withColumnRenamed("label", "family")
-        nodes = materialize(open_.select("_t", "label").distinct().join(family, "_t"), narrow=True)
-        blocks = materialize(nodes.groupBy("family").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks")), narrow=True)
-        nodes = nodes.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("_t", F.lit(3)), F.col("blocks")).cast("int"))
-        placed = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Bands that still hold several classes.
+    groups = members.join(labels, "_t", "left").select("band", F.array("place").alias("places"), "_t", F.coalesce("label", "_t").alias("label"))
+    groups = several_classes(materialize(groups, narrow=True))
+    if groups.limit(1).count():
+        groups = parted(groups, banded.distinct(), block)
+        blocks = (F.floor((F.col("n") - 1) / block) + 1).cast("int")
+        nodes = groups.withColumn("own", F.pmod(F.xxhash64("_t", F.lit(3)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
-        placed = materialize(placed.select("family", "_t", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side), narrow=True)
-        known = placed.select("_t").distinct()
-        texts = texts_of(rows, firsts, known).join(signed.join(known, "_t").select("_t", "signature").dropDuplicates(["_t"]), "_t")
-        placed = placed.join(texts, "_t").repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j")
-        more = placed.select("family", "i", "j", "_t", "label", "side", "signature", "raw").mapInPandas(compare_blocks(least), "_a long, _b long")
-        more = materialize(more)
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-
-    classes = firsts.join(labels, "_t", "left").withColumn("label", F.coalesce("label", "_t"))
+        placed = nodes.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "_t", "label", side, "places")
+        known = materialize(signed.join(groups.select("_t").distinct(), "_t").select("_t", "signature").dropDuplicates(["_t"]))
+        schema = "band long, i int, j int, _t long, label long, side int, places array<short>"
+
+        def compared(placed: DataFrame, texts: bool, schema: str) -> DataFrame:
+            dealt = placed.join(known, "_t").repartition(partitions(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+            columns = ["band", "i", "j", "_t", "label", "side", "signature", "places"] + ["raw"] * texts
+            return materialize(dealt.select(columns).mapInPandas(compare_blocks(least, texts), schema))
+
+        near = compared(placed, False, schema)
+        if near.limit(1).count():
+            near = near.join(texts_of(rows, firsts_of, near.select("_t").distinct()), "_t")
+            links = links.unionByName(compared(near, True, "_a long, _b long"))
+            labels = components(links)
+
+    classes = firsts.join(labels, "_t", "left").select("_m", "_t", "_d", "copies", F.coalesce("label", "_t").alias("label"))
     classes = materialize(classes, narrow=True)
-    named = materialize(classes.groupBy("label").agg(F.min("_d").alias("class_id"), F.sum("copies").alias("class_size")), narrow=True)
-    classes = materialize(classes.join(named, "label").select("_t", "class_id", "class_size"), narrow=True)
-    out = rows.select("_t", "_d").join(classes, "_t").withColumns({"_d": F.nullif("_d", F.lit(-(2**63))), "class_id": F.nullif("class_id", F.lit(-(2**63)))})
-    return out.select(F.col("_d").alias(id_col), "class_id", "class_size")
+    named = materialize(classes.groupBy("label").agg(F.min(F.struct("_d", "_m")).alias("first"), F.sum("copies").alias("class_size")), narrow=True)
+    classes = materialize(classes.join(named, "label").select("_m", F.col("first._d").alias("class_id"), F.col("first._m").alias("class_md5"), "class_size"), narrow=True)
+    out = rows.select("_m", "_d").join(classes, "_m").withColumns({"_d": F.nullif("_d", F.lit(-(2**63))), "class_id": F.nullif("class_id", F.lit(-(2**63)))})
+    more = [F.lower(F.hex("_m")).alias("text_md5"), F.lower(F.hex("class_md5")).alias("class_md5")] if digests else []
+    return out.select(F.col("_d").alias(id_col), "class_id", "class_size", *more)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def after(covers: np.ndarray, rank: np.ndarray, step: int) -> np.ndarray:
     return np.where(covers[i] == covers + step, rank[i], -1)
 
 
-def sort_buckets(size: int, seed: int, most_bytes: int = 1 << 21):
+def sort_buckets(size: int, seed: int, most_bytes: int = 1 << 19):
     """mapInPandas function over blocks that are sorted by bucket: the spans of repeated windows."""
 
     def solve(rows: list[tuple]) -> pd.DataFrame:

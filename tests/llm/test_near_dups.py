@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 
-from gradeloom.llm import near_dups
 from gradeloom.llm.near_dups import dart_signatures, elements, near_duplicates
 
 
@@ -45,17 +44,37 @@ def corpus(seed, n=40):
     return rows + [(5000, None), (5001, ""), (5002, "..."), (5003, "..."), (None, "one two"), (5004, "one two"), (5004, "one two"), (5005, "x " * 20_000)]
 
 
-def check(spark, rows):
+def check(spark, rows, **how):
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, class_id int, band int")
-    got = sorted((-1 if r[0] is None else r[0], -1 if r[1] is None else r[1], r[2]) for r in near_duplicates(df).collect())
+    got = sorted((-1 if r[0] is None else r[0], -1 if r[1] is None else r[1], r[2]) for r in near_duplicates(df, **how).collect())
     assert got == brute(rows)
 
 
-def test_classes_against_brute_force(spark, monkeypatch):
+def test_classes_against_brute_force(spark):
     check(spark, corpus(1))
     check(spark, [])
-    monkeypatch.setattr(near_dups, "BLOCK", 3)
-    check(spark, corpus(2, 15))
+    check(spark, corpus(2, 15), block=3)
+
+
+def test_names_that_collide(spark):
+    check(spark, corpus(3, 15), name_bits=3)
+
+
+def test_boilerplate(spark):
+    """A chain of texts of resemblance about 0.5, far more than a block, with some pairs of 0.8 and more among them that no band's first text is near to."""
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(1200):
+        own = [f"o{i}x{k}" for k in range(26)]
+        rows.append((i, " ".join(base + own)))
+        if i % 40 == 0:
+            own[-1] = "changed"
+            rows.append((10_000 + i, " ".join(base + own)))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[1:] for r in near_duplicates(df, block=64).collect()}
+    assert got == {d: (d % 10_000, 2 if d % 10_000 % 40 == 0 else 1) for d, _ in rows}
 
 
 def test_signatures_estimate_resemblance():
