@@ -6,10 +6,10 @@ last one returns the packed pieces. A stage works on its predecessor's rows, whi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import materialize, table
+from gradeloom.llm.common import as_bytes, materialize, table
 from gradeloom.llm.decontam import contaminated_words
 from gradeloom.llm.langid import identify, third, train_language_model
 from gradeloom.llm.near_dups import near_duplicates as find_classes
@@ -23,8 +23,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs, model).filter(~F.col("rejected")).select(docs.columns)
 
 
+#: Bytes of a repeated passage: over 50 words, at four letters and a blank each, have 255 bytes or more.
+PASSAGE = 255
+
+
+def key_of(doc_id: Column, text_md5: Column) -> Column:
+    """A 128-bit key of a row's id and text."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), text_md5)))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("_key", key_of(F.col("doc_id"), F.md5(as_bytes(F.col("text")))))
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -34,10 +43,11 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the one with the least id (of equal ids, the one with the least digest of its text)."""
+    classes = find_classes(docs.select("doc_id", "text"), digests=True)
+    others = classes.filter(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("class_md5"))))
     docs = keyed(docs)
-    classes = find_classes(docs.select("_key", "text"), id_col="_key")
-    kept = without(docs, classes.filter("_key <> class_id"))
+    kept = without(docs, others.select(key_of(F.col("doc_id"), F.col("text_md5")).alias("_key")))
     twice = docs.groupBy("_key").count().filter("count > 1").select("_key")  # rows of equal id and text
     if twice.limit(1).count():
         twice = materialize(twice)
@@ -47,13 +57,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without bytes under a repeated 400-byte string, and without the rest of a letter that this cuts apart."""
-    kept = remove_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
+    """All documents, without bytes under a repeated string of PASSAGE bytes, and without the rest of a letter that this cuts apart."""
+    kept = remove_repeats(docs, size=PASSAGE, seed=80, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
     return kept.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; null texts stay."""
     docs = keyed(docs)
     found = contaminated_words(docs.select("_key", "text"), table(spark, sf_dir, "benchmark"), id_col="_key")
     return without(docs, found.filter("contaminated"))
