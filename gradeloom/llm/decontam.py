@@ -9,9 +9,9 @@ shingle, at consecutive places.
 Words are numbered by a dictionary of the benchmark's words; a shingle's code is a number built from its word numbers
 without loss, so no hash collision can make a false match.
 
-The benchmark is cut into blocks of at most ``block_words`` words (an item is never cut). Only one block's dictionary
-and window table is broadcast at a time, so what is broadcast is bounded by that parameter whatever the benchmark's size.
-Documents are never shuffled.
+The benchmark is cut into blocks of about ``block_words`` words (an item is never cut). Each block is a pass of its own over the documents: its dictionary, window
+table and counts are gathered, broadcast and given up before the next one's, so memory is bounded by that parameter whatever
+the benchmark's size, and a benchmark of n blocks costs n readings. Documents are not shuffled; with several blocks, what they hit is put together by document.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, prepare
+from .common import as_bytes, materialize, prepare, table
 
 #: One byte to one: A-Z lowered, digits, a-z and bytes from 0x80 kept, all else a blank.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -98,18 +99,18 @@ def size_of(block: Block) -> int:
 
 
 def find_shingles(block):
-    """mapInPandas function: adds to hit_at / hit_shingle the places and numbers of the block's shingles."""
+    """mapInPandas function: in place of raw, the number of words and the places and numbers of the block's shingles."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b: Block = block.value
         base, get = b.base(), b.numbers.get
         for part in parts:
             at, sh, count = [], [], []
-            for raw, old_at, old_sh in zip(part["raw"], part["hit_at"], part["hit_shingle"], strict=True):
+            for raw in part.pop("raw"):
                 ws = words_of(raw)
                 count.append(len(ws))
                 numbers = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
-                new_at, new_sh = [np.asarray(old_at, np.int32)], [np.asarray(old_sh, np.int64)]
+                new_at, new_sh = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
                 if numbers.any():
                     for w, codes in b.codes.items():
                         got = shingle_codes(numbers, w, base)
@@ -121,8 +122,7 @@ def find_shingles(block):
                         new_sh.append(i[ok] + b.first[w])
                 at.append(np.concatenate(new_at))
                 sh.append(np.concatenate(new_sh))
-            part["n_words"] = np.array(count, np.int64)
-            part["hit_at"], part["hit_shingle"] = at, sh
+            part["n_words"], part["hit_at"], part["hit_shingle"] = np.array(count, np.int64), at, sh
             yield part
 
     return run
@@ -131,7 +131,7 @@ def find_shingles(block):
 def join_windows(block, rarity, width: int):
     """mapInPandas function: the prefix join, the bounds and the verification for one block.
 
-    Adds to span_from / span_to the occurrences of windows, and to items the items that they belong to.
+    In place of the shingles: span_from and span_to, the occurrences of windows, and items, the items that they belong to.
     """
 
     def tables():
@@ -142,8 +142,7 @@ def join_windows(block, rarity, width: int):
             w = next(x for x in range(min(width, len(key)), 0, -1) if x in b.codes and base**x < 2**62)
             numbers = np.searchsorted(b.codes[w], shingle_codes(np.array(key, np.int64), w, base)) + b.first[w]
             steps.append(numbers)
-            seen = [(by_number.get(int(x), 0), int(x), i) for i, x in enumerate(numbers)]
-            rare, number, i = min(seen)
+            rare, number, i = min((by_number.get(int(x), 0), int(x), i) for i, x in enumerate(numbers))
             if rare:  # a shingle that no document holds rules its window out
                 prefix.setdefault(number, []).append((n, i))
         return b, steps, prefix
@@ -153,10 +152,8 @@ def join_windows(block, rarity, width: int):
         rare = np.array(sorted(prefix), np.int64)
         for part in parts:
             lo, hi, items = [], [], []
-            for n_words, at, sh, old_lo, old_hi, old_items in zip(
-                part["n_words"], part["hit_at"], part["hit_shingle"], part["span_from"], part["span_to"], part["items"], strict=True
-            ):
-                lo_, hi_, items_ = list(old_lo), list(old_hi), set(old_items)
+            for n_words, at, sh in zip(part["n_words"], part.pop("hit_at"), part.pop("hit_shingle"), strict=True):
+                lo_, hi_, items_ = [], [], set()
                 cand = np.flatnonzero(np.isin(sh, rare)) if len(sh) and len(rare) else ()
                 if len(cand):
                     there = set(zip(at.tolist(), sh.tolist(), strict=True))
@@ -178,34 +175,8 @@ def join_windows(block, rarity, width: int):
     return run
 
 
-def find_all(blocks: list):
-    """The shingles of all blocks, block after block; one Python worker a task."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            none = np.zeros(0, np.int32)
-            part["n_words"], part["hit_at"], part["hit_shingle"] = 0, [none] * len(part), [none] * len(part)
-            for b in blocks:
-                (part,) = find_shingles(b)(iter([part]))
-            yield part.drop(columns="raw")
-
-    return run
-
-
-def join_all(joins: list):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def empty() -> Iterator[pd.DataFrame]:
-            for part in parts:
-                none = np.zeros(0, np.int32)
-                part["span_from"], part["span_to"], part["items"] = [none] * len(part), [none] * len(part), [[] for _ in range(len(part))]
-                yield part
-
-        out = empty()
-        for join in joins:
-            out = join(out)
-        return digest(out)
-
-    return run
+def joined_digest(join):
+    return lambda parts: digest(join(parts))
 
 
 def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,32 +217,41 @@ def contaminated_words(
     bench = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("item"), as_bytes(F.col(item_text_col)).alias("raw"))
     n_words = bench.select(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0] // 4
     n_blocks = max(1, -(-n_words // block_words))
-    blocks, first = [], 0
-    for k in range(n_blocks):  # each block is bounded by block_words, and at least one item
-        rows = bench.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).collect()
-        block = make_blocks(sorted((r["item"], bytes(r["raw"])) for r in rows), window, shingle, first)
-        first += size_of(block)
-        blocks.append(spark.sparkContext.broadcast(block))
-
-    ints = F.array().cast("array<int>")
     rows = docs.select(F.col(id_col).alias("_row"), as_bytes(F.col(text_col)).alias("raw"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = materialize(rows.mapInPandas(find_all(blocks), f"_row {kind}, n_words long, hit_at array<int>, hit_shingle array<long>"))
-
-    seen = found.select(F.explode(F.array_distinct("hit_shingle")).alias("s")).groupBy("s").count()
-    joins = []
-    for b in blocks:
-        lo = min(b.value.first.values(), default=0)
-        df = {r["s"]: r["count"] for r in seen.filter((F.col("s") >= lo) & (F.col("s") < lo + size_of(b.value))).collect()}
-        joins.append(join_windows(b, spark.sparkContext.broadcast(df), shingle))
-    out = found.mapInPandas(
-        join_all(joins), f"_row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, span_from array<int>, span_to array<int>, items array<string>"
-    )
+    ids = f"_row {kind}"
+    if n_blocks > 1:  # rows get numbers, by which the blocks' results are put together
+        rows = materialize(rows.withColumn("_no", F.monotonically_increasing_id()).select("_row", "_no", "raw"))
+        ids += ", _no long"
+    spans = "span_from array<int>, span_to array<int>, items array<string>"
+    whole = "n_words long, n_hit long, n_items long, items_sha256 string, " + spans
+
+    def one_pass(k: int) -> DataFrame:
+        """Of block k: the digest if it is the only one, else its spans and, with the first block, all rows."""
+        items = bench.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).collect()  # bounded by block_words, or one item
+        block = spark.sparkContext.broadcast(make_blocks(sorted((r["item"], bytes(r["raw"])) for r in items), window, shingle, 0))
+        found = materialize(rows.mapInPandas(find_shingles(block), ids + ", n_words long, hit_at array<int>, hit_shingle array<long>"))
+        seen = found.select(F.explode(F.array_distinct("hit_shingle")).alias("s")).groupBy("s").count()
+        rarity = spark.sparkContext.broadcast({r["s"]: r["count"] for r in seen.collect()})  # of the block's shingles only
+        join = join_windows(block, rarity, shingle)
+        if n_blocks == 1:
+            return found.mapInPandas(joined_digest(join), f"{ids}, {whole}")
+        out = found.mapInPandas(join, f"{ids}, n_words long, {spans}")
+        out = materialize(out if k == 0 else out.filter(F.size("span_from") > 0))
+        block.destroy()
+        rarity.destroy()
+        return out
+
+    passes = [one_pass(k) for k in range(n_blocks)]
+    if n_blocks == 1:
+        out = passes[0]
+    else:
+        put = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        together = reduce(DataFrame.unionByName, passes).groupBy("_no").agg(put("span_from"), put("span_to"), F.array_sort(F.array_distinct(put("items"))).alias("items"))
+        out = passes[0].select("_row", "_no", "n_words").join(together, "_no").drop("_no").mapInPandas(digest, f"_row {kind}, {whole}")
     return out.withColumnRenamed("_row", id_col).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def op1_decontamination(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -90,8 +90,14 @@ def merge_sketches(df: DataFrame, group_col: str, sketch_col: str = "fingerprint
     n = partitions(df.sparkSession)
     rows = df.select(group_col, F.lit(0).alias("_salt"), F.coalesce(F.col(sketch_col), F.lit("")).alias("fingerprint")).mapInPandas(step, kind)
     rows = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(16)).cast("int")).repartition(n, group_col, "_salt").mapInPandas(step, kind)
-    rows = rows.withColumn("_salt", F.lit(0)).repartition(n, group_col).mapInPandas(step, kind)
-    return rows.select(group_col, "fingerprint", F.udf(lambda s: distinct(unpack(s), k), "double")("fingerprint").alias("n_shingles"))
+
+
+    def last(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in step(parts):
+            yield part[[group_col, "fingerprint"]].assign(n_shingles=[distinct(unpack(s), k) for s in part["fingerprint"]])
+
+    kind = f"`{group_col}` {df.schema[group_col].dataType.simpleString()}, fingerprint string, n_shingles double"
+    return rows.withColumn("_salt", F.lit(0)).repartition(n, group_col).mapInPandas(last, kind)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -186,15 +186,19 @@ def write_shards(folder: str, path: str, end_id: int):
     return run
 
 
-def write_token_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, parts: int | None = None) -> DataFrame:
+def write_token_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, parts: int | None = None, shard_bytes: int = 128 << 20) -> DataFrame:
     """Encode docs and write one shard file a part into ``folder``: documents in ascending id order (null ids first, equal ids by text)
-    from file to file. Returns part, tokens, documents and first (ids in the files before it). Null texts count as empty;
+    from file to file, in shards of about ``shard_bytes`` bytes of text (a document is never cut) unless ``parts`` says how many. Returns part, tokens, documents and first (ids in the files before it). Null texts count as empty;
     an empty table writes nothing.
     """
     spark = docs.sparkSession
     prepare(spark)
     path, n = tokenizer or tokenizer_path("byte_bpe_50k.json"), partitions(spark)
-    rows = deal_by_id(docs.select(F.col(id_col), as_bytes(F.col(text_col)).alias("raw")), id_col, parts or 4 * n).drop(id_col)
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        parts = max(4 * n, -(-size // shard_bytes))
+        n = max(n, parts // 4)
+    rows = deal_by_id(docs.select(F.col(id_col), as_bytes(F.col(text_col)).alias("raw")), id_col, parts).drop(id_col)
     rows = rows.repartition(n, "_part").sortWithinPartitions("_part", "_key", "raw")
     done = rows.mapInPandas(write_shards(folder, path, end_id), "part int, tokens long, documents long").collect()  # a row a file
     first, out = 0, []

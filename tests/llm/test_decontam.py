@@ -49,6 +49,29 @@ def test_benchmark_in_several_blocks(spark):
     check(spark, DOCS, ITEMS, block_words=4)
 
 
+def test_fifty_blocks_one_at_a_time(spark, monkeypatch):
+    """Never more than one block's tables are held, and none is left."""
+    from pyspark.core.broadcast import Broadcast
+
+    make, destroy, seen = spark.sparkContext.broadcast, Broadcast.destroy, {"made": 0, "live": 0, "most": 0}
+
+    def made(value):
+        seen["made"], seen["live"] = seen["made"] + 1, seen["live"] + 1
+        seen["most"] = max(seen["most"], seen["live"])
+        return make(value)
+
+    def destroyed(self, blocking=False):
+        seen["live"] -= 1
+        destroy(self, blocking)
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", made)
+    monkeypatch.setattr(Broadcast, "destroy", destroyed)
+    items = [(i, f"item{i} word{i} " + " ".join(f"q{i * 7 % 50} r{k}" for k in range(6))) for i in range(200)]
+    docs = [(i, "x " + items[i * 9 % 200][1] + " y") for i in range(30)] + DOCS
+    check(spark, docs, items + ITEMS, block_words=60)
+    assert seen["made"] >= 80 and seen["most"] == 2 and seen["live"] == 0
+
+
 def test_empty_tables(spark):
     check(spark, DOCS, [])
     check(spark, [], ITEMS)
