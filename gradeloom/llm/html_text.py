@@ -3,7 +3,8 @@
 The standard library's parser streams the page's events into lines, one a block element, with the number of tags in each. The ratio of
 text to tags of the lines is smoothed by a Gaussian and parted into two clusters by a threshold; the lines of the upper
 cluster are content. The region of the page that holds all the content, its articles if it marks any, is then taken
-whole, but for parts whose element or class says that they are something else (menus, adverts, forms, comments ...).
+whole, but for parts whose element or class says that they are something else (menus, adverts, forms, comments ...). Names that content may bear, too
+(related, share, header ...), only support the clusters: such a part goes unless most of its text is in the upper cluster and is not link text.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ NEVER = frozenset(
 REGIONS = frozenset(["article", "main"])
 #: Words of a class, id or role that say the same.
 NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies dialog "
-    "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup "
-    "promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe "
-    "subscription teaser toolbar widget complementary".split()
+    "ad ads adbox adsense advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
+    "disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup "
+    "promo promoted promotion reply replies respond sidebar signup sponsor sponsored subscribe subscription complementary".split()
 )
+#: Words that only support what the clusters say.
+HINTS = frozenset("banner dialog header login recommended related response responses search share sharing social teaser toolbar widget".split())
 #: A start tag of the key closes an open one of the values (as in HTML without end tags).
 CLOSES = {t: frozenset(["p"]) for t in BLOCK} | {
     "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]),
@@ -45,40 +47,47 @@ CLOSES = {t: frozenset(["p"]) for t in BLOCK} | {
 WALLS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
 
 
-def named(attrs: list[tuple[str, str | None]]) -> bool:
+def named(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether an element's names say that it is no main text, and whether they hint at it."""
+    says = hints = False
     for key, value in attrs:
         if key in ("class", "id", "role"):
-            if not NAMES.isdisjoint((value or "").lower().replace("-", " ").replace("_", " ").split()):
-                return True
+            words = (value or "").lower().replace("-", " ").replace("_", " ").split()
+            says |= not NAMES.isdisjoint(words)
+            hints |= not HINTS.isdisjoint(words)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in (value or "").replace(" ", "").lower():
-            return True
-    return False
+            says = True
+    return says, hints
 
 
 class Lines(HTMLParser):
-    """Lists (text, tags, chain of open containers, whether it can be content) of each line."""
+    """Lists (text, tags, container, whether it can be content, hinted part, link characters) of each line. Containers are numbered in order and know their parent;
+    container 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.regions: set[int] = set()
-        self.stack: list[tuple[str, bool, int]] = []  # tag, whether it hides, its number if it is a container
-        self.chain: tuple[int, ...] = ()
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
+        self.parents, self.regions = [0], set()
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, whether it hides, whether it is a container
+        self.open: list[int] = [0]  # the open containers
+        self.hinted: list[int] = [0]  # for each open element the hinted part around it, 0 if none
         self.text: list[str] = []
-        self.tags, self.hidden, self.numbers, self.in_region = 0, 0, 0, 0
+        self.tags, self.hidden, self.in_region, self.in_link, self.link, self.hints = 0, 0, 0, 0, 0, 0
 
     def line(self) -> None:
         if words := " ".join("".join(self.text).split()):
-            self.lines.append((words, self.tags, self.chain, not self.hidden))
-        self.text, self.tags = [], 0
+            self.lines.append((words, self.tags, self.open[-1], not self.hidden, self.hinted[-1], self.link))
+        self.text, self.tags, self.link = [], 0, 0
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.in_link:
+            self.link += len(data)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if closes := CLOSES.get(tag):
             wall = WALLS.get(tag, frozenset())
-            for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 40), -1):
+            for i in range(len(self.stack) - 1, -1, -1):
                 name = self.stack[i][0]
                 if name in closes:
                     self.close_from(i)
@@ -91,24 +100,23 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        hides = tag in NEVER or tag not in ("html", "body", "article", "main") and named(attrs) and not (self.in_region and tag == "header")
-        hides |= tag == "header" and not self.in_region
+        says, hints = named(attrs) if tag not in ("html", "body", "article", "main") else (False, False)
+        hides = tag in NEVER or says and not (self.in_region and tag == "header") or tag == "header" and not self.in_region
         if hides and tag not in BLOCK and not self.hidden:
-            self.hide_inline()
-        number = -1
-        if tag in BLOCK and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
-            number, self.numbers = self.numbers, self.numbers + 1
-            self.chain += (number,)
+            self.outer, self.text = self.text, []  # text of a hidden inline element does not join the line around it
+        container = tag in BLOCK and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
+        if container:
+            self.parents.append(self.open[-1])
+            self.open.append(len(self.parents) - 1)
             if tag in REGIONS:
-                self.regions.add(number)
+                self.regions.add(self.open[-1])
                 self.in_region += 1
-        self.stack.append((tag, hides, number))
+        self.in_link += tag == "a"
+        self.hints += hints and not self.hinted[-1]
+        self.hinted.append(self.hinted[-1] or (self.hints if hints else 0))
+        self.stack.append((tag, hides, container))
         self.hidden += hides
 
-    def hide_inline(self) -> None:
-        """Text of a hidden inline element does not join the line around it."""
-        self.outer, self.text = self.text, []
-
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -125,15 +133,17 @@ class Lines(HTMLParser):
 
     def close_from(self, i: int) -> None:
         while len(self.stack) > i:
-            tag, hides, number = self.stack[-1]
+            tag, hides, container = self.stack[-1]
             if tag in BLOCK:
                 self.line()
             self.stack.pop()
+            self.hinted.pop()
             self.hidden -= hides
+            self.in_link -= tag == "a"
             if hides and tag not in BLOCK and not self.hidden:
                 self.text = self.outer
-            if number >= 0:
-                self.chain = self.chain[:-1]
+            if container:
+                self.open.pop()
                 self.in_region -= tag in REGIONS
 
 
@@ -163,23 +173,55 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.close()
     parser.line()
     lines = parser.lines
-    if not any(ok for *_, ok in lines):
+    if not any(line[3] for line in lines):
         return ""
     ratio = smooth(np.log1p([len(text) / max(1, tags) for text, tags, *_ in lines]), sigma)
-    cut = threshold(ratio)
-    content = [ok and r >= cut for r, (*_, ok) in zip(ratio, lines, strict=True)]
+    high = ratio >= threshold(ratio)
+    sums = np.zeros((parser.hints + 1, 3))  # of each hinted part: characters, those in the upper cluster, those of links
+    for (text, *_, hint, link), up in zip(lines, high, strict=True):
+        sums[hint] += len(text), len(text) * up, link
+    fine = (2 * sums[:, 1] > sums[:, 0]) & (2 * sums[:, 2] < sums[:, 0])
+    fine[0] = True
+    can = [line[3] and fine[line[4]] for line in lines]
+    content = [ok and up for ok, up in zip(can, high, strict=True)]
     if not any(content):
-        content = [ok for *_, ok in lines]
-    chosen = [chain for (_, _, chain, _), yes in zip(lines, content, strict=True) if yes]
-    marked = {c for chain in chosen for c in chain if c in parser.regions}
+        content = can
+    inside = within(parser.parents, parser.regions, [line[2] for line, yes in zip(lines, content, strict=True) if yes])
+    return "\n".join(line[0] for line, ok, yes in zip(lines, can, content, strict=True) if ok and (yes or inside[line[2]]))
+
+
+def within(parents: list[int], regions: set[int], chosen: list[int]) -> list[bool]:
+    """Of each container whether it is part of the region that holds the chosen lines, given by their containers: the marked regions (articles, main) around chosen lines, and
+    the containers of lines chosen outside them (of one that is also around a marked region only the chosen lines); without marks the deepest container of all."""
+    holds = [False] * len(parents)  # a chosen line, at any depth
+    for c in chosen:
+        while not holds[c]:
+            holds[c] = True
+            c = parents[c]
+    taken = [False] * len(parents)
+    marked = {c for c in regions if holds[c]}
     if marked:
-        # beside the marked regions, the containers of lines chosen outside them; of one that is also around a marked region only the chosen lines
-        around = {c for chain in chosen if not marked.isdisjoint(chain) for c in chain}
-        regions = marked | {chain[-1] for chain in chosen if chain and chain[-1] not in around}
-    else:
-        around = set(chosen[0]).intersection(*chosen)
-        regions = {max(around)} if around else set()
-    return "\n".join(text for (text, _, chain, ok), yes in zip(lines, content, strict=True) if ok and (yes or not regions or not regions.isdisjoint(chain)))
+        deep = [c in marked for c in range(len(parents))]  # in a marked region, or one itself
+        for c in range(1, len(parents)):
+            deep[c] |= deep[parents[c]]
+        around = [False] * len(parents)
+        for c in marked:
+            while c and not around[c]:
+                around[c] = True
+                c = parents[c]
+        for c in marked.union(c for c in chosen if c and not deep[c] and not around[c]):
+            taken[c] = True
+    elif chosen:
+        own, below = set(chosen), [0] * len(parents)
+        for c in range(1, len(parents)):
+            below[parents[c]] += holds[c]
+        c = 0
+        while c not in own and below[c] == 1:  # one way down
+            c = next(k for k in range(c + 1, len(parents)) if parents[k] == c and holds[k])
+        taken[c] = True
+    for c in range(1, len(parents)):
+        taken[c] |= taken[parents[c]]
+    return taken
 
 
 def extract_main_text(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

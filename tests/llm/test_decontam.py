@@ -49,7 +49,7 @@ def test_benchmark_in_several_blocks(spark):
     check(spark, DOCS, ITEMS, block_words=4)
 
 
-def test_fifty_blocks_one_at_a_time(spark, monkeypatch):
+def test_blocks_one_at_a_time(spark, monkeypatch):
     """Never more than one block's tables are held, and none is left."""
     from pyspark.core.broadcast import Broadcast
 
@@ -66,10 +66,10 @@ def test_fifty_blocks_one_at_a_time(spark, monkeypatch):
 
     monkeypatch.setattr(spark.sparkContext, "broadcast", made)
     monkeypatch.setattr(Broadcast, "destroy", destroyed)
-    items = [(i, f"item{i} word{i} " + " ".join(f"q{i * 7 % 50} r{k}" for k in range(6))) for i in range(200)]
-    docs = [(i, "x " + items[i * 9 % 200][1] + " y") for i in range(30)] + DOCS
+    items = [(i, f"item{i} word{i} " + " ".join(f"q{i * 7 % 50} r{k}" for k in range(6))) for i in range(40)]
+    docs = [(i, "x " + items[i * 9 % 40][1] + " y") for i in range(30)] + DOCS
     check(spark, docs, items + ITEMS, block_words=60)
-    assert seen["made"] >= 80 and seen["most"] == 2 and seen["live"] == 0
+    assert seen["made"] >= 14 and seen["most"] == 2 and seen["live"] == 0
 
 
 def test_empty_tables(spark):

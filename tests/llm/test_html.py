@@ -40,3 +40,41 @@ def test_content_in_several_blocks():
         assert main_text(PAGE.format(main=page)) == "\n".join([intro] + [body] * 8), (one, many)
     page = f"<article><p>{intro}</p></article><div><div><p>{body}</p></div></div>"
     assert main_text(PAGE.format(main=page)) == f"{intro}\n{body}"
+
+
+LAYOUTS = [
+    "{top}<article>{body}</article>{bottom}", "{top}<main><div>{body}</div></main>{bottom}", "{top}<div id=content><div class=post>{body}</div></div>{bottom}",
+    "<table><tr><td>{top}</td><td><div>{body}</div></td></tr></table>{bottom}", "<div class=page>{top}<section><div>{body}</div></section>{bottom}</div>",
+    "{top}<main><article><header>{head}</header><div>{rest}</div></article></main>{bottom}",
+]
+AD = "Buy one of these today, and get another one for nothing at all, as long as there are some left."
+NOISE = [
+    ("<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<footer><p>Company, all rights reserved, and an address that is long.</p></footer>"),
+    (f"<div class=advert><p>{AD}</p></div>", f"<div class='sponsored box'><p>{AD}</p></div>"),
+    ("<div id=cookie-banner><p>We use cookies, and we tell you so at great length, on each and every page.</p></div>", "<div class=newsletter><p>Sign up for our letter and never miss a thing.</p></div>"),
+    ("<aside><p>About the author, who has written many things for this and other pages.</p></aside>", "<section id=comments><p>First! I have read all of it and I do not agree with a word.</p></section>"),
+    ("<div class=share><a href=1>Mail it</a> <a href=2>Print it</a></div>", "<div class=related><ul><li><a href=1>Another story that you may like to read</a><li><a href=2>One more story for you</a></ul></div>"),
+]
+
+
+def test_thirty_pages():
+    head, rest = "<h1>Head line</h1>", "".join(f"<p>Paragraph {i} has words enough to be a part of the text, and <a href=x>a link</a>, too.</p>" for i in range(5)) + "<p>End.</p>"
+    want = "Head line\n" + "\n".join(f"Paragraph {i} has words enough to be a part of the text, and a link, too." for i in range(5)) + "\nEnd."
+    for layout in LAYOUTS:
+        for top, bottom in NOISE:
+            page = "<html><head><title>T</title></head><body>" + layout.format(top=top, bottom=bottom, head=head, rest=rest, body=head + rest) + "</body></html>"
+            assert main_text(page) == want, page
+
+
+def test_content_named_like_something_else():
+    """Names that only hint do not remove text that the clusters chose."""
+    text = "Words that are long enough to be content of this page, whatever the class of the block may say."
+    for name in ("related", "share", "header", "social", "search"):
+        page = f"<article><p>{text}</p><div class={name}><p>{text} Again.</p></div><p>{text}</p></article>"
+        assert main_text(PAGE.format(main=page)) == f"{text}\n{text} Again.\n{text}", name
+
+
+def test_deep_nesting():
+    """20,000 open elements, blocks and inline ones, in time and memory that grow with them."""
+    assert main_text("<div>" * 20_000 + "deep words" + "</div>" * 20_000) == "deep words"
+    assert main_text("<div>" * 20_000 + "<p>a<p>b" + "<span>" * 20_000 + "c<p>d") == "a\nb c\nd".replace("b c", "bc")
