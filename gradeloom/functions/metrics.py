@@ -49,7 +49,7 @@ def replicate_weight(key: Column, replicate: Column) -> Column:
 
 def bootstrap(df: DataFrame, keys: list[str], entity: str, replicates: int, score: str = "p", y: str = "y") -> DataFrame:
     """keys, rep, auc of resampled entities: one weight an entity and replicate, shared by all keys, so differences between keys are paired.
-    Replicates are weights on the grouped (key, score) sums, not copies of joins."""
+    Each row is taken once a replicate, with a weight, and summed by (key, replicate, score) before the shuffle; nothing is joined."""
     rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     rows = rows.withColumn("_w", replicate_weight(F.col(entity), F.col("rep"))).filter("_w > 0")
     return auc(rows, [*keys, "rep"], score, y, F.col("_w"))

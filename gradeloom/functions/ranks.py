@@ -49,6 +49,17 @@ def ranked(df: DataFrame, keys: list[str], value: str, **grid) -> DataFrame:
     return kept.join(steps, [*keys, value]).join(total, keys).select(*kept.columns, rank, (rank / F.col("_total")).alias("pct_rank"))
 
 
+def numbered(df: DataFrame, value: Column, order: list[str], lo: float, hi: float, name: str = "_n", bins: int = 4096) -> DataFrame:
+    """df with the position (from 0) of each row by value and then by order. Values are cut into bins between lo and hi, which are numbered in parallel."""
+    rows = df.withColumn("_v", value)
+    rows = rows.withColumn("_bin", F.least(F.greatest(F.floor((F.col("_v") - lo) / (hi - lo + 1) * bins), F.lit(-1)), F.lit(bins)).cast("int"))
+    sizes = rows.groupBy("_bin").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    sizes = sizes.select("_bin", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy("_v", *order)) - 1
+    return rows.withColumn("_in", place).join(F.broadcast(sizes), "_bin").withColumn(name, F.col("_in") + F.col("_base")).drop("_v", "_bin", "_in", "_base")
+
+
 def corr(a: Column | str, b: Column | str) -> Column:
     """Correlation as an aggregate; null where a side is constant (the built-in one raises an error there in ANSI mode)."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

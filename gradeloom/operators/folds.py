@@ -25,18 +25,21 @@ def deal(groups: DataFrame, group_col: str, signature: list[Column], folds: int)
     return rows.filter(even).select(group_col, fold.alias("fold")), rows.filter(~even).select(groups.columns)
 
 
-def assign_folds(groups: DataFrame, group_col: str, size_col: str, label_cols: list[str], folds: int = 5) -> DataFrame:
+def assign_folds(groups: DataFrame, group_col: str, size_col: str, label_cols: list[str], folds: int = 5, most: int = 100_000) -> DataFrame:
     """(group, fold): one fold a group, sizes and label sums balanced.
 
     Groups of equal size and label sums are dealt evenly; what is left over is dealt by coarser signatures (powers of two), and only the
-    rest of that, at most folds for each of a few thousand coarse signatures, is placed greedily on the driver: largest
-    first, each where the shares of all columns then vary least.
+    rest of that, fewer than folds for each coarse signature, is placed greedily on the driver: largest
+    first, each where the shares of all columns then vary least. With many label columns that rest may be long; if it has over ``most`` rows, it is dealt by size alone before.
     """
     columns = [size_col, *label_cols]
     groups = groups.select(group_col, *columns)
     first, left = deal(groups, group_col, [F.col(c) for c in columns], folds)
     second, left = deal(left, group_col, [F.floor(F.log2(F.col(c) + 1)) for c in columns], folds)
     dealt = first.unionByName(second)
+    if left.count() > most:  # fewer than folds for each power of two of the size are left then
+        third, left = deal(left, group_col, [F.floor(F.log2(F.col(size_col) + 1))], folds)
+        dealt = dealt.unionByName(third)
     start = np.zeros((folds, len(columns)))
     for r in dealt.join(groups, group_col).groupBy("fold").agg(*[F.sum(c).alias(c) for c in columns]).collect():
         start[r["fold"]] = [r[c] for c in columns]

@@ -79,10 +79,17 @@ def has_all(clause: Column, term: str) -> Column:
 
 
 def spans(clause: Column, stems: list[str]) -> Column:
-    """All occurrences of the stems as an array of structs (s, e), ascending."""
+    """All occurrences of the stems as an array of structs (s, e), ascending. A stem that can overlap itself is tried at every place; others part the clause once, and
+    the parts' lengths give the places."""
     def of(stem: str) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(clause))), lambda i: F.substr(clause, i, F.lit(len(stem))) == stem)
-        return F.transform(starts, lambda i: F.struct(i.alias("s"), (i + len(stem)).alias("e")))
+        n = len(stem)
+        if any(stem.endswith(stem[:k]) for k in range(1, n)):
+            starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(clause))), lambda i: F.substr(clause, i, F.lit(n)) == stem)
+        else:
+            parts = F.transform(F.split(clause, re.escape(stem), -1), lambda p: F.length(p))
+            before = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(1) + (i - 1) * n, lambda sum_, p: sum_ + p)
+            starts = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), before)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("s"), (i + n).alias("e")))
 
     return F.array_sort(F.concat(*map(of, stems)))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered
 from ..sources.tables import table
 from .base import documents, query
 from .metric_queries import r6
@@ -125,9 +126,11 @@ def json1(spark, d):
 
 @query("src4_request_lines", "SELECT format('r{:05d}', row_number() OVER (ORDER BY doc_id) - 1) AS id, doc_id, length(text) AS size FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def src4(spark, d):
-    docs = documents(spark, d).join(table(spark, d, "labels", "doc_id"), "doc_id", "left_semi")
-    rn = F.row_number().over(Window.orderBy("doc_id")) - 1  # the request file of a sampled table: one sorted partition
-    lines = docs.select(F.format_string("r%05d", rn).alias("id"), F.to_json(F.struct("doc_id", "text")).alias("line"))
+    """Numbers go to ids alone, within ranges of them; texts are joined afterwards."""
+    ids = table(spark, d, "documents", "doc_id").join(table(spark, d, "labels", "doc_id"), "doc_id", "left_semi")
+    lo, hi = table(spark, d, "documents", "doc_id").agg(F.min("doc_id"), F.max("doc_id")).first()
+    ids = numbered(ids, F.col("doc_id"), [], lo or 0, hi or 0)
+    lines = documents(spark, d).join(ids, "doc_id").select(F.format_string("r%05d", "_n").alias("id"), F.to_json(F.struct("doc_id", "text")).alias("line"))
     body = F.from_json("line", "doc_id long, text string")
     return lines.select("id", body["doc_id"].alias("doc_id"), F.length(body["text"]).cast("long").alias("size"))
 

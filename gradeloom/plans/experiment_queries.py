@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import auc, bootstrap, macro
 from ..functions.ranks import ranked
+from ..operators.baseline import out_of_fold
 from ..operators.folds import assign_folds, fold_report
 from ..sources.tables import table
 from .base import AUCS, GOLD, RANKED, SCORED, gold, query, scored
@@ -32,6 +33,24 @@ def fold2(spark, d):
     return fold_report(folded(spark, d), "fold", "source", ["quality", "toxic"])
 
 
+@query("agg25_fold_sizes", f"WITH {FOLDS}, g AS (SELECT source, count(DISTINCT fold) AS k FROM f GROUP BY source) SELECT fold, count(*) AS n, count(DISTINCT source) AS n_groups, count(*) FILTER (quality = 1) AS n_quality, count(*) FILTER (toxic = 1) AS n_toxic, count(DISTINCT source) FILTER (k > 1) AS split FROM f JOIN g USING (source) GROUP BY fold")
+def agg25(spark, d):
+    """Sizes, groups and positives of each fold, and its groups that another fold has as well."""
+    f = folded(spark, d)
+    spread = f.groupBy("source").agg(F.countDistinct("fold").alias("k"))
+    cells = f.groupBy("fold", "source").agg(F.count("*").alias("c"), F.count_if(F.col("quality") == 1).alias("q"), F.count_if(F.col("toxic") == 1).alias("t")).join(spread, "source")
+    return cells.groupBy("fold").agg(F.sum("c").alias("n"), F.count("*").alias("n_groups"), F.sum("q").alias("n_quality"), F.sum("t").alias("n_toxic"), F.count_if(F.col("k") > 1).alias("split"))
+
+
+@query("ml1_metadata_baseline")
+def ml1(spark, d):
+    """AUC of labels predicted from metadata alone, out of fold: what the way of collection gives away. Null where a class has too few rows."""
+    rows = table(spark, d, "documents", "doc_id", "lang", "source", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    features = {"size": F.log1p("n_chars"), "site": F.substring("source", 4, 9).cast("double")} | {f"is_{x}": (F.col("lang") == x).cast("double") for x in ("de", "en", "es", "fr")}
+    rows = rows.select("doc_id", "quality", "toxic", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in features.items()])
+    return out_of_fold(rows, "doc_id", ["quality", "toxic"], list(features))
+
+
 @query("fold3_group_key", "SELECT CASE WHEN n_chars > 1000 THEN source ELSE 'text_' || substr(md5(text), 1, 4) END AS grp, count(*) AS n FROM documents GROUP BY 1")
 def fold3(spark, d):
     key = F.when(F.col("n_chars") > 1000, F.col("source")).otherwise(F.concat(F.lit("text_"), F.substring(F.md5("text"), 1, 4)))
@@ -211,7 +230,7 @@ def families(spark, d) -> DataFrame:
     """r1: the rank of the rank mean of a and b; r2: c's rank, where c has the row, else r1."""
     rows = scored(spark, d)
     one = rank_mean(rows.filter("arm in ('a', 'b')")).withColumn("p", F.round("s", 9))
-    one = ranked(one, ["label"], "p", lo=0.0, hi=1e6).select("doc_id", "label", F.col("pct_rank").alias("r1"))
+    one = ranked(one, ["label"], "p", lo=0.0, hi=float(table(spark, d, "labels").count() + 1)).select("doc_id", "label", F.col("pct_rank").alias("r1"))
     two = ranked(rows.filter("arm = 'c'"), ["label"], "p").select("doc_id", "label", "y", F.col("pct_rank").alias("r2"))
     return one.join(two, ["doc_id", "label"]).withColumn("r2", F.coalesce(F.when(F.col("doc_id") % 6 != 0, F.col("r2")), F.col("r1")))
 

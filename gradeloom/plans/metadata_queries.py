@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import avg_rank, corr
 from ..operators import metadata as m
-from ..sources.tables import registry, require, table, to_wide
+from ..sources.tables import read_csv, registry, require, table, to_wide, write_csv
 from .base import GOLD, RANKED, SCORED, documents, gold, query, scored
 from .metric_queries import r6
 
@@ -208,6 +208,14 @@ def win15(spark, d):
     return ordered_events(spark, d).filter(F.array_contains(F.transform(F.sequence(F.lit(0), F.lit(3)), spot), F.col("i"))).select("user_id", "event_id")
 
 
+@query("src1_csv_round_trip", "SELECT doc_id, sha256(text) AS digest, lang, n_chars FROM documents")
+def src1(spark, d):
+    """Documents written as CSV, with line breaks and quotes in texts, and read back by a given schema."""
+    docs = documents(spark, d).select("doc_id", "text", "lang", "n_chars")
+    back = read_csv(spark, write_csv(docs), docs.schema)
+    return back.select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "n_chars")
+
+
 @query("src2_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01'")
 def src2(spark, d):
     return table(spark, d, "lineitem").filter(F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_quantity")

@@ -404,6 +404,11 @@ def set2(spark, d):
     return table(spark, d, "customer", "c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
 
 
+@query("set4_intersect", "SELECT doc_id FROM documents WHERE n_chars > 500 INTERSECT SELECT doc_id FROM labels")
+def set4(spark, d):
+    return table(spark, d, "documents").filter("n_chars > 500").select("doc_id").intersect(table(spark, d, "labels", "doc_id"))
+
+
 @query("set3_key_equality", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS extra")
 def set3(spark, d):
     a, b = table(spark, d, "documents", "doc_id").withColumn("a", F.lit(1)), table(spark, d, "labels", "doc_id").withColumn("b", F.lit(1))

@@ -74,13 +74,21 @@ def states(spark, d):
     return cells.join(best, ["doc_id", "label"], "left").withColumn("state", F.coalesce("state", F.lit("absent")))
 
 
-@query("txt1_normalize")
+#: The letters' table in SQL; \\s of the other engine has one blank more.
+NORM = "lower(translate({}, '%s', '%s'))" % t.fold_table()
+SPACE = r"\t\n\x0b\f\r "
+
+
+@query("txt1_normalize", f"SELECT doc_id, sha256(n) AS digest, length(n) = length(text) AS same_length FROM (SELECT doc_id, text, {NORM.format('text')} AS n FROM documents)")
 def txt1(spark, d):
     n = t.normalize(F.col("text"))
     return documents(spark, d).select("doc_id", F.sha2(n, 256).alias("digest"), (F.length(n) == F.length("text")).alias("same_length"))
 
 
-@query("txt2_normalize_hard")
+HARD = NORM.format("replace(replace(text, 'ß', 'ss'), chr(173), '')")
+
+
+@query("txt2_normalize_hard", f"SELECT doc_id, sha256(trim(regexp_replace({HARD}, '[{SPACE}_\\-/\\\\]+', ' ', 'g'))) AS digest FROM documents")
 def txt2(spark, d):
     return documents(spark, d).select("doc_id", F.sha2(t.normalize_hard(F.col("text")), 256).alias("digest"))
 
@@ -90,7 +98,17 @@ def txt3(spark, d):
     return clauses(spark, d).select("doc_id", "pos", F.md5("clause").alias("clause"))
 
 
-@query("txt4_merged_clauses")
+@query(
+    "txt4_merged_clauses",
+    rf"""WITH s AS (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '([.!?])[{SPACE}]+', '\1' || chr(1), 'g'), chr(1) || '|[;\n\r]+') AS parts FROM documents),
+c0 AS (SELECT * FROM (SELECT doc_id, unnest(range(len(parts)))::INTEGER AS pos, trim(unnest(parts)) AS clause FROM s) WHERE clause <> ''),
+c1 AS (SELECT *, ends_with(clause, ':') AND len(string_split_regex(clause, '[{SPACE}]+')) <= 14 AS head FROM c0),
+c2 AS (SELECT *, lag(CASE WHEN head THEN clause END) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM c1),
+c3 AS (SELECT doc_id, pos, concat_ws(' ', before, clause) AS clause FROM c2 WHERE NOT head),
+c4 AS (SELECT doc_id, pos, list_concat([clause], CASE WHEN len(string_split_regex(trim(clause), '[{SPACE}]+')) > 25
+    THEN list_filter(list_transform(string_split(clause, ','), lambda p: trim(p)), lambda p: len(string_split_regex(p, '[{SPACE}]+')) > 2) ELSE [] END) AS parts FROM c3)
+SELECT doc_id, pos, unnest(range(len(parts)))::INTEGER AS part, md5(unnest(parts)) AS clause FROM c4""",
+)
 def txt4(spark, d):
     return t.merged_clauses(documents(spark, d), ["doc_id"]).select("doc_id", "pos", "part", F.md5("clause").alias("clause"))
 
@@ -121,7 +139,10 @@ def txt8(spark, d):
     return c.select("doc_id", "pos", t.distance(t.spans(F.col("clause"), ["and"]), t.spans(F.col("clause"), ["ion"])).alias("gap")).filter("gap <= 25")
 
 
-@query("txt9_spans")
+COUNT = "len(regexp_extract_all(clause, '{}'))"
+
+
+@query("txt9_spans", f"WITH {CL} SELECT doc_id, pos, ({' + '.join(COUNT.format(x) for x in ('and', 'an', 'ion'))})::INTEGER AS hits, {COUNT.format('and|an|ion')}::INTEGER AS kept FROM clauses")
 def txt9(spark, d):
     s = t.spans(F.col("clause"), ["and", "an", "ion"])
     return clauses(spark, d).select("doc_id", "pos", F.size(s).alias("hits"), F.size(t.greedy(s)).alias("kept"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered
 from ..sources.tables import table
 from .base import SCORED, documents, query, scored
 from .metric_queries import r6
@@ -95,9 +96,9 @@ def win13(spark, d):
 
 @query("win14_item_ids", f"SELECT doc_id, format('it{{:04d}}', row_number() OVER (ORDER BY {HASH.format('doc_id', 1)}, doc_id) - 1) AS item_id FROM labels")
 def win14(spark, d):
-    """Positions in a seeded shuffle: an id map over a sampled table, so one sorted partition."""
-    rn = F.row_number().over(Window.orderBy(order_hash(F.col("doc_id"), 1), "doc_id")) - 1
-    return table(spark, d, "labels").select("doc_id", F.format_string("it%04d", rn).alias("item_id"))
+    """Positions in a seeded shuffle, numbered within ranges of the order."""
+    rows = numbered(table(spark, d, "labels", "doc_id"), order_hash(F.col("doc_id"), 1), ["doc_id"], 0, 2**31)
+    return rows.select("doc_id", F.format_string("it%04d", "_n").alias("item_id"))
 
 
 @query("win16_first_middle_last", f"WITH {EV} SELECT user_id, event_id, i FROM e WHERE i IN (0, n // 2, n - 1)")
@@ -185,8 +186,10 @@ def smp4(spark, d):
 def smp5(spark, d):
     rows = table(spark, d, "labels", "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("trial"))
     rows = rows.withColumn("_h", F.pmod(F.col("doc_id") * 1103515245 + (F.col("trial") + 10) * 12345, F.lit(2147483647)))
-    rank = F.row_number().over(Window.partitionBy("trial").orderBy("_h", "doc_id"))
-    return rows.select("trial", "doc_id", (rank <= 25).alias("chosen"))
+    first = lambda df, *keys: df.withColumn("_r", F.row_number().over(Window.partitionBy("trial", *keys).orderBy("_h", "doc_id"))).filter("_r <= 25")
+    chosen = first(first(rows.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(64))), "_s"))  # thinned in slices first
+    chosen = F.broadcast(chosen.select("trial", "doc_id", F.lit(True).alias("chosen")))  # 25 rows a trial
+    return rows.join(chosen, ["trial", "doc_id"], "left").select("trial", "doc_id", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
 @query("smp6_random_folds", f"SELECT {HASH.format('doc_id', 7)} % 5 AS fold, count(*) AS n FROM labels GROUP BY 1")

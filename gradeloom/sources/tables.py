@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class MissingColumns(ValueError):
@@ -22,11 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return require(df, *columns).select(*columns) if columns else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """CSV with a header; texts may hold line breaks and doubled quotes. The schema is given, not inferred."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
 
 
+def write_csv(df: DataFrame, path: str | None = None) -> str:
+    """Write df as CSV that read_csv reads back (null and empty texts are one there), into a new folder of the shared one unless a path is given; returns the path."""
+    path = path or f"{shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may do without; it gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 

@@ -18,18 +18,19 @@ def rebuild_stream(spark: SparkSession, source: str, schema: str, target: str, k
     def write(batch: DataFrame, number: int) -> None:
         keys = batch.select(key).distinct()
         children = spark.read.schema(schema).parquet(source).join(keys, key, "left_semi")
-        try:
-            done = current(spark.read.parquet(target), key).filter(F.col("_batch") < number).drop("_batch")
-        except Exception as e:  # the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = children.limit(0)
+        done = current(spark.read.parquet(target), key).filter(F.col("_batch") < number).drop("_batch") if batches(spark, target) else children.limit(0)
         todo = completeness(children, done, key).filter("action <> 'skip'").select(key)
         build(children.join(todo, key, "left_semi")).write.mode("overwrite").parquet(f"{target}/_batch={number}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def batches(spark: SparkSession, target: str) -> bool:
+    """Whether the target has a batch's folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/_batch=*/_SUCCESS")
+    return len(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []) > 0
+
+
 def current(target: DataFrame, key: str) -> DataFrame:
     """The rows of each key's newest batch."""
     newest = target.groupBy(key).agg(F.max("_batch").alias("_batch"))

@@ -129,3 +129,38 @@ def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
     assert got == {1: ('two\nlines, "quoted"', 0.5), 2: (None, None), 3: (None, None)}
     wide = frame(spark, [(1, 0.1, 0.2), (2, None, 0.4)], "id int, a double, b double")
     assert sorted(map(tuple, to_wide(to_long(wide, ["id"], ["a", "b"]), ["id"], ["a", "b"], value="y").collect())) == [(1, 0.1, 0.2), (2, None, 0.4)]
+
+
+def test_numbers_within_ranges(spark):
+    from gradeloom.functions.ranks import numbered
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([0, 5, 7, rnd.randint(0, 10**6), -3, 2 * 10**6])) for i in range(2000)]
+    got = numbered(frame(spark, rows, "i int, v long"), F.col("v"), ["i"], 0, 10**6).select("i", "_n").collect()
+    assert [i for i, _ in sorted(map(tuple, got), key=lambda r: r[1])] == [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))] and sorted(r[1] for r in got) == list(range(2000))
+
+
+def test_long_rest_of_folds_is_dealt(spark):
+    groups = [(f"g{i}", i % 50 + 1, *(i * p % 7 for p in (3, 5, 11, 13))) for i in range(600)]
+    df = frame(spark, groups, "grp string, n int, a int, b int, c int, d int")
+    folds = {r["grp"]: r["fold"] for r in assign_folds(df, "grp", "n", list("abcd"), most=10).collect()}
+    assert len(folds) == 600 and all(110 <= list(folds.values()).count(k) <= 130 for k in range(5))
+
+
+def test_out_of_fold_baseline(spark):
+    from gradeloom.operators.baseline import out_of_fold
+
+    rnd = random.Random(3)
+    rows = [(i, x := rnd.random(), rnd.random(), int(x > 0.5), int(i < 3), None if i % 2 else int(rnd.random() < 0.5)) for i in range(200)]
+    df = frame(spark, rows, "id long, x double, z double, known int, rare int, noise int")
+    got = {r["label"]: r for r in out_of_fold(df, "id", ["known", "rare", "noise"], ["x", "z"]).collect()}
+    assert got["known"]["auc"] > 0.97 and got["rare"]["auc"] is None and got["rare"]["n_pos"] == 3 and abs(got["noise"]["auc"] - 0.5) < 0.2
+    assert got["noise"]["n_pos"] + got["noise"]["n_neg"] == 100
+
+
+def test_spans_of_stems(spark):
+    from gradeloom.operators.text import spans
+
+    df = frame(spark, [("anand ion an", ), ("", ), ("aaa.", ), ("ionion", )], "t string")
+    got = [[tuple(x) for x in r[0]] for r in df.select(spans(F.col("t"), ["an", "ion", "aa", "."])).collect()]
+    assert got == [[(1, 3), (3, 5), (7, 10), (11, 13)], [], [(1, 3), (2, 4), (4, 5)], [(1, 4), (4, 7)]]
