@@ -8,7 +8,7 @@ total weight (and further out where a coordinate stays empty).
 
 Signatures are joined band by band. Texts that share a band are not paired with each other: each is compared with the band's first text, by
 exact resemblance, and links are joined to classes. Bands that then still hold several classes are groups whose texts are compared across these classes,
-block by block. A group of more than a block is first parted by a second shared band, and by a third if need be: texts of
+block by block. A group of many blocks, as boilerplate makes them, is first parted by a second shared band: texts of
 resemblance 0.8 share 13 of the 32 bands on average, boilerplate of 0.5 two. Blocks hold signatures alone; texts follow only where signatures of
 two classes agree enough, and what is sent out are links that join classes, never all pairs. A pair that meets in several groups is compared in one.
 
@@ -33,6 +33,8 @@ K, BAND = 128, 4
 ESTIMATE = 0.6
 #: Texts that one task compares with each other, or with one other text, at a time.
 BLOCK = 512
+#: Groups of more than so many blocks are parted by a second band.
+LARGE = 32
 
 
 def elements(raw: bytes, width: int = WIDTH) -> np.ndarray:
@@ -123,29 +125,30 @@ def compare_blocks(least: float, texts: bool):
     group's bands are the first ones that the pair shares. Without texts: the rows that have such a pair. With texts: the links, verified exactly, but for
     classes that a link found here has joined, so there are fewer links than rows."""
 
-    def near(held: list) -> Iterator[tuple[int, np.ndarray]]:
-        s = np.stack([np.frombuffer(r[3], "<u2") for r in held])
-        cls, places = np.array([r[1] for r in held]), held[0][4]
-        left, right = (np.flatnonzero(np.array([r[2] for r in held]) == k) for k in (0, 1))
-        for n, i in enumerate(left):
-            others = right if len(right) else left[n + 1 :]
-            others = others[cls[others] != cls[i]]
-            same = s[others] == s[i]
-            ok = same.mean(1) >= ESTIMATE if len(others) else np.zeros(0, bool)
-            others, shared = others[ok], same[ok].reshape(-1, K // BAND, BAND).all(2)
-            first = np.cumsum(shared, 1) <= len(places)
-            want = np.zeros(K // BAND, bool)
-            want[places] = True
-            others = others[(shared & first == want).all(1)]
-            if len(others):
-                yield i, others
+    def near(held: list) -> Iterator[tuple[int, int]]:
+        cls = np.unique([r[1] for r in held], return_inverse=True)[1]
+        order = np.lexsort((cls, np.bincount(cls)[cls]))  # the largest class last: its rows are not compared with each other
+        s, cls = np.stack([np.frombuffer(held[k][3], "<u2") for k in order]), cls[order]
+        side, want = np.array([held[k][2] for k in order]), np.zeros(K // BAND, bool)
+        want[held[0][4]] = True
+        alone = not side.any()
+        left, right = (np.arange(len(order)),) * 2 if alone else (np.flatnonzero(side == k) for k in (0, 1))
+        left = left[cls[left] != cls[-1]] if alone else left
+        for lo in range(0, len(left), 16):
+            a = left[lo : lo + 16]
+            b = right[right > a[0]] if alone else right
+            ok = ((s[a, None] == s[None, b]).sum(2) >= ESTIMATE * K) & (cls[a, None] != cls[None, b])
+            if alone:
+                ok &= a[:, None] < b
+            i, j = (x[y] for x, y in zip((a, b), np.nonzero(ok), strict=True))
+            shared = (s[i] == s[j]).reshape(-1, K // BAND, BAND).all(2)
+            first = shared & (np.cumsum(shared, 1) <= want.sum())
+            yield from ((int(order[x]), int(order[y])) for x, y, here in zip(i, j, (first == want).all(1), strict=True) if here)
 
     def links(at: tuple, held: list) -> pd.DataFrame:
         if not texts:
-            some = np.zeros(len(held), bool)
-            for i, others in near(held):
-                some[i] = some[others] = True
-            return pd.DataFrame([(*at, *held[k][:3], held[k][4]) for k in np.flatnonzero(some)], columns=["band", "i", "j", "_t", "label", "side", "places"])
+            some = sorted({k for pair in near(held) for k in pair})
+            return pd.DataFrame([(*at, *held[k][:3], held[k][4]) for k in some], columns=["band", "i", "j", "_t", "label", "side", "places"])
         t, cls, sets, out = [r[0] for r in held], np.array([r[1] for r in held]), {}, []
 
         def set_of(i: int) -> np.ndarray:
@@ -153,11 +156,10 @@ def compare_blocks(least: float, texts: bool):
                 sets[i] = elements(held[i][5])
             return sets[i]
 
-        for i, others in near(held):
-            for k in others:
-                if cls[i] != cls[k] and alike_enough(set_of(i), set_of(k), least):
-                    out.append((min(t[i], t[k]), max(t[i], t[k])))
-                    cls[cls == cls[k]] = cls[i]
+        for i, k in near(held):
+            if cls[i] != cls[k] and alike_enough(set_of(i), set_of(k), least):
+                out.append((min(t[i], t[k]), max(t[i], t[k])))
+                cls[cls == cls[k]] = cls[i]
         return pd.DataFrame(out, columns=["_a", "_b"], dtype=np.int64)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,18 +183,15 @@ def several_classes(groups: DataFrame) -> DataFrame:
     return materialize(groups.join(materialize(some, narrow=True), "band"), narrow=True)
 
 
-def parted(groups: DataFrame, banded: DataFrame, most: int, rounds: int = 2) -> DataFrame:
-    """Groups of more than ``most`` rows parted by a further band, up to ``rounds`` times."""
+def parted(groups: DataFrame, banded: DataFrame, most: int) -> DataFrame:
+    """Groups of more than ``most`` rows parted by a second band that rows share."""
     small = groups.filter(F.col("n") <= most)
     big = groups.filter(F.col("n") > most)
-    for _ in range(rounds):
-        if big.limit(1).count() == 0:
-            break
+    if big.limit(1).count():
         finer = big.join(banded.withColumnsRenamed({"band": "more", "place": "at"}), "_t").filter(F.col("at") > F.element_at("places", -1))
         finer = finer.select(F.xxhash64("band", "more").alias("band"), F.concat("places", F.array("at")).alias("places"), "_t", "label")
-        finer = several_classes(finer)
-        small, big = small.unionByName(finer.filter(F.col("n") <= most)), finer.filter(F.col("n") > most)
-    return small.unionByName(big)
+        small = small.unionByName(several_classes(finer))
+    return small
 
 
 def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -259,14 +258,14 @@ def named_texts(rows: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
     return anew(rows), materialize(anew(firsts), narrow=True)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, block: int = BLOCK, name_bits: int = 64, digests: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, block: int = BLOCK, large: int = LARGE, name_bits: int = 64, digests: bool = False) -> DataFrame:
     """One row for each row of docs: id_col, class_id (the least id of its class) and class_size (rows); with ``digests`` also text_md5, of the row's text, and
     class_md5, of the text that stands for the class (that of class_id, the least digest of several).
 
     Rows of equal texts are one class, and classes are joined by links between texts whose sets of five-word runs
     have a resemblance of ``least`` or more. Null counts as empty; texts without words are alike only if equal; null ids count as the
-    smallest number; an empty table gives none; other columns are ignored. Groups of more than ``block`` texts are parted and
-    compared block by block. Names of texts cut to name_bits collide, which does not change the result (a means of tests).
+    smallest number; an empty table gives none; other columns are ignored. Groups of more than ``block`` texts are compared block by block; those of more
+    than ``large`` blocks are parted first. Names of texts cut to name_bits collide, which does not change the result (a means of tests).
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -286,7 +285,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = members.join(labels, "_t", "left").select("band", F.array("place").alias("places"), "_t", F.coalesce("label", "_t").alias("label"))
     groups = several_classes(materialize(groups, narrow=True))
     if groups.limit(1).count():
-        groups = parted(groups, banded.distinct(), block)
+        groups = parted(groups, banded.distinct(), large * block)
         blocks = (F.floor((F.col("n") - 1) / block) + 1).cast("int")
         nodes = groups.withColumn("own", F.pmod(F.xxhash64("_t", F.lit(3)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
