@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 #: Rows of one Arrow batch. Texts can be very long, so batches are kept short to bound a Python worker's memory.
 BATCH_ROWS = 256
 
@@ -18,15 +19,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share.
+    """A name of a new folder under spark.checkpoint.dir, which all executors share."""
+    return f"{shared_folder(spark)}/gradeloom-{uuid.uuid4().hex}"
+
 
-    Only where the session names no such folder (a local session, as in tests) is a local one made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
+def temporary(spark: SparkSession, path: str) -> str:
+    """The path, of a folder that is there; it is deleted when the application ends."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
 
 
 def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
@@ -35,7 +36,7 @@ def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
     partitions, or two for each core if that is more."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     (df.coalesce(max(2 * spark.sparkContext.defaultParallelism, partitions(spark) // 4)) if narrow else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(temporary(spark, path))
 
 
 def as_bytes(text: Column) -> Column:

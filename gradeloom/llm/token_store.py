@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions, prepare, scratch_dir, table
+from .common import as_bytes, partitions, prepare, scratch_dir, table, temporary
 from .ranges import deal_by_id
 from .tokens import encoder, tokenizer_path, with_end
 
@@ -255,4 +255,4 @@ def token_places(spark: SparkSession, folder: str, index: DataFrame, tokens: lis
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
     index = write_token_shards(table(spark, sf_dir, "documents"), folder)
-    return read_token_shards(spark, folder, index)
+    return read_token_shards(spark, temporary(spark, folder), index)
