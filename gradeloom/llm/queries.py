@@ -37,6 +37,20 @@ items AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op8_suffix_dedup": """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+pieces AS (SELECT doc_id, p * 250 AS base, substr(h, p * 500 + 1, 1298) AS x FROM d, unnest(range(length(h) // 500 + 1)) AS t(p)),
+windows AS (SELECT doc_id, base + i AS i, md5(substr(x, 2 * i + 1, 800)) AS win FROM pieces, unnest(range(greatest(0, least(250, length(x) // 2 - 399)))) AS t(i)),
+again AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS first FROM windows JOIN again USING (win)),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM starts) GROUP BY doc_id, span),
+parts AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM spans),
+kept AS (
+    SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans,
+        string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS rest
+    FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op9_substring_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 windows AS (
