@@ -144,11 +144,18 @@ def evidence_score(best: Column, n_pos: Column, n_neg: Column, n_unc: Column) ->
 
 def sniff(text: Column, scripts: dict[str, str], stop_words: dict[str, list[str]], least_script: int = 5, least_words: int = 3) -> Column:
     """The first script found more than least_script times, else the language with most stop words (at least least_words; the first of ties)."""
-    out = F.lit(None).cast("string")
-    counts = {k: F.regexp_count(F.lower(text), F.lit(r"(?U)\b(?:%s)\b" % "|".join(v))) for k, v in stop_words.items()}
-    best = F.greatest(*counts.values())
-    for k in reversed(counts):
-        out = F.when((counts[k] == best) & (best >= least_words), k).otherwise(out)
+    every = "|".join(sorted({re.escape(w) for words in stop_words.values() for w in words}))
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b(?:{every})\b"), F.lit(0))  # one pass over the text
+
+    def once(value: Column, use) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def number(found: Column, words: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(*words)))
+
+    names = F.array(*map(F.lit, stop_words))
+    counts = once(found, lambda f: F.array(*[number(f, words) for words in stop_words.values()]))
+    out = once(counts, lambda c: F.when(F.array_max(c) >= least_words, F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))))
     for k in reversed(scripts):
         out = F.when(F.regexp_count(text, F.lit(scripts[k])) > least_script, k).otherwise(out)
     return F.coalesce(out, F.lit("other"))
