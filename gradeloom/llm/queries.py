@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op1_decontamination
+from .hard_negatives import op13_hard_negatives
 from .html_text import op5_html_extraction
 from .langid import op2_language_id
 from .near_dups import op10_near_duplicates
@@ -12,8 +13,9 @@ from .span_dedup import op9_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
 from .token_store import op4_token_shards
 from .toxicity import op7_toxicity
+from .whitening import op12_embedding_whitening
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_fingerprints, op4_token_shards, op5_html_extraction, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_substring_dedup, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_fingerprints, op4_token_shards, op5_html_extraction, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_substring_dedup, op10_near_duplicates, op12_embedding_whitening, op13_hard_negatives)}
 
 WORDS = r"""
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -63,4 +65,14 @@ kept AS (
     FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) AS t LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_hard_negatives": """
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y, list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda c: coalesce(isfinite(c), false)), 'bool_and')),
+scores AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.y = r.y AS same, CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM (SELECT DISTINCT * FROM r WHERE vec_id % 100 = 0) a JOIN r ON a.vec_id <> r.vec_id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5""",
 }
