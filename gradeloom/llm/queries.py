@@ -6,6 +6,7 @@ from .decontam import op1_decontamination
 from .hard_negatives import op13_hard_negatives
 from .html_text import op5_html_extraction
 from .langid import op2_language_id
+from .lm_score import op11_lm_scoring
 from .near_dups import op10_near_duplicates
 from .packing import op6_best_fit_packing
 from .sketch import op3_fingerprints
@@ -15,7 +16,7 @@ from .token_store import op4_token_shards
 from .toxicity import op7_toxicity
 from .whitening import op12_embedding_whitening
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_fingerprints, op4_token_shards, op5_html_extraction, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_substring_dedup, op10_near_duplicates, op12_embedding_whitening, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_fingerprints, op4_token_shards, op5_html_extraction, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_substring_dedup, op10_near_duplicates, op11_lm_scoring, op12_embedding_whitening, op13_hard_negatives)}
 
 WORDS = r"""
     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
