@@ -36,20 +36,3 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def balanced_accuracy(y: Column, score: Column, threshold: float = 0.5) -> Column:
     hit = lambda of, yes: F.avg(F.when(of, yes.cast("double")))
     return (hit(y == 1, score >= threshold) + hit(y == 0, score < threshold)) / 2
-
-
-def replicate_weight(key: Column, replicate: Column) -> Column:
-    """A Poisson(1) bootstrap weight from integer arithmetic, the same in every engine: inverse distribution of a number in [0, 1)."""
-    u = F.pmod(key * 48271 + replicate * 16807 + F.pmod(key, F.lit(97)) * F.pmod(replicate * 7 + 3, F.lit(89)) * 131, F.lit(10007)) / 10007.0
-    out = F.lit(0)
-    for cut in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183):
-        out = out + F.when(u >= cut, 1).otherwise(0)
-    return out
-
-
-def bootstrap(df: DataFrame, keys: list[str], entity: str, replicates: int, score: str = "p", y: str = "y") -> DataFrame:
-    """keys, rep, auc of resampled entities: one weight an entity and replicate, shared by all keys, so differences between keys are paired.
-    Each row is taken once a replicate, with a weight, and summed by (key, replicate, score) before the shuffle; nothing is joined."""
-    rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rows = rows.withColumn("_w", replicate_weight(F.col(entity), F.col("rep"))).filter("_w > 0")
-    return auc(rows, [*keys, "rep"], score, y, F.col("_w"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import auc, bootstrap, macro
+from ..functions.metrics import auc, macro
 from ..functions.ranks import ranked
+from ..functions.resampling import bootstrap, uniform, uniform_sql
 from ..operators.baseline import out_of_fold
 from ..operators.folds import assign_folds, fold_report
-from ..sources.tables import table
+from ..operators.selection import TRIALS, optimism, score_chosen, selection_trials
+from ..sources.tables import table, written
 from .base import AUCS, GOLD, RANKED, SCORED, gold, query, scored
-from .metric_queries import HANLEY, boot_sql, loo_logloss, r6
+from .metric_queries import HANLEY, REPLICATES, boot_sql, loo_logloss, r6, weights_sql
 
 #: one row a labelled document with a fold by source number
 FOLDS = "f AS (SELECT doc_id, source, lang, quality, toxic, CAST(substr(source, 4) AS BIGINT) % 5 AS fold FROM documents JOIN labels USING (doc_id))"
@@ -301,31 +303,41 @@ def ens5(spark, d):
 
 @query(
     "ens6_bagged_weights",
-    f"""WITH {sweep_sql(FINE).replace("mix AS (SELECT w, label, y,", "bags AS (SELECT unnest(range(3)) AS bag), mix AS (SELECT w, bag, label, y,").replace("FROM fams, wts)", "FROM fams, wts, bags WHERE doc_id % 3 <> bag)").replace("PARTITION BY w, label", "PARTITION BY w, bag, label").replace("ma AS (SELECT w, label,", "ma AS (SELECT w, bag, label,")},
-pick AS (SELECT bag, label, w FROM ma QUALIFY row_number() OVER (PARTITION BY bag, label ORDER BY auc DESC, w) = 1) SELECT label, round(avg(w), 6) AS w FROM pick GROUP BY label""",
+    f"""WITH {sweep_sql(FINE)}, {weights_sql(25, "SELECT DISTINCT doc_id FROM fams")}, cells AS (SELECT w, label, rep, p, sum(weights.w_ * y)::DOUBLE AS pos, sum(weights.w_ * (1 - y))::DOUBLE AS neg FROM mix JOIN weights USING (doc_id) WHERE weights.w_ > 0 GROUP BY ALL),
+steps AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY w, label, rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM cells),
+boot AS (SELECT w, label, rep, round(sum(pos * (neg_below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 9) AS auc FROM steps GROUP BY ALL),
+pick AS (SELECT rep, label, w FROM boot QUALIFY row_number() OVER (PARTITION BY rep, label ORDER BY auc DESC, w) = 1) SELECT label, count(*) AS bags, round(avg(w), 6) AS w, round(stddev_pop(w), 6) AS sd FROM pick GROUP BY label""".replace("AS w FROM (SELECT doc_id, rep", "AS w_ FROM (SELECT doc_id, rep").replace("mix AS (SELECT w, label, y,", "mix AS (SELECT w, doc_id, label, y,"),
 )
 def ens6(spark, d):
-    bags = families(spark, d).withColumn("bag", F.explode(F.array_except(F.array(*[F.lit(i).cast("long") for i in range(3)]), F.array(F.col("doc_id") % 3))))
-    return pick_weights(bags, ("bag", "label")).groupBy("label").agg(r6(F.avg("w")).alias("w"))
+    """The mean of the weights that 25 resamples choose; a resample's weights are one array a row."""
+    boot = bootstrap(mixed(families(spark, d), FINE), ["w", "label"], "doc_id", 25).withColumn("auc", F.round("auc", 9))
+    picked = boot.groupBy("rep", "label").agg(F.max_by("w", F.struct("auc", -F.col("w"))).alias("w"))
+    return picked.groupBy("label").agg(F.count("*").alias("bags"), r6(F.avg("w")).alias("w"), r6(F.stddev_pop("w")).alias("sd"))
 
 
 @query(
     "ens7_selection_optimism",
-    f"""WITH {sweep_sql(FINE).replace("mix AS (SELECT w, label, y,", "tr AS (SELECT unnest(range(4)) AS trial), mix AS (SELECT w, trial, (doc_id * 48271 + trial * 16807) % 10007 < 5003 AS dev, label, y,").replace("FROM fams, wts)", "FROM fams, wts, tr)").replace("PARTITION BY w, label", "PARTITION BY w, trial, dev, label").replace("ma AS (SELECT w, label,", "ma AS (SELECT w, trial, dev, label,")},
-m AS (SELECT w, trial, dev, avg(auc) AS m FROM ma GROUP BY ALL), pick AS (SELECT trial, w FROM m WHERE dev QUALIFY row_number() OVER (PARTITION BY trial ORDER BY round(m, 9) DESC, w) = 1),
-g AS (SELECT p.trial, max(m.m) FILTER (dev AND m.w = p.w) - max(m.m) FILTER (dev AND m.w = 0) AS claimed, max(m.m) FILTER (NOT dev AND m.w = p.w) - max(m.m) FILTER (NOT dev AND m.w = 0) AS realised FROM pick p JOIN m USING (trial) GROUP BY p.trial)
-SELECT round(avg(claimed), 6) AS claimed, round(avg(realised), 6) AS realised, round(avg(claimed - realised), 6) AS optimism, round(avg((realised <= 0)::INTEGER), 6) AS p_no_gain FROM g""",
+    f"""WITH {FAMILY}, ids AS (SELECT DISTINCT doc_id FROM fams), draws AS (SELECT doc_id, trial, row_number() OVER (PARTITION BY trial ORDER BY {uniform_sql('doc_id', f'(trial + {TRIALS})')}, doc_id) AS place FROM ids, range(200) t(trial)),
+sets AS (SELECT doc_id, trial, size, place <= size AS sel FROM draws, (SELECT unnest([58, 150, 400, 1000, 2500])::INTEGER AS size) WHERE size < (SELECT count(*) FROM ids)),
+wts AS (SELECT unnest([{', '.join(f'{w}::DOUBLE' for w in FINE)}]) AS w), mix AS (SELECT w, doc_id, label, y, round((1 - w) * r1 + w * r2, 9) AS p FROM fams, wts),
+ord AS (SELECT w, trial, size, sel, label, y, rank() OVER (PARTITION BY w, trial, size, sel, label ORDER BY p) + (count(*) OVER (PARTITION BY w, trial, size, sel, label, p) - 1) / 2.0::DOUBLE AS ar FROM mix JOIN sets USING (doc_id)),
+ma AS (SELECT w, trial, size, sel, label, (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc FROM ord GROUP BY ALL),
+pick AS (SELECT trial, size, label, CASE WHEN auc IS NULL THEN 0 ELSE w END AS w FROM ma WHERE sel QUALIFY row_number() OVER (PARTITION BY trial, size, label ORDER BY round(auc, 9) DESC NULLS LAST, w) = 1),
+g AS (SELECT p.trial, p.size, avg(auc) FILTER (sel AND ma.w = p.w) - avg(auc) FILTER (sel AND ma.w = 0) AS claimed, avg(auc) FILTER (NOT sel AND ma.w = p.w) - avg(auc) FILTER (NOT sel AND ma.w = 0) AS realised FROM pick p JOIN ma USING (trial, size, label) GROUP BY p.trial, p.size)
+SELECT size, count(*) AS trials, round(avg(claimed), 6) AS claimed, round(avg(realised), 6) AS realised, round(avg(claimed - realised), 6) AS optimism, round(avg((round(realised, 9) <= 0)::INTEGER), 6) AS p_no_gain,
+    {', '.join(f'round(avg((round(claimed, 9) >= {x})::INTEGER), 6) AS p_claimed_{n}' for x, n in ((0.01, '0100'), (0.02, '0200'), (0.0273, '0273')))} FROM g WHERE claimed IS NOT NULL AND realised IS NOT NULL GROUP BY size""",
 )
 def ens7(spark, d):
-    """Pick the blend weight on one half of the documents, and see what it gains there and on the other half, over several splits."""
-    rows = families(spark, d).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    rows = rows.withColumn("dev", F.pmod(F.col("doc_id") * 48271 + F.col("trial") * 16807, F.lit(10007)) < 5003)
-    m = macro(auc(mixed(rows, FINE), ["w", "trial", "dev", "label"]), ["w", "trial", "dev"]).groupBy("trial", "w").pivot("dev", [True, False]).agg(F.first("macro_auc"))
-    m = m.withColumnsRenamed({"true": "dev", "false": "test"})
-    at0 = lambda c: F.max(F.when(F.col("w") == 0, F.col(c)))
-    g = m.groupBy("trial").agg(F.max_by(F.struct("dev", "test"), F.struct(F.round("dev", 9), -F.col("w"))).alias("b"), at0("dev").alias("d0"), at0("test").alias("t0"))
-    claimed, realised = F.col("b.dev") - F.col("d0"), F.col("b.test") - F.col("t0")
-    return g.agg(r6(F.avg(claimed)).alias("claimed"), r6(F.avg(realised)).alias("realised"), r6(F.avg(claimed - realised)).alias("optimism"), r6(F.avg((realised <= 0).cast("double"))).alias("p_no_gain"))
+    """Weights a label, chosen on 58 to 2,500 documents in 200 trials: what they claim there and gain on all other documents, with tail probabilities."""
+    return optimism(selection_trials(families(spark, d), "doc_id")[0])
+
+
+@query("ens7_bagged_selection")
+def ens7_bagged(spark, d):
+    """The same with the mean of the weights of 25 resamples of each drawn set."""
+    rows = written(families(spark, d))
+    chosen, sets = selection_trials(rows, "doc_id", bags=25)
+    return optimism(score_chosen(rows, "doc_id", written(chosen), written(sets), "w_bagged"))
 
 
 @query("ens9_pooling_rules", f"WITH {SCORED}, w AS (SELECT doc_id, label, max(p) FILTER (arm = 'a') AS a, max(p) FILTER (arm = 'b') AS b FROM scored GROUP BY ALL) SELECT doc_id, label, round(CASE label WHEN 'quality' THEN greatest(a, b) ELSE (a + b) / 2 END, 9) AS p FROM w")
@@ -396,41 +408,59 @@ def met20(spark, d):
 SITE = "CAST(substr(source, 4) AS BIGINT) % 5"
 
 
+RANDOM_FOLD = f"CAST(floor({uniform_sql('doc_id', '77')} * 5) AS INTEGER)"
+
+
 @query(
     "ens8_fold_schemes",
-    f"""WITH {sweep_sql(FINE).replace("fams AS (SELECT f1.doc_id", "fams0 AS (SELECT f1.doc_id").replace(", wts AS", f", sited AS (SELECT fams0.*, {SITE} AS site, CAST(substr(source, 4) AS BIGINT) % 2 AS parity FROM fams0 JOIN documents USING (doc_id)), fams AS (SELECT 'random' AS scheme, * FROM sited WHERE site <> 4 AND doc_id % 2 = 0 UNION ALL SELECT 'site', * FROM sited WHERE site <> 4 AND parity = 0), wts AS", 1).replace("mix AS (SELECT w, label, y,", "mix AS (SELECT w, scheme, label, y,").replace("PARTITION BY w, label", "PARTITION BY w, scheme, label").replace("ma AS (SELECT w, label,", "ma AS (SELECT w, scheme, label,")},
-pick AS (SELECT scheme, label, w FROM ma QUALIFY row_number() OVER (PARTITION BY scheme, label ORDER BY auc DESC, w) = 1),
-hp AS (SELECT scheme, label, y, round((1 - w) * r1 + w * r2, 9) AS p FROM sited JOIN pick USING (label) WHERE site = 4),
-hr AS (SELECT *, rank() OVER (PARTITION BY scheme, label ORDER BY p) + (count(*) OVER (PARTITION BY scheme, label, p) - 1) / 2.0::DOUBLE AS ar FROM hp),
-ha AS (SELECT scheme, label, (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc FROM hr GROUP BY ALL)
-SELECT scheme, round(avg(auc), 6) AS macro_auc FROM ha GROUP BY scheme""",
+    f"""WITH {sweep_sql(FINE).replace("fams AS (SELECT f1.doc_id", "fams0 AS (SELECT f1.doc_id").replace(", wts AS", f", sited AS (SELECT fams0.*, CAST({SITE} AS INTEGER) AS site, {RANDOM_FOLD} AS part FROM fams0 JOIN documents USING (doc_id)), outer_ AS (SELECT unnest(range(5))::INTEGER AS fold), fams AS (SELECT 'site' AS scheme, fold, sited.* FROM sited, outer_ WHERE site <> fold UNION ALL SELECT 'random', fold, sited.* FROM sited, outer_ WHERE site <> fold AND part <> fold), wts AS", 1).replace("mix AS (SELECT w, label, y,", "mix AS (SELECT w, scheme, fold, label, y,").replace("PARTITION BY w, label", "PARTITION BY w, scheme, fold, label").replace("ma AS (SELECT w, label,", "ma AS (SELECT w, scheme, fold, label,")},
+pick AS (SELECT scheme, fold, label, CASE WHEN auc IS NULL THEN 0 ELSE w END AS w FROM ma QUALIFY row_number() OVER (PARTITION BY scheme, fold, label ORDER BY auc DESC NULLS LAST, w) = 1),
+hp AS (SELECT scheme, fold, label, y, round((1 - w) * r1 + w * r2, 9) AS p FROM sited JOIN pick USING (label) WHERE site = fold
+    UNION ALL SELECT scheme, -1, label, y, round((1 - w) * r1 + w * r2, 9) FROM sited, (SELECT unnest(['first', 'half', 'second']) AS scheme, unnest([0.0, 0.5, 1.0])::DOUBLE AS w)),
+hr AS (SELECT *, rank() OVER (PARTITION BY scheme, fold, label ORDER BY p) + (count(*) OVER (PARTITION BY scheme, fold, label, p) - 1) / 2.0::DOUBLE AS ar FROM hp),
+ha AS (SELECT scheme, fold, label, count(*) AS n, (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc FROM hr GROUP BY ALL)
+SELECT scheme, fold, max(n) AS n, round(avg(auc), 6) AS macro_auc FROM ha GROUP BY ALL""",
 )
 def ens8(spark, d):
-    """Weights picked on random rows or on whole sites, both scored on the sites held out from either."""
-    number = F.substring("source", 4, 9).cast("long")
-    rows = families(spark, d).join(table(spark, d, "documents", "doc_id", "source"), "doc_id").withColumns({"site": number % 5, "parity": number % 2})
-    dev = rows.filter("site <> 4")
-    picked = pick_weights(dev.filter("doc_id % 2 = 0").withColumn("scheme", F.lit("random")).unionByName(dev.filter("parity = 0").withColumn("scheme", F.lit("site"))), ("scheme", "label"))
-    held = rows.filter("site = 4").join(F.broadcast(picked.select("scheme", "label", "w")), "label")
-    held = held.withColumn("p", F.round((1 - F.col("w")) * F.col("r1") + F.col("w") * F.col("r2"), 9))
-    m = macro(auc(held, ["scheme", "label"]), ["scheme"])
-    return m.select("scheme", r6("macro_auc").alias("macro_auc"))
+    """Nested selection: for each site held out, weights picked on the other sites, or on a random scheme's other parts without that site's documents; both scored on the site. Fold -1: fixed weights on all."""
+    site = F.substring("source", 4, 9).cast("long") % 5
+    rows = families(spark, d).join(table(spark, d, "documents", "doc_id", "source"), "doc_id").withColumns({"site": site.cast("int"), "part": F.floor(uniform(F.col("doc_id"), F.lit(77)) * 5).cast("int")})
+    dev = rows.withColumn("fold", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(4)), F.array("site"))))
+    dev = dev.withColumn("scheme", F.explode(F.when(F.col("part") != F.col("fold"), F.array(F.lit("site"), F.lit("random"))).otherwise(F.array(F.lit("site")))))
+    picked = pick_weights(dev, ("scheme", "fold", "label")).select("scheme", "fold", "label", F.when(F.col("auc").isNotNull(), F.col("w")).otherwise(0.0).alias("w"))
+    held = rows.withColumnRenamed("site", "fold").join(F.broadcast(picked), ["fold", "label"]).select("scheme", "fold", "label", "y", "r1", "r2", "w")  # a row a scheme, site and label
+    fixed = F.explode(F.array(*[F.struct(F.lit(n).alias("scheme"), F.lit(-1).alias("fold"), F.lit(w).alias("w")) for n, w in (("first", 0.0), ("half", 0.5), ("second", 1.0))]))
+    held = held.unionByName(rows.select("label", "y", "r1", "r2", fixed.alias("f")).select("label", "y", "r1", "r2", "f.*"))
+    a = auc(held.withColumn("p", F.round((1 - F.col("w")) * F.col("r1") + F.col("w") * F.col("r2"), 9)), ["scheme", "fold", "label"])
+    return a.groupBy("scheme", "fold").agg(F.max(F.col("n_pos") + F.col("n_neg")).alias("n"), r6(F.avg("auc")).alias("macro_auc"))
 
 
 def noise_sql(name: str, where: str) -> str:
-    cte = boot_sql(20).split("cells AS", 1)[1].replace("WHERE w > 0", f"WHERE w > 0 {where}")
+    cte = boot_sql().split("cells AS", 1)[1].replace("WHERE w > 0", f"WHERE w > 0 {where}")
     for x in ("cells", "steps", "boot", "macros"):
         cte = cte.replace(f"FROM {x}", f"FROM {x}_{name}").replace(f"{x} AS (", f"{x}_{name} AS (")
     return f"cells_{name} AS" + cte
 
 
+def level_sql(name: str, where: str) -> str:
+    return f"""ar_{name} AS (SELECT *, rank() OVER (PARTITION BY arm, label ORDER BY p) + (count(*) OVER (PARTITION BY arm, label, p) - 1) / 2.0::DOUBLE AS ar FROM scored {where}),
+level_{name} AS (SELECT arm, avg(auc) AS m FROM (SELECT arm, label, (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc FROM ar_{name} GROUP BY ALL) GROUP BY arm)"""
+
+
 @query(
     "ens14_instruments",
-    f"WITH {boot_sql(20).split('cells AS', 1)[0]}{noise_sql('few', 'AND doc_id % 5 = 0')}, {noise_sql('all', '')}, s AS (SELECT arm, stddev_pop(macro_auc) AS sd FROM macros_few GROUP BY arm), z AS (SELECT arm, stddev_pop(macro_auc) AS sd FROM macros_all GROUP BY arm) SELECT arm, round(s.sd / z.sd, 4) AS ratio FROM s JOIN z USING (arm)",
+    f"""WITH {boot_sql().split('cells AS', 1)[0]}{noise_sql('few', 'AND doc_id % 5 = 0')}, {noise_sql('all', '')}, {level_sql('few', 'WHERE doc_id % 5 = 0')}, {level_sql('all', '')},
+s AS (SELECT arm, stddev_pop(macro_auc) AS sd FROM macros_few GROUP BY arm), z AS (SELECT arm, stddev_pop(macro_auc) AS sd FROM macros_all GROUP BY arm)
+SELECT arm, round(s.sd, 5) AS sd_few, round(z.sd, 5) AS sd_all, round(s.sd / z.sd, 3) AS ratio, round(abs(level_few.m - level_all.m), 6) AS level_difference FROM s JOIN z USING (arm) JOIN level_few USING (arm) JOIN level_all USING (arm)""",
 )
 def ens14(spark, d):
-    """How much noisier a fifth of the documents is than all of them, as a ratio of bootstrap deviations."""
+    """How much noisier a fifth of the documents is than all of them, as a ratio of bootstrap deviations, and how far their levels are apart."""
     rows = scored(spark, d)
-    sd = lambda df, name: macro(bootstrap(df, ["arm", "label"], "doc_id", 20), ["arm", "rep"]).groupBy("arm").agg(F.stddev_pop("macro_auc").alias(name))
-    j = sd(rows.filter("doc_id % 5 = 0"), "few").join(sd(rows, "all_"), "arm")
-    return j.select("arm", F.round(F.try_divide("few", "all_"), 4).alias("ratio"))
+
+    def instrument(df, name):
+        sd = macro(bootstrap(df, ["arm", "label"], "doc_id", REPLICATES), ["arm", "rep"]).groupBy("arm").agg(F.stddev_pop("macro_auc").alias(f"sd_{name}"))
+        return sd.join(macro(auc(df, ["arm", "label"]), ["arm"]).select("arm", F.col("macro_auc").alias(f"m_{name}")), "arm")
+
+    j = instrument(rows.filter("doc_id % 5 = 0"), "few").join(instrument(rows, "all"), "arm")
+    r = lambda c, n: F.round(c, n)
+    return j.select("arm", r("sd_few", 5).alias("sd_few"), r("sd_all", 5).alias("sd_all"), r(F.try_divide("sd_few", "sd_all"), 3).alias("ratio"), r6(F.abs(F.col("m_few") - F.col("m_all"))).alias("level_difference"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import auc, balanced_accuracy, bootstrap, hanley_se, macro, replicate_weight, wilson
+from ..functions.metrics import auc, balanced_accuracy, hanley_se, macro, wilson
 from ..functions.ranks import corr, ranked
+from ..functions.resampling import CUTS_SQL, bootstrap, uniform_sql
 from ..sources.tables import table, to_long
 from .base import AUCS, GOLD, RANKED, SCORED, gold, query, scored
 
@@ -58,14 +59,16 @@ def met5(spark, d):
     return c.select("lang", "label", r6(low).alias("low"), r6(high).alias("high"))
 
 
-CUTS = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
+#: Replicates of a bootstrap.
+REPLICATES = 1000
 
 
-def boot_sql(reps: int) -> str:
-    return f"""{SCORED}, weights AS (
-    SELECT doc_id, rep, {CUTS} AS w FROM (
-        SELECT doc_id, rep, ((doc_id * 48271 + rep * 16807 + (doc_id % 97) * ((rep * 7 + 3) % 89) * 131) % 10007) / 10007.0::DOUBLE AS u
-        FROM (SELECT DISTINCT doc_id FROM scored), range({reps}) t(rep))),
+def weights_sql(reps: int, docs: str = "SELECT DISTINCT doc_id FROM scored") -> str:
+    return f"""weights AS (SELECT doc_id, rep, {CUTS_SQL} AS w FROM (SELECT doc_id, rep, {uniform_sql('doc_id', 'rep')} AS u FROM ({docs}), range({reps}) t(rep)))"""
+
+
+def boot_sql(reps: int = REPLICATES) -> str:
+    return f"""{SCORED}, {weights_sql(reps)},
 cells AS (
     SELECT arm, label, rep, p, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM scored JOIN weights USING (doc_id) WHERE w > 0 GROUP BY ALL),
 steps AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY arm, label, rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM cells),
@@ -74,9 +77,9 @@ boot AS (
 macros AS (SELECT arm, rep, avg(auc) AS macro_auc FROM boot GROUP BY ALL)"""
 
 
-@query("met6_bootstrap_macro", f"WITH {boot_sql(40)} SELECT arm, round(avg(macro_auc), 5) AS mean, round(stddev_pop(macro_auc), 5) AS sd, round(quantile_cont(macro_auc, 0.025), 5) AS low, round(quantile_cont(macro_auc, 0.975), 5) AS high FROM macros GROUP BY arm")
+@query("met6_bootstrap_macro", f"WITH {boot_sql()} SELECT arm, round(avg(macro_auc), 5) AS mean, round(stddev_pop(macro_auc), 5) AS sd, round(quantile_cont(macro_auc, 0.025), 5) AS low, round(quantile_cont(macro_auc, 0.975), 5) AS high FROM macros GROUP BY arm")
 def met6(spark, d):
-    m = macro(bootstrap(scored(spark, d), ["arm", "label"], "doc_id", 40), ["arm", "rep"])
+    m = macro(bootstrap(scored(spark, d), ["arm", "label"], "doc_id", REPLICATES), ["arm", "rep"])
     q = F.percentile("macro_auc", F.array(F.lit(0.025), F.lit(0.975)))
     r = lambda c: F.round(c, 5)
     return m.groupBy("arm").agg(r(F.avg("macro_auc")).alias("mean"), r(F.stddev_pop("macro_auc")).alias("sd"), r(q[0]).alias("low"), r(q[1]).alias("high"))
@@ -84,23 +87,23 @@ def met6(spark, d):
 
 @query(
     "met7_paired_bootstrap",
-    f"""WITH {boot_sql(40)}, pairs AS (SELECT a.rep, b.macro_auc - a.macro_auc AS delta FROM macros a JOIN macros b ON a.rep = b.rep AND a.arm = 'a' AND b.arm = 'c')
+    f"""WITH {boot_sql()}, pairs AS (SELECT a.rep, b.macro_auc - a.macro_auc AS delta FROM macros a JOIN macros b ON a.rep = b.rep AND a.arm = 'a' AND b.arm = 'c')
 SELECT round(avg(delta), 5) AS delta, round(stddev_pop(delta), 5) AS sd, round(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 5) AS p_better FROM pairs""",
 )
 def met7(spark, d):
     rows = scored(spark, d).filter(F.col("arm").isin("a", "c"))
-    m = macro(bootstrap(rows, ["arm", "label"], "doc_id", 40), ["arm", "rep"]).groupBy("rep").pivot("arm", ["a", "c"]).agg(F.first("macro_auc"))
+    m = macro(bootstrap(rows, ["arm", "label"], "doc_id", REPLICATES), ["arm", "rep"]).groupBy("rep").pivot("arm", ["a", "c"]).agg(F.first("macro_auc"))
     delta = F.col("c") - F.col("a")
     return m.agg(F.round(F.avg(delta), 5).alias("delta"), F.round(F.stddev_pop(delta), 5).alias("sd"), F.round(F.avg((delta > 0).cast("double")), 5).alias("p_better"))
 
 
 @query(
     "met8_unpaired_sd",
-    f"""WITH {boot_sql(40)}, sds AS (SELECT stddev_pop(macro_auc) FILTER (arm = 'a') AS a, stddev_pop(macro_auc) FILTER (arm = 'c') AS c FROM macros)
+    f"""WITH {boot_sql()}, sds AS (SELECT stddev_pop(macro_auc) FILTER (arm = 'a') AS a, stddev_pop(macro_auc) FILTER (arm = 'c') AS c FROM macros)
 SELECT round(sqrt(a * a + c * c), 5) AS unpaired_sd FROM sds""",
 )
 def met8(spark, d):
-    m = macro(bootstrap(scored(spark, d).filter("arm <> 'b'"), ["arm", "label"], "doc_id", 40), ["arm", "rep"])
+    m = macro(bootstrap(scored(spark, d).filter("arm <> 'b'"), ["arm", "label"], "doc_id", REPLICATES), ["arm", "rep"])
     sd = lambda arm: F.stddev_pop(F.when(F.col("arm") == arm, F.col("macro_auc")))
     return m.agg(F.round(F.hypot(sd("a"), sd("c")), 5).alias("unpaired_sd"))
 
@@ -110,19 +113,30 @@ def met8(spark, d):
     f"""WITH {SCORED}, top AS (SELECT lang, row_number() OVER (ORDER BY n DESC, lang) AS g FROM (SELECT lang, count(DISTINCT doc_id) AS n FROM gold GROUP BY lang) QUALIFY g <= 2),
 part AS (SELECT scored.*, g FROM scored JOIN top USING (lang) WHERE arm = 'c'),
 r AS (SELECT *, rank() OVER (PARTITION BY g, label ORDER BY p) + (count(*) OVER (PARTITION BY g, label, p) - 1) / 2.0::DOUBLE AS ar FROM part),
-a AS (SELECT g, label, count(*) AS n, sum(y)::BIGINT AS n_pos, (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc FROM r GROUP BY ALL)
-SELECT x.label, x.n AS n_1, z.n AS n_2, x.n_pos AS n_pos_1, z.n_pos AS n_pos_2, round(x.auc - z.auc, 6) AS gap FROM a x JOIN a z ON x.label = z.label AND x.g = 1 AND z.g = 2""",
+a AS (SELECT g, label, count(*) AS n, sum(y)::BIGINT AS n_pos, (sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc FROM r GROUP BY ALL),
+{weights_sql(REPLICATES)},
+cells AS (SELECT g, label, rep, p, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM part JOIN weights USING (doc_id) WHERE w > 0 GROUP BY ALL),
+steps AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY g, label, rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM cells),
+boot AS (SELECT g, label, rep, sum(pos * (neg_below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM steps GROUP BY ALL),
+gaps AS (SELECT label, avg(gap) AS mean, stddev_pop(gap) AS sd FROM (SELECT x.label, x.auc - z.auc AS gap FROM boot x JOIN boot z ON x.label = z.label AND x.rep = z.rep AND x.g = 1 AND z.g = 2) GROUP BY label)
+SELECT x.label, x.n AS n_1, z.n AS n_2, x.n_pos AS n_pos_1, z.n_pos AS n_pos_2, round(x.auc - z.auc, 6) AS gap, round(mean, 5) AS boot_gap, round(sd, 5) AS boot_sd,
+    round(abs(x.auc - z.auc) / nullif(sd, 0), 3) AS sigma FROM a x JOIN a z ON x.label = z.label AND x.g = 1 AND z.g = 2 LEFT JOIN gaps ON gaps.label = x.label""",
 )
 def met9(spark, d):
+    """The gap between the two largest groups, with its deviation over entities resampled within each group."""
     rows = scored(spark, d).filter("arm = 'c'")
     sizes = rows.groupBy("lang").agg(F.countDistinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(2)
     top = sizes.withColumn("g", F.row_number().over(Window.orderBy(F.desc("n"), "lang"))).select("lang", "g")  # two rows
-    a = auc(rows.join(F.broadcast(top), "lang"), ["g", "label"])
+    rows = rows.join(F.broadcast(top), "lang")
+    a = auc(rows, ["g", "label"])
     pick = lambda g, c: F.max(F.when(F.col("g") == g, F.col(c)))
     n = lambda g: F.max(F.when(F.col("g") == g, F.col("n_pos") + F.col("n_neg")))
-    return a.groupBy("label").agg(
-        n(1).alias("n_1"), n(2).alias("n_2"), pick(1, "n_pos").alias("n_pos_1"), pick(2, "n_pos").alias("n_pos_2"), r6(pick(1, "auc") - pick(2, "auc")).alias("gap")
-    )
+    gap = pick(1, "auc") - pick(2, "auc")
+    out = a.groupBy("label").agg(n(1).alias("n_1"), n(2).alias("n_2"), pick(1, "n_pos").alias("n_pos_1"), pick(2, "n_pos").alias("n_pos_2"), gap.alias("_gap"))
+    boot = bootstrap(rows, ["g", "label"], "doc_id", REPLICATES).groupBy("label", "rep").agg(gap.alias("g")).groupBy("label").agg(F.avg("g").alias("mean"), F.stddev_pop("g").alias("sd"))
+    out = out.join(boot, "label", "left")
+    sigma = F.try_divide(F.abs("_gap"), F.nullif("sd", F.lit(0.0)))
+    return out.select("label", "n_1", "n_2", "n_pos_1", "n_pos_2", r6("_gap").alias("gap"), F.round("mean", 5).alias("boot_gap"), F.round("sd", 5).alias("boot_sd"), F.round(sigma, 3).alias("sigma"))
 
 
 @query(

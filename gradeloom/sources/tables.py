@@ -49,6 +49,15 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: computed once for several readers, and safe when executors are lost. The files go when the application ends."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
