@@ -14,8 +14,9 @@ Steps 1 and 3 read texts and send out rows of a few numbers; counts are partly s
 split by adaptive execution, no group is gathered in one task.
 
 What is settled by names is settled by 126 bits: a 64-bit hash, mixed from a polynomial modulo 2^64, and a check of 62 bits, the values of two polynomials modulo
-primes of 31 bits. Among 10^14 different windows two are taken for equal with a probability below 10^-9. Anchors have 64 bits; two that
-collide only make more candidates.
+primes of 31 bits. Bytes are turned into random 64-bit symbols. Polynomials modulo 2^64 are equal for some built sequences of two symbols (of 1,024 and more), so a word's symbol is mixed from its polynomial and from the values
+modulo both primes, and its check has a symbol of its own from the primes alone. Anchors have 64 bits; two that collide only make more candidates.
+Rows are known by their id and 96 bits of their text, so that rows of null or equal ids keep apart; rows equal in both have equal spans.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ BLANKS = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 PRIMES = (2**31 - 1, 2**31 - 19)
 BYTE_VALUES = np.random.default_rng(11).integers(1, 2**64, 256, dtype=U)
 
-ROW = "_d long, _h int"
+ROW = "_d long, _h long, _g int"
+KEYS = ("_d", "_h", "_g")
 
 
 @cache
@@ -112,9 +114,10 @@ class Checks:
         return (a << U(31) | b).view(np.int64)
 
 
-def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts one after another, and each text's number of symbols."""
-    return BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the texts one after another, those for checks, and each text's number of symbols."""
+    symbols = BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)]
+    return symbols, symbols, np.array([len(t) for t in texts], np.int64)
 
 
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +127,7 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One symbol a word, for shingles and sketches."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     start, end = word_bounds(buf)
     ends = np.cumsum([len(t) + 1 for t in texts])
@@ -136,7 +140,24 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), counts.astype(np.int64)
 
 
-def runs_of(symbols: np.ndarray, counts: np.ndarray, size: int, seed: int):
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As byte_symbols, for words: both symbols hold what tells words apart, by different means."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    start, end = word_bounds(buf)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(start, ends), prepend=0)
+    out, checks = [np.zeros(0, U)], [np.zeros(0, U)]
+    for lo in range(0, len(start), CHUNK // 8):  # word by word in chunks that the power table covers
+        s, e = start[lo : lo + CHUNK // 8], end[lo : lo + CHUNK // 8]
+        values = BYTE_VALUES[buf[s[0] : e[-1]]]
+        size = mix((e - s).astype(U))
+        check = mix(Checks(values).of(s - s[0], e - s[0]).view(U) ^ size)
+        out.append(mix(Hashes(values).of(s - s[0], e - s[0]) ^ size) ^ check)
+        checks.append(check)
+    return np.concatenate(out), np.concatenate(checks), counts.astype(np.int64)
+
+
+def runs_of(symbols: np.ndarray, check_symbols: np.ndarray, counts: np.ndarray, size: int, seed: int):
     """text number, first window, windows, anchor hash, block hash and its check, of each run of windows that share their anchor."""
     first = np.concatenate(([0], np.cumsum(counts)))
     total, span = len(symbols), size - seed + 1
@@ -165,7 +186,7 @@ def runs_of(symbols: np.ndarray, counts: np.ndarray, size: int, seed: int):
         a = anchor[start]
         block = mix(hashes.of(start, ends + size) + mix(((a - start) << 32 | ends - start).astype(U)))
         text = np.searchsorted(first, start + lo, side="right") - 1
-        out.append((text, start + lo - first[text], ends - start + 1, seeds[a], block, Checks(part).of(start, ends + size)))
+        out.append((text, start + lo - first[text], ends - start + 1, seeds[a], block, Checks(check_symbols[lo : lo + CHUNK + size - 1]).of(start, ends + size)))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -181,7 +202,7 @@ def find_runs(symbols_of: Callable, size: int, seed: int, bits: int):
             part = part[part["raw"].map(len) >= size]
             if len(part):
                 text, start, n, key, block, check = runs_of(*symbols_of(part["raw"].tolist()), size, seed)
-                yield pd.DataFrame({"_d": part["_d"].to_numpy()[text], "_h": part["_h"].to_numpy()[text], "start": start.astype(np.int32), "n": n.astype(np.int32), "key": cut_name(key, bits), "block": cut_name(block, bits), "check": check})
+                yield pd.DataFrame({"_d": part["_d"].to_numpy()[text], "_h": part["_h"].to_numpy()[text], "_g": part["_g"].to_numpy()[text], "start": start.astype(np.int32), "n": n.astype(np.int32), "key": cut_name(key, bits), "block": cut_name(block, bits), "check": check})
 
     return run
 
@@ -189,15 +210,15 @@ def find_runs(symbols_of: Callable, size: int, seed: int, bits: int):
 def name_windows(symbols_of: Callable, size: int, bits: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for d, h, raw, todo in zip(part["_d"], part["_h"], part["raw"], part["todo"], strict=True):
-                symbols, _ = symbols_of([raw])
-                hashes, checks = Hashes(symbols), Checks(symbols)
+            for d, h, g, raw, todo in zip(part["_d"], part["_h"], part["_g"], part["raw"], part["todo"], strict=True):
+                symbols, check_symbols, _ = symbols_of([raw])
+                hashes, checks = Hashes(symbols), Checks(check_symbols)
                 todo = np.asarray(todo, np.int64)
                 for own in (True, False):
                     at = [np.arange(x >> 32, (x >> 32) + (x >> 1 & 0x7FFFFFFF)) for x in todo[(todo & 1) == own]]
                     if at:
                         at = np.concatenate(at)
-                        yield pd.DataFrame({"_d": d, "_h": h, "start": at.astype(np.int32), "own": own, "window": cut_name(hashes.of(at, at + size), bits), "check": checks.of(at, at + size)})
+                        yield pd.DataFrame({"_d": d, "_h": h, "_g": g, "start": at.astype(np.int32), "own": own, "window": cut_name(hashes.of(at, at + size), bits), "check": checks.of(at, at + size)})
 
     return run
 
@@ -208,11 +229,11 @@ def take_blocks(size: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for d, h, raw, todo, keys in zip(part["_d"], part["_h"], part["raw"], part["todo"], part["keys"], strict=True):
+            for d, h, g, raw, todo, keys in zip(part["_d"], part["_h"], part["_g"], part["raw"], part["todo"], part["keys"], strict=True):
                 for x, key in zip(todo, keys, strict=True):
                     start, n = int(x) >> 32, (int(x) >> 1) & 0x7FFFFFFF
-                    out.append((d, h, start, n, bool(x & 1), int(key), raw[start : start + n + size - 1]))
-            yield pd.DataFrame(out, columns=["_d", "_h", "start", "n", "own", "key", "block"])
+                    out.append((d, h, g, start, n, bool(x & 1), int(key), raw[start : start + n + size - 1]))
+            yield pd.DataFrame(out, columns=["_d", "_h", "_g", "start", "n", "own", "key", "block"])
 
     return run
 
@@ -282,8 +303,8 @@ def sort_buckets(size: int, seed: int, most_bytes: int = 1 << 19):
     """mapInPandas function over blocks that are sorted by bucket: the spans of repeated windows."""
 
     def solve(rows: list[tuple]) -> pd.DataFrame:
-        blocks = [r[6] for r in rows]
-        n = np.array([r[3] for r in rows], np.int64)
+        blocks = [r[7] for r in rows]
+        n = np.array([r[4] for r in rows], np.int64)
         lens = np.array([len(b) for b in blocks], np.int64)
         base = np.cumsum(lens) - lens
         text = np.frombuffer(b"".join(blocks), np.uint8)
@@ -293,7 +314,7 @@ def sort_buckets(size: int, seed: int, most_bytes: int = 1 << 19):
         seeds = Hashes(BYTE_VALUES[text]).all(seed)
         which = {}
         for j, r in enumerate(rows):
-            bucket[j] = which.setdefault(r[5], len(which))
+            bucket[j] = which.setdefault(r[6], len(which))
             v = seeds[base[j] : base[j] + span] >> PLACE_BITS
             anchor[j] = int(np.argmin(v))
         row = np.repeat(np.arange(len(rows)), n)
@@ -303,24 +324,24 @@ def sort_buckets(size: int, seed: int, most_bytes: int = 1 << 19):
         order, same = sort_suffixes(text, bucket[row], base[row] + anchor[row] - at, at, covers, size)
         hit = np.zeros(len(at), bool)
         hit[order] = same | np.append(same[1:], False)
-        own = np.array([r[4] for r in rows])
+        own = np.array([r[5] for r in rows])
         hit &= own[row]
         first = hit & ~(np.append(False, hit[:-1]) & np.append(False, row[1:] == row[:-1]))
         last = hit & ~(np.append(hit[1:], False) & np.append(row[1:] == row[:-1], False))
         a, b = np.flatnonzero(first), np.flatnonzero(last)
-        start = np.array([r[2] for r in rows], np.int64)
+        start = np.array([r[3] for r in rows], np.int64)
         lo = start[row[a]] + at[a] - base[row[a]]
-        return pd.DataFrame({"_d": [rows[j][0] for j in row[a]], "_h": [rows[j][1] for j in row[a]], "lo": lo.astype(np.int32), "hi": (lo + (b - a) + size).astype(np.int32)})
+        return pd.DataFrame({"_d": [rows[j][0] for j in row[a]], "_h": [rows[j][1] for j in row[a]], "_g": [rows[j][2] for j in row[a]], "lo": lo.astype(np.int32), "hi": (lo + (b - a) + size).astype(np.int32)})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
         for part in parts:
-            for r in part[["_d", "_h", "start", "n", "own", "key", "block"]].itertuples(index=False, name=None):
-                if held > most_bytes and r[5] != rows[-1][5]:
+            for r in part[["_d", "_h", "_g", "start", "n", "own", "key", "block"]].itertuples(index=False, name=None):
+                if held > most_bytes and r[6] != rows[-1][6]:
                     yield solve(rows)
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[6])
+                held += len(r[7])
         if rows:
             yield solve(rows)
 
@@ -328,13 +349,13 @@ def sort_buckets(size: int, seed: int, most_bytes: int = 1 << 19):
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """_d: the id (the least number for null); _h tells rows of equal ids apart; raw: the bytes; _k0 ...: the columns to keep."""
+    """_d: the id (the least number for null); _h and _g tell rows of equal ids apart by their texts; raw: the bytes; _k0 ...: the columns to keep."""
     raw = as_bytes(F.col(text_col))
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), F.hash(raw).alias("_h"), raw.alias("raw"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(raw).alias("_h"), F.hash(raw).alias("_g"), raw.alias("raw"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
 
 
 def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int, first_stays: bool, sort_up_to: int = 0, name_bits: int = 64) -> DataFrame:
-    """_d, _h and the arrays lo and hi: where spans that repeated windows cover begin and end, for the rows that have any.
+    """_d, _h, _g and the arrays lo and hi: where spans that repeated windows cover begin and end, for the rows that have any.
 
     first_stays False: a window is repeated if it starts at any other place too. True: if it also starts in a row
     with a smaller _d. Anchors with at most ``sort_up_to`` different blocks (bytes only) are resolved by sorting these blocks'
@@ -342,11 +363,11 @@ def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int,
     name_bits collide, but their checks tell them apart (a means of tests).
     """
     prepare(rows.sparkSession)
-    texts = rows.select("_d", "_h", "raw").filter(F.length("raw") >= size)
+    texts = rows.select(*KEYS, "raw").filter(F.length("raw") >= size)
     runs = materialize(texts.mapInPandas(find_runs(symbols_of, size, seed, name_bits), ROW + ", start int, n int, key long, block long, check long"))
     shared = materialize(runs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), narrow=True)  # written, so that the joins' sides are plain shuffles, which can be split
     runs = materialize(runs.join(shared, "key"), narrow=True)
-    place = F.struct("_d", "_h", "start")
+    place = F.struct(*KEYS, "start")
     classes = materialize(runs.groupBy("key", "block", "check", "n").agg(F.count("*").alias("c"), F.min(place).alias("rep")), narrow=True)
     mixed = materialize(classes.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1"), narrow=True)
     classes = materialize(classes.join(mixed, "key", "left").filter("c > 1 or classes > 1").select("key", "block", "check", "n", "c", "rep", F.coalesce("classes", F.lit(1)).alias("classes")), narrow=True)
@@ -357,22 +378,22 @@ def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int,
     else:
         whole, todo = F.col("c") > 1, (F.col("classes") > 1) & (place == F.col("rep"))
         own = F.col("c") == 1
-    known = materialize(known.select("_d", "_h", "start", "n", "key", "classes", whole.alias("whole"), todo.alias("todo"), own.alias("own")).filter("whole or todo"), narrow=True)
-    marks = known.filter("whole").select("_d", "_h", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (size - 1)).alias("hi"))
+    known = materialize(known.select(*KEYS, "start", "n", "key", "classes", whole.alias("whole"), todo.alias("todo"), own.alias("own")).filter("whole or todo"), narrow=True)
+    marks = known.filter("whole").select(*KEYS, F.col("start").alias("lo"), (F.col("start") + F.col("n") + (size - 1)).alias("hi"))
     todo = known.filter("todo")
     packed = F.expr("cast(start as long) * 4294967296 + n * 2 + cast(own as int)")
 
     if sort_up_to:
         few = todo.filter(F.col("classes") <= sort_up_to)
         todo = todo.filter(F.col("classes") > sort_up_to)
-        pairs = few.groupBy("_d", "_h").agg(F.collect_list(F.struct(packed.alias("todo"), F.col("key"))).alias("pairs"))
-        pairs = pairs.select("_d", "_h", F.col("pairs.todo").alias("todo"), F.col("pairs.key").alias("keys"))
-        blocks = only_near(texts, few, "_d", "_h").join(pairs.hint("shuffle_hash"), ["_d", "_h"])
+        pairs = few.groupBy(*KEYS).agg(F.collect_list(F.struct(packed.alias("todo"), F.col("key"))).alias("pairs"))
+        pairs = pairs.select(*KEYS, F.col("pairs.todo").alias("todo"), F.col("pairs.key").alias("keys"))
+        blocks = only_near(texts, few, *KEYS).join(pairs.hint("shuffle_hash"), list(KEYS))
         blocks = blocks.mapInPandas(take_blocks(size), ROW + ", start int, n int, own boolean, key long, block binary")
         spans = blocks.repartition("key").sortWithinPartitions("key").mapInPandas(sort_buckets(size, seed), ROW + ", lo int, hi int")
         marks = marks.unionByName(spans)
 
-    named = only_near(texts, todo, "_d", "_h").join(todo.groupBy("_d", "_h").agg(F.collect_list(packed).alias("todo")).hint("shuffle_hash"), ["_d", "_h"])
+    named = only_near(texts, todo, *KEYS).join(todo.groupBy(*KEYS).agg(F.collect_list(packed).alias("todo")).hint("shuffle_hash"), list(KEYS))
     windows = materialize(named.mapInPandas(name_windows(symbols_of, size, name_bits), ROW + ", start int, own boolean, window long, check long"))
     names = windows.groupBy("window", "check")
     if first_stays:
@@ -381,14 +402,14 @@ def repeated_spans(rows: DataFrame, symbols_of: Callable, size: int, seed: int,
     else:
         names = names.agg(F.count("*").alias("c")).filter("c > 1").select("window", "check")
         hit = windows.filter("own").join(names, ["window", "check"])
-    marks = marks.unionByName(hit.select("_d", "_h", F.col("start").alias("lo"), (F.col("start") + size).alias("hi")))
-    return marks.groupBy("_d", "_h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    marks = marks.unionByName(hit.select(*KEYS, F.col("start").alias("lo"), (F.col("start") + size).alias("hi")))
+    return marks.groupBy(*KEYS).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """rows with lo and hi, null where there are none."""
     spans = materialize(spans)
-    return rows.join(spans.hint("shuffle_hash"), ["_d", "_h"], "left")
+    return rows.join(spans.hint("shuffle_hash"), list(KEYS), "left")
 
 
 def covered(n: int, lo, hi) -> np.ndarray:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .repeats import covered, repeated_spans, with_keys, with_spans, word_symbols
+from .repeats import covered, repeated_spans, with_keys, with_spans, word_names
 
 
 def cut(texts: bool):
@@ -48,7 +48,7 @@ def remove_copied_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     columns are ignored.
     """
     rows = with_keys(docs, id_col, text_col)
-    spans = repeated_spans(rows, word_symbols, size, seed, first_stays=True, name_bits=name_bits)
+    spans = repeated_spans(rows, word_names, size, seed, first_stays=True, name_bits=name_bits)
     joined = with_spans(rows, spans).select("_id", "raw", "lo", "hi")
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.mapInPandas(cut(texts), f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)

@@ -96,3 +96,30 @@ def test_text_longer_than_a_chunk(spark):
     docs = [(1, long), (2, "x" + long[2**18 - 300 : 2**18 + 200] + "y"), (3, "z" + long[5000:5500])]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in remove_repeats(frame(spark, docs), texts=False).collect()}
     assert got == {1: (len(long), 1000, 2), 2: (502, 500, 1), 3: (501, 500, 1)}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    """The Thue-Morse word and its complement have equal polynomials modulo 2^64."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(50)]
+    docs = spark.createDataFrame([(1, " ".join([*words[:25], word, *words[25:]])), (2, " ".join([*words[:25], other, *words[25:]])), (3, " ".join([*words[:25], word, *words[25:]]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in remove_copied_passages(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 51}
+
+
+def test_rows_of_null_id_whose_32_bit_hashes_are_equal(spark):
+    """Two texts of null id that a 32-bit hash does not tell apart; a third text repeats a passage of the first."""
+    from pyspark.sql import functions as F
+
+    passage = "".join(chr(97 + (i * i + 3 * i) % 23) for i in range(450))
+    left = spark.range(200_000).select(F.concat(F.col("id").cast("string"), F.lit(passage)).alias("a")).withColumn("h", F.hash("a"))
+    right = spark.range(200_000).select(F.concat(F.lit("z"), F.col("id").cast("string")).alias("b")).withColumn("h", F.hash("b"))
+    a, b = left.join(right, "h").select("a", "b").first()
+    docs = spark.createDataFrame([(None, a), (None, b), (7, passage)], "doc_id long, text string")
+    got = {r["kept"]: (r["n_bytes"], r["n_removed"]) for r in remove_repeats(docs).collect()}
+    assert got[b] == (len(b), 0) and got[""] == (450, 450) and got[a[: len(a) - 450]] == (len(a), 450)
