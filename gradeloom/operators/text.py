@@ -39,10 +39,34 @@ def normalize_hard(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s_\-/\\]+", " "))
 
 
+def fold(stem: str) -> str:
+    """normalize for a word of this program."""
+    return stem.translate(str.maketrans(*fold_table())).lower()
+
+
+#: Where clauses end: full stops, semicolons, line breaks, and dashes or bullets between blanks.
+CLAUSE_END = r"[.;\n\r]+|\s[-–—•]\s"
+
+
 def clauses(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep, pos, clause: the lower-cased text cut at full stops, semicolons and line breaks, without blank parts."""
-    parts = F.split(F.lower(F.col(text_col)), r"[.;\n\r]+")
-    return docs.select(*keep, F.posexplode(parts).alias("pos", "clause")).filter(F.trim("clause") != "")
+    """keep, pos, raw, clause: the text's clauses as they are and normalised, without blank ones."""
+    parts = docs.select(*keep, F.posexplode(F.split(F.col(text_col), CLAUSE_END)).alias("pos", "raw"))
+    return parts.filter(F.col("raw").rlike(r"\S")).withColumn("clause", normalize(F.col("raw")))
+
+
+def sections(rows: DataFrame, keys: list[str], heading_words: int = 14) -> DataFrame:
+    """rows (of clauses) with heading, whether the clause is one (a few words that end in a colon), and section: the last heading before the clause. A heading ends the section before it, as does a clause without letters."""
+    clause = F.trim("clause")
+    heading = clause.endswith(":") & (F.size(F.split(clause, r"\s+")) <= heading_words)
+    mark = F.when(heading, F.struct(clause.alias("text"))).when(~F.col("clause").rlike(r"\p{L}"), F.struct(F.lit(None).cast("string").alias("text")))
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({"heading": heading, "section": F.last(mark, ignorenulls=True).over(before)["text"]})
+
+
+def in_context(weight: Column, penalty: Column, bonus: Column) -> Column:
+    """A clause's weight, less where its context speaks against it and more, up to 1, where it speaks for it."""
+    weight = F.when(penalty, weight * 0.45).otherwise(weight)
+    return F.when(bonus, F.least(F.lit(1.0), weight * 1.35)).otherwise(weight)
 
 
 def merged_clauses(docs: DataFrame, keys: list[str], text_col: str = "text", heading_words: int = 14, long_words: int = 25) -> DataFrame:
@@ -61,12 +85,13 @@ def merged_clauses(docs: DataFrame, keys: list[str], text_col: str = "text", hea
 
 
 def pattern(stems: list[str], word_start: bool) -> str:
-    each = "|".join(re.escape(s) for s in stems)
-    return f"(?<!\\p{{L}})(?:{each})" if word_start else each
+    """An alternation of normalised stems. A stem that begins with ^ matches at word starts only, whatever word_start says."""
+    starts = r"(?<!\p{L})"
+    return "|".join((starts if word_start or s.startswith("^") else "") + re.escape(fold(s.removeprefix("^"))) for s in stems)
 
 
 def has(clause: Column, lang: Column, stems: Stems, word_start: bool = False) -> Column:
-    """Whether the clause has a stem of its language: one alternation a language, no join. Cues match at word starts, findings anywhere."""
+    """Whether the (normalised) clause has a stem of its language: one alternation a language, no join. Cues match at word starts, findings anywhere."""
     out = F.lit(False)
     for code, words in stems.items():
         out = F.when(lang == code, clause.rlike(pattern(words, word_start))).otherwise(out)

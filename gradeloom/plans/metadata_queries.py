@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.ranks import avg_rank, corr
 from ..operators import metadata as m
-from ..sources.tables import read_csv, registry, require, table, to_wide, write_csv
+from ..sources.publish import CheckFailed, publish, publish_default, read_current
+from ..sources.tables import read_csv, registry, require, shared_folder, table, to_wide, write_csv
+from ..streaming.rebuild import current, rebuild_stream
 from .base import GOLD, RANKED, SCORED, documents, gold, query, scored
 from .metric_queries import r6
 
@@ -153,6 +157,17 @@ def meta13(spark, d):
     return m.completeness(e, e.filter("user_id % 5 <> 0 and (user_id % 3 <> 0 or value > 30)"), "user_id")
 
 
+@query("meta13_rebuild_stream", "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS n_click, min(value) AS least, max(value) AS most FROM events GROUP BY user_id")
+def meta13_stream(spark, d):
+    """The events' files as a stream: users whose events grew are built anew, batch by batch; what the last batch left is the result."""
+    events = table(spark, d, "events")
+    schema = ", ".join(f"`{n}` {k}" for n, k in events.dtypes)
+    root = f"{shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
+    build = lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("n_click"), F.min("value").alias("least"), F.max("value").alias("most"))
+    rebuild_stream(spark, f"{d}/events.parquet", schema, f"{root}/built", "user_id", build, f"{root}/state").awaitTermination()
+    return current(spark.read.parquet(f"{root}/built"), "user_id").select("user_id", "n", "n_click", "least", "most")
+
+
 @query("meta16_features", "SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') > 0 AS has_purchase FROM events GROUP BY 1")
 def meta16(spark, d):
     n = lambda k: F.count_if(F.col("event_type") == k)
@@ -216,9 +231,9 @@ def src1(spark, d):
     return back.select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "n_chars")
 
 
-@query("src2_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01'")
+@query("src2_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'")
 def src2(spark, d):
-    return table(spark, d, "lineitem").filter(F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_quantity")
+    return table(spark, d, "lineitem").filter(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_quantity")
 
 
 @query("src6_registry", f"WITH {SCORED} SELECT arm AS source, count(*) AS n, round(avg(p), 6) AS mean FROM scored WHERE arm <> 'b' GROUP BY arm")
@@ -247,16 +262,28 @@ def src8(spark, d):
 
 @query("src9_wide_output", f"WITH {RANKED}, w AS (SELECT doc_id, max(avg_rank / n) FILTER (label = 'quality') AS quality, max(avg_rank / n) FILTER (label = 'toxic') AS toxic FROM ranked WHERE arm = 'c' GROUP BY doc_id) SELECT doc_id, round(coalesce(quality, 0.5), 8) AS quality, round(coalesce(toxic, 0.5), 8) AS toxic FROM documents LEFT JOIN w USING (doc_id)")
 def src9(spark, d):
+    """A default for every document is published first; the ranks replace it once they are complete and have passed the checks."""
     from ..functions.ranks import ranked
 
+    ids, root = documents(spark, d).select("doc_id"), f"{shared_folder(spark)}/output-{uuid.uuid4().hex}"
+    publish_default(ids, root, "doc_id", ["quality", "toxic"])
     wide = to_wide(ranked(scored(spark, d).filter("arm = 'c'"), ["label"], "p"), ["doc_id"], ["quality", "toxic"], value="pct_rank")
-    out = documents(spark, d).select("doc_id").join(wide, "doc_id", "left")
-    return out.select("doc_id", *[F.round(F.coalesce(c, F.lit(0.5)), 8).alias(c) for c in ("quality", "toxic")])
+    out = ids.join(wide, "doc_id", "left").select("doc_id", *[F.round(F.coalesce(c, F.lit(0.5)), 8).alias(c) for c in ("quality", "toxic")])
+    publish(out, root, ids, "doc_id", ["quality", "toxic"])
+    return read_current(spark, root)
 
 
 @query("src10_default_output", "SELECT doc_id, 0.5::DOUBLE AS quality, 0.5::DOUBLE AS toxic FROM documents")
 def src10(spark, d):
-    return documents(spark, d).select("doc_id", F.lit(0.5).alias("quality"), F.lit(0.5).alias("toxic"))
+    """A replacement that lacks documents and holds nulls is staged and refused: the default that was written first is what readers find."""
+    ids, root = documents(spark, d).select("doc_id"), f"{shared_folder(spark)}/output-{uuid.uuid4().hex}"
+    publish_default(ids, root, "doc_id", ["quality", "toxic"])
+    labels = table(spark, d, "labels").select("doc_id", F.nullif(F.col("quality").cast("double"), F.lit(0.0)).alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+    try:
+        publish(labels, root, ids, "doc_id", ["quality", "toxic"])
+    except CheckFailed:
+        return read_current(spark, root)
+    raise AssertionError("an incomplete replacement was published")
 
 
 @query("src12_item_map", "SELECT doc_id AS item_id, sha256(text) AS study FROM documents")

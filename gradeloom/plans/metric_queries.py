@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.metrics import auc, balanced_accuracy, hanley_se, macro, wilson
 from ..functions.ranks import corr, ranked
 from ..functions.resampling import CUTS_SQL, bootstrap, uniform_sql
+from ..functions.sql_functions import register_scalars, register_scores
 from ..sources.tables import table, to_long
-from .base import AUCS, GOLD, RANKED, SCORED, gold, query, scored
+from .base import AUCS, GOLD, ORACLE_SQL, RANKED, SCORED, gold, query, scored
 
 r6 = lambda c: F.round(c, 6)
 
@@ -323,3 +324,25 @@ def rank3(spark, d):
     rows = scored(spark, d).filter("arm = 'c'")
     groups = rows.groupBy("source").agg(F.countDistinct("doc_id").alias("n")).select("source", F.when(F.col("n") < 20, "__other__").otherwise(F.col("source")).alias("grp"))
     return ranked(rows.join(groups, "source"), ["grp", "label"], "p").select("grp", "label", "doc_id", F.round("pct_rank", 9).alias("r"))
+
+
+@query("udf5_auc_of", f"WITH {AUCS} SELECT arm, label, n_pos, n_neg, round(auc, 6) AS auc FROM aucs")
+def udf5_auc(spark, d):
+    """Areas by a table function in SQL."""
+    register_scores(scored(spark, d))
+    return spark.sql(" UNION ALL ".join(f"SELECT '{a}' AS arm, label, n_pos, n_neg, round(auc, 6) AS auc FROM auc_of('{a}')" for a in "abc"))
+
+
+@query("udf5_ranks_of", f"WITH {RANKED} SELECT DISTINCT label, p, avg_rank, round(avg_rank / n, 9) AS pct FROM ranked WHERE arm = 'b'")
+def udf5_ranks(spark, d):
+    """Ranks and percent ranks of the different scores by a table function in SQL."""
+    register_scores(scored(spark, d))
+    return spark.sql("SELECT label, p, avg_rank, round(pct_rank, 9) AS pct FROM ranks_of('b')")
+
+
+@query("udf5_wilson", ORACLE_SQL["met5_wilson"])
+def udf5_wilson(spark, d):
+    """Intervals by a scalar function in SQL."""
+    register_scalars(spark)
+    gold(spark, d).createOrReplaceTempView("gold_labels")
+    return spark.sql("SELECT lang, label, round(w.low, 6) AS low, round(w.high, 6) AS high FROM (SELECT lang, label, wilson(CAST(sum(y) AS DOUBLE), CAST(count(*) AS DOUBLE)) AS w FROM gold_labels GROUP BY lang, label)")

@@ -399,9 +399,9 @@ def set1(spark, d):
     return g.unionByName(rest).groupBy("doc_id").agg(F.min("src").alias("src"))
 
 
-@query("set2_key_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set2_key_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
 def set2(spark, d):
-    return table(spark, d, "customer", "c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    return table(spark, d, "customer", "c_custkey").exceptAll(table(spark, d, "orders").filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("c_custkey")).distinct())
 
 
 @query("set4_intersect", "SELECT doc_id FROM documents WHERE n_chars > 500 INTERSECT SELECT doc_id FROM labels")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import text as t
+from ..operators.glossary import RULE_SCHEMA, apply_rules, glossary_hits, read_glossary, write_glossary
 from ..sources.tables import table
 from .base import documents, query
 from .metric_queries import r6
@@ -25,24 +27,32 @@ SPEC = {"one": ("anat", "path"), "two": ("gen", "path")}
 FINDINGS, CUES = (("anat", "path", "gen"), ("negation", "uncertainty", "minimal"))
 
 
+#: The letters' table in SQL; \\s of the other engine has one blank more.
+NORM = "lower(translate({}, '%s', '%s'))" % t.fold_table()
+SPACE = r"\t\n\x0b\f\r "
+
+
+def sql_stem(stem: str, word_start: bool) -> str:
+    return (r"(^|[^\p{L}])" if word_start or stem.startswith("^") else "") + re.escape(t.fold(stem.removeprefix("^")))
+
+
 def sql_has(kind: str, key: str) -> str:
-    pre = r"(^|[^\p{L}])" if kind == "cue" else ""
-    cases = " ".join(f"WHEN '{lang}' THEN regexp_matches(clause, '{pre}({'|'.join(map(re.escape, s))})')" for lang, s in GLOSSARY[kind, key].items())
+    cases = " ".join(f"WHEN '{lang}' THEN regexp_matches(clause, '{'|'.join(sql_stem(x, kind == 'cue') for x in s)}')" for lang, s in GLOSSARY[kind, key].items())
     return f"CASE lang {cases} ELSE false END AS {key}"
 
 
-CL = r"""cl0 AS (SELECT doc_id, lang, string_split_regex(lower(text), '[.;\n\r]+') AS parts FROM documents),
-clauses AS (SELECT * FROM (SELECT doc_id, lang, unnest(range(len(parts)))::INTEGER AS pos, unnest(parts) AS clause FROM cl0) WHERE trim(clause) <> '')"""
+CL = rf"""cl0 AS (SELECT doc_id, lang, string_split_regex(text, '[.;\n\r]+|[{SPACE}][-–—•][{SPACE}]') AS parts FROM documents),
+clauses AS (SELECT *, {NORM.format('raw')} AS clause FROM (SELECT doc_id, lang, unnest(range(len(parts)))::INTEGER AS pos, unnest(parts) AS raw FROM cl0) WHERE regexp_matches(raw, '[^{SPACE}]'))"""
 MATCH = f"{CL}, hits AS (SELECT *, {', '.join(sql_has(k, n) for k, n in GLOSSARY)} FROM clauses)"
 STATE = "CASE WHEN negation THEN 'neg' WHEN uncertainty OR minimal THEN 'hedged' ELSE 'pos' END"
 FOUND = (
     MATCH
     + f""", found AS (
-    SELECT doc_id, lang, pos, clause, 'one' AS label, {STATE} AS state FROM hits WHERE anat AND path
-    UNION ALL SELECT doc_id, lang, pos, clause, 'two', {STATE} FROM hits WHERE gen AND path
-    UNION ALL SELECT doc_id, lang, pos, clause, 'one', CASE WHEN negation THEN 'neg' ELSE 'weak' END FROM hits WHERE gen AND NOT anat AND path),
+    SELECT doc_id, lang, pos, raw, 'one' AS label, {STATE} AS state FROM hits WHERE anat AND path
+    UNION ALL SELECT doc_id, lang, pos, raw, 'two', {STATE} FROM hits WHERE gen AND path
+    UNION ALL SELECT doc_id, lang, pos, raw, 'one', CASE WHEN negation THEN 'neg' ELSE 'weak' END FROM hits WHERE gen AND NOT anat AND path),
 ranked_states AS (SELECT *, CASE state WHEN 'pos' THEN 4 WHEN 'hedged' THEN 3 WHEN 'weak' THEN 2 ELSE 1 END AS rk FROM found),
-best AS (SELECT doc_id, lang, label, state, substr(trim(clause), 1, 220) AS evidence FROM ranked_states QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY rk DESC, pos) = 1),
+best AS (SELECT doc_id, lang, label, state, substr(trim(raw), 1, 220) AS evidence FROM ranked_states QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY rk DESC, pos) = 1),
 states AS (SELECT d.doc_id, d.lang, l.label, coalesce(b.state, 'absent') AS state, b.evidence FROM documents d CROSS JOIN (SELECT unnest(['one', 'two']) AS label) l LEFT JOIN best b USING (doc_id, label))"""
 )
 
@@ -58,27 +68,22 @@ def matched(spark, d):
 
 
 def found(spark, d):
-    """doc_id, lang, pos, clause, label, state of every clause that speaks of a label; a general finding alone is weak."""
+    """doc_id, lang, pos, raw, label, state of every clause that speaks of a label; a general finding alone is weak."""
     m = matched(spark, d)
     state = t.clause_state(F.col("negation"), F.col("uncertainty"), F.col("minimal"))
     weak = F.when(F.col("negation"), "neg").otherwise("weak")
     rules = [F.when(F.col(a) & F.col(p), F.struct(F.lit(label).alias("label"), state.alias("state"))) for label, (a, p) in SPEC.items()]
     rules.append(F.when(F.col("gen") & ~F.col("anat") & F.col("path"), F.struct(F.lit("one").alias("label"), weak.alias("state"))))
-    return m.select("doc_id", "lang", "pos", "clause", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("doc_id", "lang", "pos", "clause", "r.label", "r.state")
+    return m.select("doc_id", "lang", "pos", "raw", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("doc_id", "lang", "pos", "raw", "r.label", "r.state")
 
 
 def states(spark, d):
     """doc_id, lang, label, state, evidence for every document and label; ``absent`` without a clause."""
-    best = t.fold_states(found(spark, d), ["doc_id", "label"])
+    best = t.fold_states(found(spark, d), ["doc_id", "label"], clause="raw")
     cells = table(spark, d, "documents", "doc_id", "lang").withColumn("label", F.explode(F.array(*map(F.lit, SPEC))))
     return cells.join(best, ["doc_id", "label"], "left").withColumn("state", F.coalesce("state", F.lit("absent")))
 
 
-#: The letters' table in SQL; \\s of the other engine has one blank more.
-NORM = "lower(translate({}, '%s', '%s'))" % t.fold_table()
-SPACE = r"\t\n\x0b\f\r "
-
-
 @query("txt1_normalize", f"SELECT doc_id, sha256(n) AS digest, length(n) = length(text) AS same_length FROM (SELECT doc_id, text, {NORM.format('text')} AS n FROM documents)")
 def txt1(spark, d):
     n = t.normalize(F.col("text"))
@@ -113,10 +118,15 @@ def txt4(spark, d):
     return t.merged_clauses(documents(spark, d), ["doc_id"]).select("doc_id", "pos", "part", F.md5("clause").alias("clause"))
 
 
-@query("txt5_stem_search", r"SELECT lang, count(*) FILTER (contains(lower(text), 'and')) AS anywhere, count(*) FILTER (regexp_matches(lower(text), '(^|[^\p{L}])and')) AS word_start FROM documents GROUP BY lang")
+STEMS = ["and", "^and", "ing", "^ing", "ción", "^de", "ß"]
+
+
+@query("txt5_stem_search", f"WITH n AS (SELECT lang, {NORM.format('text')} AS text FROM documents) " + " UNION ALL ".join(f"SELECT lang, '{x}' AS stem, count(*) FILTER (regexp_matches(text, '{sql_stem(x, False)}')) AS docs, count(*) FILTER (regexp_matches(text, '{sql_stem(x, True)}')) AS word_start FROM n GROUP BY lang" for x in STEMS))
 def txt5(spark, d):
-    low = F.lower("text")
-    return documents(spark, d).groupBy("lang").agg(F.count_if(low.contains("and")).alias("anywhere"), F.count_if(low.rlike(t.pattern(["and"], True))).alias("word_start"))
+    """Documents by language that hold a stem, anywhere or at a word's start; stems with ^ match there alone."""
+    n = documents(spark, d).select("lang", t.normalize(F.col("text")).alias("text"))
+    hits = F.array(*[F.struct(F.lit(x).alias("stem"), *[F.col("text").rlike(t.pattern([x], w)).alias(c) for c, w in (("docs", False), ("word_start", True))]) for x in STEMS])
+    return n.select("lang", F.explode(hits).alias("h")).groupBy("lang", "h.stem").agg(F.count_if("h.docs").alias("docs"), F.count_if("h.word_start").alias("word_start"))
 
 
 @query("txt6_glossary_match", f"WITH {MATCH} SELECT lang, {', '.join(f'count(*) FILTER ({k}) AS {k}' for k in FINDINGS)} FROM hits GROUP BY lang")
@@ -158,9 +168,59 @@ def txt11(spark, d):
     return found(spark, d).filter("state <> 'weak'").groupBy("label", "state").agg(F.count("*").alias("n"))
 
 
-@query("txt13_ambiguity_rules", f"WITH {FOUND} SELECT doc_id, pos FROM found WHERE state = 'weak'")
+#: Glossary of the corpus: by language the first letters of its most frequent words of five letters or more, under 24 keys; every fifth at word starts only, every seventh with a word's end as a second part.
+STEMS_A_LANGUAGE, KEYS = 150, 24
+TERMS = rf"""words AS (SELECT lang, unnest(regexp_extract_all({NORM.format('text')}, '\p{{L}}{{5,}}')) AS word FROM documents WHERE lang IS NOT NULL),
+ranked_words AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM words GROUP BY lang, word QUALIFY r <= {STEMS_A_LANGUAGE}),
+terms AS (SELECT lang, 'k' || (r % {KEYS}) AS key, substr(word, 1, 4) AS head, CASE WHEN r % 7 = 0 THEN substr(word, length(word) - 2, 3) ELSE '' END AS tail, r % 5 = 0 AS starts FROM ranked_words),
+spaced AS (SELECT doc_id, lang, pos, clause, ' ' || regexp_replace(clause, '[^\p{{L}}]', ' ', 'g') AS letters FROM clauses),
+keyed AS (SELECT DISTINCT doc_id, spaced.lang, pos, key FROM spaced JOIN terms ON spaced.lang = terms.lang AND contains(letters, CASE WHEN starts THEN ' ' || head ELSE head END) AND contains(clause, tail))"""
+
+
+def corpus_glossary(spark, d):
+    """The glossary, written as JSON of several lines and read back."""
+    words = documents(spark, d).filter("lang is not null").select("lang", F.explode(F.regexp_extract_all(t.normalize(F.col("text")), F.lit(r"(\p{L}{5,})"), F.lit(1))).alias("word"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= STEMS_A_LANGUAGE)
+    stem = F.concat(F.when(F.col("r") % 5 == 0, "^").otherwise(""), F.substring("word", 1, 4), F.when(F.col("r") % 7 == 0, F.concat(F.lit("~"), F.substring("word", -3, 3))).otherwise(""))
+    rows = top.select(F.lit("findings").alias("kind"), F.concat(F.lit("k"), F.col("r") % KEYS).alias("key"), "lang", stem.alias("stem"))
+    return read_glossary(spark, write_glossary(rows))
+
+
+def keys_hit(spark, d):
+    """doc_id, lang, pos, key of every clause and glossary key that it holds."""
+    return glossary_hits(clauses(spark, d).select("doc_id", "lang", "pos", "clause"), corpus_glossary(spark, d), ["doc_id", "lang", "pos"])
+
+
+@query("txt6_glossary_join", f"WITH {CL}, {TERMS} SELECT lang, key, count(*) AS clauses, count(DISTINCT doc_id) AS docs FROM keyed GROUP BY lang, key")
+def txt6_join(spark, d):
+    """A glossary table of hundreds of stems against all clauses, by an index of rare trigrams."""
+    return keys_hit(spark, d).groupBy("lang", "key").agg(F.count("*").alias("clauses"), F.countDistinct("doc_id").alias("docs"))
+
+
+#: rule, keys it requires, keys it forbids, labels it emits, and the state where nothing qualifies the clause, where it is uncertain, and where it is negated (none: the rule does not apply)
+RULES = [
+    ("all_three", ["k1"], [], ["a", "b", "c"], "pos", "hedged", None),
+    ("unplaced", ["k2"], ["k3", "k4", "k5"], ["a", "b", "c"], "weak", "weak", None),
+    ("no_side", ["k6", "k7"], ["k8", "k9"], ["d", "e"], "weak", "weak", "neg"),
+]
+sql_list = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]::VARCHAR[]"
+sql_text = lambda x: "NULL" if x is None else f"'{x}'"
+RULES_SQL = "rules(rule, requires, forbids, emits, state, unsure, negated) AS (VALUES " + ", ".join(f"('{r}', {sql_list(a)}, {sql_list(b)}, {sql_list(e)}, {sql_text(p)}, {sql_text(u)}, {sql_text(n)}::VARCHAR)" for r, a, b, e, p, u, n in RULES) + ")"
+
+
+@query(
+    "txt13_ambiguity_rules",
+    f"""WITH {MATCH}, {TERMS}, {RULES_SQL}, sets AS (SELECT doc_id, pos, list(key) AS keys FROM keyed GROUP BY ALL),
+fired AS (SELECT doc_id, pos, rule, emits, CASE WHEN negation THEN negated WHEN uncertainty THEN unsure ELSE state END AS state FROM sets JOIN hits USING (doc_id, pos), rules WHERE list_has_all(keys, requires) AND NOT list_has_any(keys, forbids))
+SELECT doc_id, pos, rule, unnest(emits) AS label, state FROM fired WHERE state IS NOT NULL""",
+)
 def txt13(spark, d):
-    return found(spark, d).filter("state = 'weak'").select("doc_id", "pos")
+    """What a rule table makes of clauses that name a finding without its place: emitted for every label it may be, weak or as told."""
+    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
+    cues = matched(spark, d).select("doc_id", "pos", F.col("negation").alias("negated_clause"), F.col("uncertainty").alias("uncertain"))
+    sets = keys_hit(spark, d).groupBy("doc_id", "pos").agg(F.collect_set("key").alias("keys")).join(cues, ["doc_id", "pos"])
+    return apply_rules(sets, rules, ["doc_id", "pos"])
 
 
 @query("txt14_fold_states", f"WITH {FOUND} SELECT doc_id, label, state, md5(evidence) AS evidence FROM states")
@@ -177,17 +237,24 @@ def txt15(spark, d):
     return states(spark, d).select("doc_id", "label", t.lookup(t.SCORE, F.col("state")).alias("score"), t.lookup(t.CONFIDENCE, F.col("state")).alias("conf"))
 
 
-POL = "CASE WHEN regexp_matches(clause, 'wh') THEN 'unc' WHEN regexp_matches(clause, 'sh') THEN 'neg' WHEN regexp_matches(clause, 'nd') AND NOT regexp_matches(clause, 'ti') THEN 'neg' WHEN regexp_matches(clause, 'er') THEN 'pos' END"
+POL = "CASE WHEN regexp_matches(clause, 'wh') THEN 'unc' WHEN regexp_matches(clause, 'sh') THEN 'neg' WHEN regexp_matches(clause, 'nd') AND NOT regexp_matches(clause, 'ti') THEN 'neg' WHEN regexp_matches(clause, '{}') THEN 'pos' END"
 SEV = "CASE WHEN contains(clause, 'ing') AND NOT contains(clause, 'ed') THEN 1.0 WHEN contains(clause, 'ed') AND NOT contains(clause, 'ing') THEN 0.45 ELSE 0.75 END::DOUBLE"
+#: of two labels: the finding, a decoy that rules a clause out, and contexts that lower and raise a clause's weight
+EVIDENCE = {"main": ("er", "ough|onn", "ter|ent", "ion|eau"), "donor": ("an", "ith", "eit", "ung")}
 
 
-def polar(spark, d):
+def polar(spark, d, label: str = "main"):
+    """Clauses with polarity and weight."""
+    found, decoy, against, favour = EVIDENCE[label]
     c = F.col("clause")
-    pol = t.polarity(c.rlike("wh"), c.rlike("sh"), c.rlike("nd"), c.rlike("ti"), c.rlike("er"))
-    return clauses(spark, d).select("doc_id", "lang", "pos", "clause", pol.alias("pol"), t.severity(c.contains("ing"), c.contains("ed")).alias("sev"))
+    pol = t.polarity(c.rlike("wh"), c.rlike("sh"), c.rlike("nd"), c.rlike("ti"), c.rlike(found))
+    rows = t.sections(clauses(spark, d), ["doc_id"])
+    around = lambda p: c.rlike(p) | F.coalesce(F.col("section").rlike(p), F.lit(False))
+    sev = t.severity(c.contains("ing"), c.contains("ed"))
+    return rows.select("doc_id", "lang", "pos", "clause", pol.alias("pol"), sev.alias("sev"), c.rlike(decoy).alias("decoy"), t.in_context(sev, around(against), around(favour)).alias("weight"))
 
 
-@query("txt16_polarity", f"WITH {CL} SELECT {POL} AS pol, count(*) AS n FROM clauses GROUP BY 1")
+@query("txt16_polarity", f"WITH {CL} SELECT {POL.format('er')} AS pol, count(*) AS n FROM clauses GROUP BY 1")
 def txt16(spark, d):
     return polar(spark, d).groupBy("pol").agg(F.count("*").alias("n"))
 
@@ -197,30 +264,44 @@ def txt18(spark, d):
     return polar(spark, d).groupBy("sev").agg(F.count("*").alias("n"))
 
 
-EVID = f"""{CL}, pc AS (SELECT doc_id, {POL} AS pol, {SEV} AS sev FROM clauses),
-acc AS (SELECT doc_id, max(CASE pol WHEN 'pos' THEN sev WHEN 'unc' THEN 0.30 END)::DOUBLE AS best, count(*) FILTER (pol = 'pos') AS n_pos, count(*) FILTER (pol = 'neg') AS n_neg, count(*) FILTER (pol = 'unc') AS n_unc FROM pc GROUP BY doc_id),
-ev AS (SELECT *, CASE WHEN n_pos + n_unc > 0 THEN least(0.95, 0.50 + 0.42 * best + 0.03 * least(n_pos, 3)) WHEN n_neg > 0 THEN greatest(0.04, 0.20 - 0.04 * n_neg) ELSE 0.28 END AS score,
-    CASE WHEN n_pos + n_unc > 0 THEN least(1.0, 0.55 + 0.15 * n_pos) WHEN n_neg > 0 THEN least(0.9, 0.45 + 0.12 * n_neg) ELSE 0.05 END AS conf FROM acc)"""
+MARKED = rf"""marked AS (SELECT *, ends_with(trim(clause), ':') AND len(string_split_regex(trim(clause), '[{SPACE}]+')) <= 14 AS heading, NOT regexp_matches(clause, '\p{{L}}') AS bare FROM clauses),
+parts AS (SELECT *, coalesce(sum((heading OR bare)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM marked),
+heads AS (SELECT doc_id, part + 1 AS part, trim(clause) AS section FROM parts WHERE heading),
+placed AS (SELECT parts.*, section FROM parts LEFT JOIN heads USING (doc_id, part))"""
+
+
+def evid_sql(label: str, name: str = "ev") -> str:
+    found, decoy, against, favour = EVIDENCE[label]
+    around = lambda p: f"(regexp_matches(clause, '{p}') OR coalesce(regexp_matches(section, '{p}'), false))"
+    return f"""pc_{name} AS (SELECT doc_id, {POL.format(found)} AS pol, {SEV} * CASE WHEN {around(against)} THEN 0.45::DOUBLE ELSE 1 END AS low, {around(favour)} AS up FROM placed WHERE NOT regexp_matches(clause, '{decoy}')),
+acc_{name} AS (SELECT doc_id, max(CASE pol WHEN 'pos' THEN CASE WHEN up THEN least(1.0::DOUBLE, low * 1.35::DOUBLE) ELSE low END WHEN 'unc' THEN 0.30 END)::DOUBLE AS best, count(*) FILTER (pol = 'pos') AS n_pos, count(*) FILTER (pol = 'neg') AS n_neg, count(*) FILTER (pol = 'unc') AS n_unc FROM pc_{name} GROUP BY doc_id),
+{name} AS (SELECT *, CASE WHEN n_pos + n_unc > 0 THEN least(0.95, 0.50 + 0.42 * best + 0.03 * least(n_pos, 3)) WHEN n_neg > 0 THEN greatest(0.04, 0.20 - 0.04 * n_neg) ELSE 0.28 END AS score,
+    CASE WHEN n_pos + n_unc > 0 THEN least(1.0, 0.55 + 0.15 * n_pos) WHEN n_neg > 0 THEN least(0.9, 0.45 + 0.12 * n_neg) ELSE 0.05 END AS conf FROM acc_{name})"""
 
 
-def evidence(spark, d):
+def evidence(spark, d, label: str = "main"):
+    """Score and confidence from all clauses of a document that are no decoys."""
     pol = F.col("pol")
-    acc = polar(spark, d).groupBy("doc_id").agg(
-        F.max(F.when(pol == "pos", F.col("sev")).when(pol == "unc", 0.30)).alias("best"), *[F.count_if(pol == p).alias(f"n_{p}") for p in ("pos", "neg", "unc")]
+    acc = polar(spark, d, label).filter("not decoy").groupBy("doc_id").agg(
+        F.max(F.when(pol == "pos", F.col("weight")).when(pol == "unc", 0.30)).alias("best"), *[F.count_if(pol == p).alias(f"n_{p}") for p in ("pos", "neg", "unc")]
     )
     score, conf = t.evidence_score(F.col("best"), F.col("n_pos"), F.col("n_neg"), F.col("n_unc"))
     return acc.withColumns({"score": score, "conf": conf})
 
 
-@query("txt19_evidence_score", f"WITH {EVID} SELECT doc_id, n_pos, n_neg, n_unc, round(score::DOUBLE, 6) AS score, round(conf::DOUBLE, 6) AS conf FROM ev")
+@query("txt19_evidence_score", f"WITH {CL}, {MARKED}, {evid_sql('main')} SELECT doc_id, n_pos, n_neg, n_unc, round(score::DOUBLE, 6) AS score, round(conf::DOUBLE, 6) AS conf FROM ev")
 def txt19(spark, d):
+    """Evidence with decoys left out and weights by context: the clause's own words and the heading of its section."""
     return evidence(spark, d).select("doc_id", "n_pos", "n_neg", "n_unc", r6("score").alias("score"), r6("conf").alias("conf"))
 
 
-@query("txt20_back_fill", f"WITH {EVID} SELECT doc_id, round((CASE WHEN n_pos + n_neg = 0 THEN greatest(score, 0.28 + 0.45 * (0.6 - 0.28)) ELSE score END)::DOUBLE, 6) AS score FROM ev")
+@query("txt20_back_fill", f"WITH {CL}, {MARKED}, {evid_sql('main')}, {evid_sql('donor', 'other')} SELECT ev.doc_id, round((CASE WHEN ev.n_pos + ev.n_neg = 0 THEN greatest(ev.score, 0.28 + 0.45 * (coalesce(other.score, 0.28) - 0.28)) ELSE ev.score END)::DOUBLE, 6) AS score FROM ev LEFT JOIN other USING (doc_id)")
 def txt20(spark, d):
-    s = F.when(F.col("n_pos") + F.col("n_neg") == 0, F.greatest("score", F.lit(0.28 + 0.45 * (0.6 - 0.28)))).otherwise(F.col("score"))
-    return evidence(spark, d).select("doc_id", r6(s).alias("score"))
+    """A silent label takes part of another label's score."""
+    donor = evidence(spark, d, "donor").select("doc_id", F.col("score").alias("given"))
+    filled = F.greatest("score", 0.28 + 0.45 * (F.coalesce("given", F.lit(0.28)) - 0.28))
+    s = F.when(F.col("n_pos") + F.col("n_neg") == 0, filled).otherwise(F.col("score"))
+    return evidence(spark, d).join(donor, "doc_id", "left").select("doc_id", r6(s).alias("score"))
 
 
 @query("txt21_impute_undecided", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN toxic::DOUBLE ELSE quality::DOUBLE END AS v FROM labels")
