@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from .bins import with_bins
+
 
 def avg_rank(value: Column | str, *keys: str) -> Column:
     """Average rank of ties within keys, as a window expression. For groups that fit one task; see ranked() for others."""
@@ -23,14 +26,18 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def below(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], lo: float = 0.0, hi: float = 1.0, bins: int = 4096) -> DataFrame:
+def below(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], lo: float = 0.0, hi: float = 1.0, bins: int = 4096, parts: int | None = None) -> DataFrame:
     """For each distinct value within keys: the measures' sums, and ``<name>_below``, the sums over all smaller values.
 
-    Values are cut into bins that keep their order, between lo and hi. Running sums go over the few bins of a key and, in parallel, over
-    the values of each (key, bin), so a key with a large share of the rows is dealt to many tasks.
+    Values are cut into bins that keep their order: of equal width between lo and hi, or, with ``parts``, of about equal numbers of different values, however these crowd. Running sums go over the few bins of a
+    key and, in parallel, over the values of each (key, bin), so a key with a large share of the rows is dealt to many tasks.
     """
     cell = F.least(F.greatest(F.floor((F.col(value) - lo) / (hi - lo) * bins), F.lit(-1)), F.lit(bins)).cast("int")
-    each = df.groupBy(*keys, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()]).withColumn("_bin", cell)
+    each = df.groupBy(*keys, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
+    if parts:
+        each = with_bins(written(each), keys, value, parts)
+    else:
+        each = each.withColumn("_bin", cell)
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins_ = each.groupBy(*keys, "_bin").agg(*[F.sum(n).alias(f"_{n}") for n in measures])
     bins_ = bins_.select(*keys, "_bin", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_base") for n in measures])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import auc
+from ..sources.tables import written
 from .folds import deal
 
 
@@ -32,7 +33,7 @@ def out_of_fold(rows: DataFrame, id_col: str, labels: list[str], features: list[
             continue
         even, left = deal(known, id_col, [F.col("label")], folds)
         fold = even.unionByName(left.select(id_col, F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int").alias("fold")))
-        known = known.join(fold, id_col).cache()
+        known = written(known.join(fold, id_col))
         parts = []
         for k in range(folds):
             model = estimator.fit(known.filter(F.col("fold") != k))

@@ -167,6 +167,13 @@ def evidence_score(best: Column, n_pos: Column, n_neg: Column, n_unc: Column) ->
     return score, conf
 
 
+def stop_word_counts(text: Column, stop_words: dict[str, list[str]]) -> Column:
+    """How many stop words of each language the text has, in the languages' order; one pass over the text."""
+    every = "|".join(sorted({re.escape(w) for words in stop_words.values() for w in words}))
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b(?:{every})\b"), F.lit(0))
+    return F.transform(F.array(found), lambda f: F.array(*[F.size(F.filter(f, lambda w: w.isin(*words))) for words in stop_words.values()]))[0]
+
+
 def sniff(text: Column, scripts: dict[str, str], stop_words: dict[str, list[str]], least_script: int = 5, least_words: int = 3) -> Column:
     """The first script found more than least_script times, else the language with most stop words (at least least_words; the first of ties)."""
     every = "|".join(sorted({re.escape(w) for words in stop_words.values() for w in words}))

@@ -10,6 +10,7 @@ from ..functions.ranks import ranked
 from ..functions.resampling import bootstrap, uniform, uniform_sql
 from ..operators.baseline import out_of_fold
 from ..operators.folds import assign_folds, fold_report
+from ..operators.stacking import shrink_first_component, stack
 from ..operators.selection import TRIALS, optimism, score_chosen, selection_trials
 from ..sources.tables import table, written
 from .base import AUCS, GOLD, RANKED, SCORED, gold, query, scored
@@ -367,6 +368,43 @@ def ens12(spark, d):
     return m.select("arm", F.when(F.col("macro_auc") >= 0.55, "PASS").otherwise("PARK").alias("verdict"))
 
 
+def family_macro_sql(name: str, arms: str) -> str:
+    return f"""f_{name} AS (SELECT doc_id, label, any_value(y) AS y, round(avg(avg_rank / n), 9) AS p FROM ranked WHERE arm IN ({arms}) GROUP BY doc_id, label),
+c_{name} AS (SELECT label, rep, p, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM f_{name} JOIN weights USING (doc_id) WHERE w > 0 GROUP BY ALL),
+s_{name} AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY label, rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM c_{name}),
+b_{name} AS (SELECT rep, avg(auc) AS m FROM (SELECT label, rep, sum(pos * (neg_below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM s_{name} GROUP BY ALL) GROUP BY rep)"""
+
+
+@query(
+    "ens12_family_delta",
+    f"""WITH {RANKED}, {weights_sql(REPLICATES)}, {family_macro_sql('two', "'a', 'c'")}, {family_macro_sql('three', "'a', 'b', 'c'")}
+SELECT round(avg(three.m - two.m), 5) AS delta, round(stddev_pop(three.m - two.m), 5) AS sd, round(avg((three.m > two.m)::INTEGER), 5) AS p_better FROM b_three three JOIN b_two two USING (rep)""",
+)
+def ens12_families(spark, d):
+    """What a third family adds to the rank mean of two, by a paired bootstrap."""
+    r = ranked(scored(spark, d), ["arm", "label"], "p").select("doc_id", "label", "y", "arm", "pct_rank")
+    sets = F.explode(F.when(F.col("arm") == "b", F.array(F.lit("three"))).otherwise(F.array(F.lit("two"), F.lit("three"))))
+    p = r.withColumn("set", sets).groupBy("set", "doc_id", "label", "y").agg(F.round(F.avg("pct_rank"), 9).alias("p"))
+    m = macro(bootstrap(p, ["set", "label"], "doc_id", REPLICATES), ["set", "rep"]).groupBy("rep").pivot("set", ["two", "three"]).agg(F.first("macro_auc"))
+    delta = F.col("three") - F.col("two")
+    return m.agg(F.round(F.avg(delta), 5).alias("delta"), F.round(F.stddev_pop(delta), 5).alias("sd"), F.round(F.avg((delta > 0).cast("double")), 5).alias("p_better"))
+
+
+@query("ml2_stacker")
+def ml2(spark, d):
+    """Macro area of a label's own score, of the same after the first principal component of all labels' logits was shrunk, and of a stacker over all labels' scores, fitted outside each row's fold."""
+    own = scored(spark, d).filter("arm = 'c'").groupBy("doc_id").pivot("label", ["quality", "toxic"]).agg(F.first("p"))
+    more = scored(spark, d).filter("arm = 'b'").groupBy("doc_id").pivot("label", ["quality", "toxic"]).agg(F.first("p")).toDF("doc_id", "quality_b", "toxic_b")
+    labels = folded(spark, d).select("doc_id", F.col("quality").alias("y_quality"), F.col("toxic").alias("y_toxic"), "fold")
+    rows = written(own.join(more, "doc_id").join(labels, "doc_id"))
+    scores = ["quality", "toxic", "quality_b", "toxic_b"]
+    shrunk, share = shrink_first_component(rows, scores, 0.5)
+    stacked = stack(rows, scores, ["quality", "toxic"], "fold")
+    long = lambda df, how: df.select(F.lit(how).alias("method"), F.inline(F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"y_{n}").alias("y"), F.col(n).alias("p")) for n in ("quality", "toxic")])))
+    every = long(rows, "own").unionByName(long(shrunk, "shrunk")).unionByName(long(stacked, "stacked"))
+    return macro(auc(every, ["method", "label"], parts=64), ["method"]).select("method", r6("macro_auc").alias("macro_auc"), F.round(F.lit(share), 6).alias("first_share"))
+
+
 @query("ens13_tie_band", f"WITH {AUCS}, m AS (SELECT arm, avg(auc) AS m FROM aucs GROUP BY arm) SELECT x.arm AS arm_1, z.arm AS arm_2, CASE WHEN abs(x.m - z.m) <= 0.02 THEN 'tie' WHEN x.m > z.m THEN 'first' ELSE 'second' END AS verdict FROM m x JOIN m z ON x.arm < z.arm")
 def ens13(spark, d):
     m = macro(auc(scored(spark, d), ["arm", "label"]), ["arm"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import avg_rank, corr
 from ..operators import metadata as m
 from ..sources.publish import CheckFailed, publish, publish_default, read_current
-from ..sources.tables import read_csv, registry, require, shared_folder, table, to_wide, write_csv
+from ..sources.tables import matrix_rows, read_csv, registry, require, shared_folder, table, to_wide, write_csv
 from ..streaming.rebuild import current, rebuild_stream
 from .base import GOLD, RANKED, SCORED, documents, gold, query, scored
 from .metric_queries import r6
@@ -255,9 +255,8 @@ def src7(spark, d):
 
 @query("src8_matrix_import", "SELECT vec_id, list_extract(['x', 'y', 'z'], i)::VARCHAR AS label, embedding[i]::DOUBLE AS p FROM embeddings, (SELECT unnest([1, 2, 3]) AS i)")
 def src8(spark, d):
-    names = F.array(*map(F.lit, "xyz"))
-    cells = F.inline(F.arrays_zip(names.alias("label"), F.slice("embedding", 1, 3).alias("p")))
-    return table(spark, d, "embeddings").select("vec_id", cells).select("vec_id", "label", F.col("p").cast("double").alias("p"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.array(*map(F.lit, "xyz")).alias("names"), F.slice("embedding", 1, 3).alias("v"))
+    return matrix_rows(rows, ["vec_id"], F.col("names"), F.col("v"), list("xyz")).select("vec_id", "label", F.col("p").cast("double").alias("p"))
 
 
 @query("src9_wide_output", f"WITH {RANKED}, w AS (SELECT doc_id, max(avg_rank / n) FILTER (label = 'quality') AS quality, max(avg_rank / n) FILTER (label = 'toxic') AS toxic FROM ranked WHERE arm = 'c' GROUP BY doc_id) SELECT doc_id, round(coalesce(quality, 0.5), 8) AS quality, round(coalesce(toxic, 0.5), 8) AS toxic FROM documents LEFT JOIN w USING (doc_id)")

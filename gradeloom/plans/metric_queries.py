@@ -17,7 +17,7 @@ r6 = lambda c: F.round(c, 6)
 
 @query("met1_auc", f"WITH {AUCS} SELECT arm, label, n_pos, n_neg, round(auc, 6) AS auc FROM aucs")
 def met1(spark, d):
-    return auc(scored(spark, d), ["arm", "label"]).select("arm", "label", "n_pos", "n_neg", r6("auc").alias("auc"))
+    return auc(scored(spark, d), ["arm", "label"], parts=64).select("arm", "label", "n_pos", "n_neg", r6("auc").alias("auc"))
 
 
 @query(
@@ -265,6 +265,34 @@ def met19(spark, d):
     return m.filter("config <> 'full'").join(F.broadcast(base)).select("config", r6(F.col("macro_auc") - F.col("base")).alias("delta"), r6("moved").alias("moved"))
 
 
+@query(
+    "met19_most_affected",
+    f"""WITH {SCORED}, {WIDE}, conf AS (SELECT label, unnest(['no_a', 'no_b', 'no_c']) AS config, unnest([(b + c) / 2, (a + c) / 2, (a + b) / 2]) AS p, (a + b + c) / 3 AS base FROM wide),
+m AS (SELECT config, label, round(avg(abs(p - base)), 6) AS moved FROM conf GROUP BY ALL) SELECT config, row_number() OVER (PARTITION BY config ORDER BY moved DESC, label)::INTEGER AS place, label, moved FROM m QUALIFY place <= 3""",
+)
+def met19_labels(spark, d):
+    """The labels whose scores move most when an arm is left out, three an arm."""
+    a, b, c = (F.col(x) for x in "abc")
+    configs = F.array(*[F.struct(F.lit(n).alias("config"), p.alias("p")) for n, p in (("no_a", (b + c) / 2), ("no_b", (a + c) / 2), ("no_c", (a + b) / 2))])
+    rows = wide(spark, d).select("label", ((a + b + c) / 3).alias("base"), F.inline(configs))
+    moved = rows.groupBy("config", "label").agg(r6(F.avg(F.abs(F.col("p") - F.col("base")))).alias("moved"))
+    place = F.row_number().over(Window.partitionBy("config").orderBy(F.desc("moved"), "label"))  # a row a label
+    return moved.withColumn("place", place).filter("place <= 3").select("config", "place", "label", "moved")
+
+
+@query(
+    "met11_spearman_range",
+    f"""WITH {RANKED}, w AS (SELECT label, doc_id, max(avg_rank) FILTER (arm = 'a') AS a, max(avg_rank) FILTER (arm = 'b') AS b, max(avg_rank) FILTER (arm = 'c') AS c FROM ranked GROUP BY ALL),
+s AS (SELECT label, coalesce(corr(a, b), 0) AS ab, coalesce(corr(a, c), 0) AS ac, coalesce(corr(b, c), 0) AS bc FROM w GROUP BY label),
+l AS (SELECT unnest(['ab', 'ac', 'bc']) AS pair, unnest([ab, ac, bc]) AS r FROM s) SELECT pair, round(avg(r), 6) AS mean, round(min(r), 6) AS least, round(max(r), 6) AS most FROM l GROUP BY pair""",
+)
+def met11_range(spark, d):
+    """Rank correlation of each pair of arms over the labels: mean, least and most; 0 where an arm is constant."""
+    w = ranked(scored(spark, d), ["arm", "label"], "p").groupBy("label", "doc_id").pivot("arm", ["a", "b", "c"]).agg(F.first("avg_rank"))
+    s = w.groupBy("label").agg(*[F.coalesce(corr(x, y), F.lit(0.0)).alias(x + y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])
+    return s.unpivot(["label"], ["ab", "ac", "bc"], "pair", "r").groupBy("pair").agg(r6(F.avg("r")).alias("mean"), r6(F.min("r")).alias("least"), r6(F.max("r")).alias("most"))
+
+
 @query(
     "met21_error_budget",
     f"""WITH {SCORED}, e AS (SELECT arm, label, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn FROM scored GROUP BY ALL)
@@ -296,13 +324,15 @@ def met22(spark, d):
 @query(
     "met23_dice",
     f"""WITH {SCORED}, {WIDE}, q AS (SELECT floor(a * 4)::BIGINT AS x, floor(c * 4)::BIGINT AS z FROM wide), cls AS (SELECT * FROM range(4) t(cls))
-SELECT cls, round(2.0 * count(*) FILTER (x = cls AND z = cls) / nullif(count(*) FILTER (x = cls) + count(*) FILTER (z = cls), 0), 6) AS dice FROM q, cls GROUP BY cls""",
+SELECT cls, round(2.0 * count(*) FILTER (x = cls AND z = cls) / nullif(count(*) FILTER (x = cls) + count(*) FILTER (z = cls), 0), 6) AS dice, round(avg((x = z)::INTEGER), 6) AS exact FROM q, cls GROUP BY cls""",
 )
 def met23(spark, d):
+    """Overlap by class, and the share of rows on which both agree exactly."""
     q = wide(spark, d).select(F.floor(F.col("a") * 4).alias("x"), F.floor(F.col("c") * 4).alias("z"))
     rows = q.withColumn("cls", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     x, z = F.col("x") == F.col("cls"), F.col("z") == F.col("cls")
-    return rows.groupBy("cls").agg(r6(F.try_divide(2.0 * F.count_if(x & z), (F.count_if(x) + F.count_if(z)).cast("double"))).alias("dice"))
+    dice = F.try_divide(2.0 * F.count_if(x & z), (F.count_if(x) + F.count_if(z)).cast("double"))
+    return rows.groupBy("cls").agg(r6(dice).alias("dice"), r6(F.avg((F.col("x") == F.col("z")).cast("double"))).alias("exact"))
 
 
 @query("rank1_average_rank", f"WITH {RANKED} SELECT arm, label, doc_id, avg_rank::DOUBLE AS avg_rank FROM ranked")

@@ -322,10 +322,24 @@ def txt22(spark, d):
     return documents(spark, d).select("doc_id", t.sniff(F.col("text"), SCRIPTS, STOP).alias("guess"))
 
 
-@query("txt23_language_disagreement", f"WITH {SNIFF} SELECT lang, count(*) AS n, round(avg(CASE WHEN guess <> lang THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS off FROM sniffed GROUP BY lang")
+#: Languages of the sniffer that count as one.
+MERGE = {"es": "romance", "fr": "romance"}
+MERGE_SQL = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MERGE.items()) + f" ELSE {c} END"
+
+
+@query(
+    "txt23_language_disagreement",
+    f"""WITH {SNIFF}, c AS (SELECT sniffed.lang, {MERGE_SQL('guess')} AS guess, {MERGE_SQL('sniffed.lang')} AS told, greatest(c_en, c_fr, c_de, c_es) / nullif(c_en + c_fr + c_de + c_es, 0)::DOUBLE AS conf FROM sniffed JOIN s USING (doc_id))
+SELECT told, guess, count(*) AS n, count(*) FILTER (guess <> told) AS off, count(*) FILTER (coalesce(conf, 0) < 0.6) AS unsure, round(avg(coalesce(conf, 0)), 6) AS conf FROM c GROUP BY told, guess""",
+)
 def txt23(spark, d):
-    g = documents(spark, d).select("lang", t.sniff(F.col("text"), SCRIPTS, STOP).alias("guess"))
-    return g.groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg((F.col("guess") != F.col("lang")).cast("double"))).alias("off"))
+    """Told and sniffed languages, some of them merged, with how many guesses are off and how many have less than 0.60 of the stop words found."""
+    merge = lambda c: F.coalesce(*[F.when(c == k, v) for k, v in MERGE.items()], c)
+    counts = t.stop_word_counts(F.col("text"), STOP)
+    g = documents(spark, d).select(merge(F.col("lang")).alias("told"), merge(t.sniff(F.col("text"), SCRIPTS, STOP)).alias("guess"), counts.alias("c"))
+    conf = F.coalesce(F.try_divide(F.array_max("c"), F.aggregate("c", F.lit(0), lambda a, x: a + x).cast("double")), F.lit(0.0))
+    g = g.withColumn("conf", conf)
+    return g.groupBy("told", "guess").agg(F.count("*").alias("n"), F.count_if(F.col("guess") != F.col("told")).alias("off"), F.count_if(F.col("conf") < 0.6).alias("unsure"), r6(F.avg("conf")).alias("conf"))
 
 
 @query("txt24_silence_rate", f"WITH {FOUND} SELECT lang, label, round(avg(CASE WHEN state = 'absent' THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS silent FROM states GROUP BY ALL")
@@ -374,6 +388,20 @@ def txt30(spark, d):
     return cells.join(g, ["key", "lang"], "left_anti")
 
 
+#: Stems that a patch adds: some are new, some are there.
+PATCH = [("finding", "anat", "en", "bone"), ("finding", "anat", "en", "thor"), ("finding", "gen", "es", "dad"), ("cue", "minimal", "fr", "peu"), ("cue", "minimal", "fr", "un")]
+
+
+@query("txt30_glossary_patch", f"WITH g AS (SELECT * FROM (VALUES {', '.join(repr(r) for r in GLOSS_ROWS + PATCH)}) v(kind, key, lang, stem)) SELECT g.kind, g.key, g.lang, list_sort(list_distinct(list(g.stem))) AS stems, n FROM g JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang) GROUP BY g.kind, g.key, g.lang, n")
+def txt30_patch(spark, d):
+    """The glossary with a patch: each cell the sorted, unique union of both; with the number of documents that the cell speaks for."""
+    cells = lambda rows: spark.createDataFrame(rows, "kind string, key string, lang string, stem string").groupBy("kind", "key", "lang").agg(F.collect_set("stem").alias("stems"))
+    both = cells(GLOSS_ROWS).alias("g").join(cells(PATCH).withColumnRenamed("stems", "more"), ["kind", "key", "lang"], "full")
+    none = F.array().cast("array<string>")
+    union = F.array_sort(F.array_union(F.coalesce("stems", none), F.coalesce("more", none)))
+    return both.select("kind", "key", "lang", union.alias("stems")).join(documents(spark, d).groupBy("lang").agg(F.count("*").alias("n")), "lang")
+
+
 @query("txt31_preview", r"SELECT doc_id, substr(regexp_replace(trim(text), '\s+', ' ', 'g'), 1, 80) AS preview FROM documents")
 def txt31(spark, d):
     return documents(spark, d).select("doc_id", F.substring(F.regexp_replace(F.trim("text"), r"\s+", " "), 1, 80).alias("preview"))

@@ -74,6 +74,13 @@ def to_wide(df: DataFrame, ids: list[str], labels: list[str], name: str = "label
     return df.groupBy(*ids).pivot(name, labels).agg(F.first(value))
 
 
+def matrix_rows(df: DataFrame, ids: list[str], names: Column, values: Column, expected: list[str]) -> DataFrame:
+    """ids, label, p: a row a cell of a matrix that has its labels in every row. Labels that differ from the expected ones, or stand in another order, raise an error, as do rows of another length."""
+    fine = (names == F.array(*map(F.lit, expected))) & (F.size(values) == len(expected))
+    checked = F.when(fine, F.arrays_zip(names.alias("label"), values.alias("p"))).otherwise(F.raise_error(F.concat(F.lit("labels are "), F.coalesce(F.array_join(names, ", "), F.lit("null")))))
+    return df.select(*ids, F.inline(checked)).toDF(*ids, "label", "p")
+
+
 def registry(sources: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     """All sources that have the columns, one below the other, with their name in ``source``."""
     out = None

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.functions.resampling import Cell, bin_of, bootstrap, cut_points, replicate_aucs, replicate_weight, weights, with_bins
+from gradeloom.functions.bins import bin_of, cut_points, with_bins
+from gradeloom.functions.metrics import auc
+from gradeloom.functions.resampling import Cell, bootstrap, replicate_aucs, replicate_weight, weights
 from gradeloom.operators.selection import GRID, choose, drawn, optimism, score_chosen, selection_trials
 
 
@@ -117,3 +119,11 @@ def test_drawn_takes_few_more_than_needed(spark):
     assert d.groupby("trial").size().tolist() == [50] * 3 and d["doc_id"].nunique() > 120
     assert drawn(df.limit(4), "doc_id", 2, 50).count() == 8
     assert choose("doc_id", GRID, 0).__name__ == "run"
+
+
+def test_areas_of_crowded_scores_are_the_same_by_any_bins(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(k, int(rnd.random() < 0.3), float(p)) for k in ("u", "v") for p in np.round(rnd.random(400) ** 30, 9)]
+    df = spark.createDataFrame(rows, "k string, y int, p double")
+    a, b = ({r["k"]: r["auc"] for r in auc(df, ["k"], **grid).collect()} for grid in ({}, {"parts": 16}))
+    assert a == b and a["u"] == pytest.approx(area(np.array([r[2] for r in rows if r[0] == "u"]), np.array([r[1] for r in rows if r[0] == "u"])))
