@@ -1,3 +1,4 @@
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -45,3 +46,11 @@ def test_highest_state_first_clause(spark):
     df = spark.createDataFrame([(1, 0, "neg", "n"), (1, 1, "pos", "first"), (1, 2, "pos", "second"), (2, 0, "weak", "w" * 300)], "id int, pos int, state string, clause string")
     got = {r["id"]: (r["state"], r["evidence"]) for r in t.fold_states(df, ["id"]).collect()}
     assert got == {1: ("pos", "first"), 2: ("weak", "w" * 220)}
+
+
+def test_spans_and_distance_take_time_in_proportion_to_a_long_clause(spark):
+    df = spark.createDataFrame([("the and ing ion " * 4_000,)], "c string")
+    s = lambda *stems: t.spans(F.col("c"), list(stems))
+    began = time.time()
+    got = df.select(F.size(s("and", "an", "ion")).alias("n"), t.distance(s("the"), s("ing")).alias("gap"), F.size(t.greedy(s("and", "an"))).alias("kept")).first()
+    assert tuple(got) == (12_000, 5, 4_000) and time.time() - began < 60
