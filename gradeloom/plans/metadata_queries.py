@@ -197,8 +197,14 @@ def win10(spark, d):
 ORDERS = "r AS (SELECT l_orderkey, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_orderkey, l_quantity) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + (count(*) OVER (PARTITION BY l_orderkey, l_linenumber) - 1) / 2.0::DOUBLE AS b FROM lineitem), c AS (SELECT l_orderkey, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY 1)"
 
 
+#: Lines of a task: windows sort all rows of a task in memory, once for each order.
+LINES_A_TASK = 500_000
+
+
 def order_signs(spark, d):
     l = table(spark, d, "lineitem", "l_orderkey", "l_quantity", "l_linenumber")  # noqa: E741
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + l.count() // LINES_A_TASK)
+    l = l.repartition(tasks, "l_orderkey")  # noqa: E741
     r = l.select("l_orderkey", avg_rank("l_quantity", "l_orderkey").alias("a"), avg_rank("l_linenumber", "l_orderkey").alias("b"))
     c = r.groupBy("l_orderkey").agg(F.count("*").alias("n"), corr("a", "b").alias("rho"))
     return c.withColumn("sign", F.when(F.col("rho").isNull() | F.isnan("rho") | (F.abs("rho") < 1e-9), 0).otherwise(F.signum("rho").cast("int")))
