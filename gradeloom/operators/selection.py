@@ -27,15 +27,36 @@ def blend(w, r1: str = "r1", r2: str = "r2") -> Column:
     return F.round((1 - w) * F.col(r1) + w * F.col(r2), 9)
 
 
-def standing(rows: DataFrame, id_col: str, wanted: DataFrame, grid=GRID) -> DataFrame:
-    """id, label, y, and in the grid's order the arrays p (blended scores), won and area (of the label, over all rows), with n_pos and n_neg, for the rows whose id is in wanted."""
-    mixed = rows.select(id_col, "label", "y", F.posexplode(F.array(*[F.struct(F.lit(w).alias("w"), blend(F.lit(w)).alias("p")) for w in grid])).alias("_g", "x")).select(id_col, "label", "y", "_g", "x.p")
-    steps = below(mixed, ["label", "_g"], "p", {"pos": F.col("y"), "neg": 1 - F.col("y")})
-    whole = steps.groupBy("label", "_g").agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    won = F.when(F.col("y") == 1, F.col("neg_below") + F.col("neg") / 2).otherwise(F.col("n_pos") - F.col("pos_below") - F.col("pos") / 2)
-    some = mixed.join(wanted.select(id_col).distinct(), id_col, "left_semi").join(steps, ["label", "_g", "p"]).join(whole, ["label", "_g"])
-    one = some.groupBy(id_col, "label", "y").agg(F.array_sort(F.collect_list(F.struct("_g", "p", won.alias("won"), "area"))).alias("a"), F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"))
-    return one.select(id_col, "label", "y", "n_pos", "n_neg", *[F.col(f"a.{c}").alias(c) for c in ("p", "won", "area")])
+#: Parts of [0, 1] by which scores are dealt to tasks.
+BINS = 256
+
+
+def placed_in_order(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows (with y and p) with won, and by keys their area, n_pos and n_neg. Rows are shuffled once, by keys and a part of the scores, and keep their columns on the way: nothing is joined back to them but the small table of what stands in lower parts."""
+    dealt = rows.withColumn("_bin", F.least(F.greatest(F.floor(F.col("p") * BINS), F.lit(-1)), F.lit(BINS)).cast("int"))
+    sums = {"pos": F.col("y"), "neg": 1 - F.col("y")}
+    lower = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    whole_of = Window.partitionBy(*keys)
+    bases = written(bases.select(*keys, "_bin", *[F.coalesce(F.sum(n).over(lower), F.lit(0)).alias(f"_{n}") for n in sums], F.sum("pos").over(whole_of).alias("n_pos"), F.sum("neg").over(whole_of).alias("n_neg")))
+    upto, same = Window.partitionBy(*keys, "_bin").orderBy("p"), Window.partitionBy(*keys, "_bin", "p")
+    there = dealt.withColumns({f"_{n}_{how}": F.sum(c).over(w) for n, c in sums.items() for how, w in (("upto", upto), ("same", same))})
+    joined = there.join(bases.hint("shuffle_hash"), [*keys, "_bin"])
+    half = lambda n: F.col(f"_{n}") + F.col(f"_{n}_upto") - F.col(f"_{n}_same") / 2
+    won = F.when(F.col("y") == 1, half("neg")).otherwise(F.col("n_pos") - half("pos"))
+    out = written(joined.select(*rows.columns, won.alias("won"), "n_pos", "n_neg"))
+    whole = out.groupBy(*keys).agg(F.sum(F.when(F.col("y") == 1, F.col("won")).otherwise(0.0)).alias("area"), F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"))
+    return out.drop("n_pos", "n_neg"), written(whole)
+
+
+def standing(rows: DataFrame, id_col: str, grid=GRID) -> DataFrame:
+    """id, label, y, and in the grid's order the arrays p (blended scores), won and area (of the label, over all rows), with n_pos and n_neg."""
+    mixed = rows.withColumns({"_w": F.array(*map(F.lit, grid))}).select(id_col, "label", "y", "r1", "r2", F.posexplode("_w").alias("_g", "_w")).select(id_col, "label", "y", "_g", blend(F.col("_w")).alias("p"))
+    out, whole = placed_in_order(mixed, ["label", "_g"])
+    area = whole.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("_g", "area"))).alias("w"), F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"))
+    one = out.groupBy(id_col, "label", "y").agg(F.array_sort(F.collect_list(F.struct("_g", "p", "won"))).alias("a"))
+    one = one.join(F.broadcast(area), "label")  # a row a label
+    return one.select(id_col, "label", "y", "n_pos", "n_neg", F.col("a.p").alias("p"), F.col("a.won").alias("won"), F.col("w.area").alias("area"))
 
 
 def drawn(rows: DataFrame, id_col: str, trials: int, most: int) -> DataFrame:
@@ -43,10 +64,19 @@ def drawn(rows: DataFrame, id_col: str, trials: int, most: int) -> DataFrame:
     ids = rows.select(id_col).distinct()
     n = ids.count()
     level = min(1.0, (most + 10 * most**0.5 + 20) / max(n, 1))
-    u = lambda t: uniform(F.pmod(F.col(id_col).cast("long"), F.lit(2147483647)), t + TRIALS)
-    ids = ids.withColumn("trial", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: u(t) <= level)))
-    order = Window.partitionBy("trial").orderBy(u(F.col("trial")), id_col)
-    return ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            ids = part[id_col].to_numpy()
+            for lo in range(0, len(ids), 2000):
+                u = uniform((ids[lo : lo + 2000].astype(np.int64) % 2147483647)[:, None], (np.arange(trials, dtype=np.int64) + TRIALS)[None, :])
+                row, trial = np.nonzero(u <= level)
+                yield pd.DataFrame({id_col: ids[lo : lo + 2000][row], "trial": trial.astype(np.int32), "_u": u[row, trial]})
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    found = ids.repartition(max(8, n // 20_000), id_col).mapInPandas(draw, f"`{id_col}` {kind}, trial int, _u double")
+    order = Window.partitionBy("trial").orderBy("_u", id_col)
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("_u")
 
 
 def areas(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +128,7 @@ def selection_trials(rows: DataFrame, id_col: str, *, sizes=(58, 150, 400, 1000,
     sizes = [s for s in sizes if s < n] or [0]
     sets = drawn(rows, id_col, trials, max(sizes))
     sets = sets.select("trial", id_col, F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda s: F.col("place") <= s)).alias("size"))
-    picked = standing(rows, id_col, sets, grid).join(sets, id_col)
+    picked = standing(rows, id_col, grid).join(sets.hint("merge"), id_col)
     schema = "size int, trial int, label string, w double, w_bagged double, here double, here_0 double, there double, there_0 double"
     return picked.groupBy("size", "trial").applyInPandas(choose(id_col, grid, bags), schema), sets
 
@@ -119,13 +149,11 @@ def score_chosen(rows: DataFrame, id_col: str, chosen: DataFrame, sets: DataFram
     """chosen's size, trial, label with here, here_0, there, there_0 for the weights of column ``weight``, which need not be on the grid: the table is put in order once for each different weight of a label."""
     chosen = chosen.select("size", "trial", "label", F.col(weight).alias("w"), F.col("here_0").isNotNull().alias("fine"))
     zero = chosen.select("label", F.lit(0.0).alias("w"))
-    mixed = rows.join(chosen.select("label", "w").unionByName(zero).distinct(), "label").select(id_col, "label", "y", "w", blend(F.col("w")).alias("p"))
-    steps = below(mixed, ["label", "w"], "p", {"pos": F.col("y"), "neg": 1 - F.col("y")})
-    whole = steps.groupBy("label", "w").agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    won = F.when(F.col("y") == 1, F.col("neg_below") + F.col("neg") / 2).otherwise(F.col("all_pos") - F.col("pos_below") - F.col("pos") / 2)
-    placed = mixed.join(steps, ["label", "w", "p"]).join(whole, ["label", "w"]).select(id_col, "label", "w", "p", "y", won.alias("won"), "area", "all_pos", "all_neg")
+    mixed = rows.join(F.broadcast(chosen.select("label", "w").unionByName(zero).distinct()), "label").select(id_col, "label", "y", "w", blend(F.col("w")).alias("p"))  # a row a weight
+    placed, whole = placed_in_order(mixed, ["label", "w"])
+    placed = placed.join(F.broadcast(whole.select("label", "w", "area", F.col("n_pos").alias("all_pos"), F.col("n_neg").alias("all_neg"))), ["label", "w"])
     wanted = chosen.select("size", "trial", "label", "fine", F.explode(F.array(F.struct(F.lit("").alias("at"), "w"), F.struct(F.lit("_0").alias("at"), F.lit(0.0).alias("w")))).alias("x")).select("size", "trial", "label", "fine", "x.at", "x.w")
-    drawn_rows = sets.join(wanted, ["size", "trial"]).join(placed, [id_col, "label", "w"])
+    drawn_rows = written(sets.join(wanted, ["size", "trial"]).hint("merge").join(placed, [id_col, "label", "w"]))
     keys = ["size", "trial", "label", "at"]
     inner = below(drawn_rows, keys, "p", {"pos": F.col("y"), "neg": 1 - F.col("y")})
     inner = inner.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("pairs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

@@ -127,3 +127,24 @@ def test_areas_of_crowded_scores_are_the_same_by_any_bins(spark):
     df = spark.createDataFrame(rows, "k string, y int, p double")
     a, b = ({r["k"]: r["auc"] for r in auc(df, ["k"], **grid).collect()} for grid in ({}, {"parts": 16}))
     assert a == b and a["u"] == pytest.approx(area(np.array([r[2] for r in rows if r[0] == "u"]), np.array([r[1] for r in rows if r[0] == "u"])))
+
+
+def test_drawn_sets_equal_the_formula(spark):
+    from gradeloom.functions.resampling import uniform
+    from gradeloom.operators.selection import TRIALS, drawn
+
+    rows = spark.range(300).withColumnRenamed("id", "doc_id")
+    got = {(r["trial"], r["place"]): r["doc_id"] for r in drawn(rows, "doc_id", 3, 20).collect()}
+    want = {(t, i + 1): d for t in range(3) for i, d in enumerate(sorted(range(300), key=lambda d: (uniform(d, t + TRIALS), d))[:20])}
+    assert got == want
+
+
+def test_rows_in_order_join_nothing_back_by_score(spark):
+    from gradeloom.operators.selection import placed_in_order
+
+    rows = spark.createDataFrame([(i, "x", i % 2, round(i % 7 / 7, 9)) for i in range(60)], "id long, k string, y int, p double")
+    out, whole = placed_in_order(rows, ["k"])
+    all_rows = rows.collect()
+    win = lambda r: sum((x["p"] < r["p"]) + (x["p"] == r["p"]) / 2 if r["y"] else (x["p"] > r["p"]) + (x["p"] == r["p"]) / 2 for x in all_rows if x["y"] != r["y"])
+    assert {r["id"]: r["won"] for r in out.collect()} == {r["id"]: win(r) for r in all_rows}
+    assert whole.first()["area"] == sum(win(r) for r in all_rows if r["y"])
