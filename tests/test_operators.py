@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,12 @@ def test_spans_of_stems(spark):
     df = frame(spark, [("anand ion an", ), ("", ), ("aaa.", ), ("ionion", )], "t string")
     got = [[tuple(x) for x in r[0]] for r in df.select(spans(F.col("t"), ["an", "ion", "aa", "."])).collect()]
     assert got == [[(1, 3), (3, 5), (7, 10), (11, 13)], [], [(1, 3), (2, 4), (4, 5)], [(1, 4), (4, 7)]]
+
+
+def test_trigrams_of_a_long_text_come_from_one_search(spark):
+    from gradeloom.operators.glossary import grams
+
+    df = spark.createDataFrame([("é𝒳ab" * 150_000,), ("ab",), ("",), ("a\nb",)], "c string")
+    began = time.time()
+    got = [sorted(r["g"]) for r in df.select(grams(F.col("c"), 3).alias("g")).collect()]
+    assert got == [sorted(["é𝒳a", "𝒳ab", "abé", "bé𝒳"]), [], [], ["a\nb"]] and time.time() - began < 60
