@@ -293,7 +293,7 @@ hr AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY p) + (count(*) OVER (P
 SELECT label, round((sum(y * ar) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0)::DOUBLE, 6) AS auc FROM hr GROUP BY label""",
 )
 def ens5(spark, d):
-    rows = families(spark, d)
+    rows = written(families(spark, d))
     picked = pick_weights(rows.filter("doc_id % 2 = 0")).select("label", "w")
     held = rows.filter("doc_id % 2 = 1").withColumns({"r1": F.round("r1", 12), "r2": F.round("r2", 12)})
     held = ranked(held, ["label"], "r1").drop("avg_rank", "r1").withColumnRenamed("pct_rank", "q1")
@@ -462,7 +462,7 @@ SELECT scheme, fold, max(n) AS n, round(avg(auc), 6) AS macro_auc FROM ha GROUP
 def ens8(spark, d):
     """Nested selection: for each site held out, weights picked on the other sites, or on a random scheme's other parts without that site's documents; both scored on the site. Fold -1: fixed weights on all."""
     site = F.substring("source", 4, 9).cast("long") % 5
-    rows = families(spark, d).join(table(spark, d, "documents", "doc_id", "source"), "doc_id").withColumns({"site": site.cast("int"), "part": F.floor(uniform(F.col("doc_id"), F.lit(77)) * 5).cast("int")})
+    rows = written(families(spark, d).join(table(spark, d, "documents", "doc_id", "source"), "doc_id").withColumns({"site": site.cast("int"), "part": F.floor(uniform(F.col("doc_id"), F.lit(77)) * 5).cast("int")}))
     dev = rows.withColumn("fold", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(4)), F.array("site"))))
     dev = dev.withColumn("scheme", F.explode(F.when(F.col("part") != F.col("fold"), F.array(F.lit("site"), F.lit("random"))).otherwise(F.array(F.lit("site")))))
     picked = pick_weights(dev, ("scheme", "fold", "label")).select("scheme", "fold", "label", F.when(F.col("auc").isNotNull(), F.col("w")).otherwise(0.0).alias("w"))
