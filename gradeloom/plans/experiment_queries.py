@@ -11,7 +11,7 @@ from ..functions.resampling import bootstrap, uniform, uniform_sql
 from ..operators.baseline import out_of_fold
 from ..operators.folds import assign_folds, fold_report
 from ..operators.stacking import shrink_first_component, stack
-from ..operators.selection import TRIALS, optimism, score_chosen, selection_trials
+from ..operators.selection import TRIALS, choices, optimism, score_chosen, selection_trials
 from ..sources.tables import table, written
 from .base import AUCS, GOLD, RANKED, SCORED, gold, query, scored
 from .metric_queries import HANLEY, REPLICATES, boot_sql, loo_logloss, r6, weights_sql
@@ -337,8 +337,8 @@ def ens7(spark, d):
 def ens7_bagged(spark, d):
     """The same with the mean of the weights of 25 resamples of each drawn set."""
     rows = written(families(spark, d))
-    chosen, sets = selection_trials(rows, "doc_id", bags=25)
-    return optimism(score_chosen(rows, "doc_id", written(chosen), written(sets), "w_bagged"))
+    chosen, sets = choices(rows, "doc_id", bags=25)
+    return optimism(score_chosen(rows, "doc_id", chosen, sets, "w_bagged"))
 
 
 @query("ens9_pooling_rules", f"WITH {SCORED}, w AS (SELECT doc_id, label, max(p) FILTER (arm = 'a') AS a, max(p) FILTER (arm = 'b') AS b FROM scored GROUP BY ALL) SELECT doc_id, label, round(CASE label WHEN 'quality' THEN greatest(a, b) ELSE (a + b) / 2 END, 9) AS p FROM w")

@@ -1,6 +1,7 @@
 """Vector bootstrap and selection experiments against plain numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,26 @@ def test_rows_in_order_join_nothing_back_by_score(spark):
     win = lambda r: sum((x["p"] < r["p"]) + (x["p"] == r["p"]) / 2 if r["y"] else (x["p"] > r["p"]) + (x["p"] == r["p"]) / 2 for x in all_rows if x["y"] != r["y"])
     assert {r["id"]: r["won"] for r in out.collect()} == {r["id"]: win(r) for r in all_rows}
     assert whole.first()["area"] == sum(win(r) for r in all_rows if r["y"])
+
+
+def test_packed_orders_count_wins_at_any_weight(spark):
+    """Rows at a weight are packed numbers of 4 bytes, not rows of a table; parts and scores outside of [0, 1] change no count."""
+    from gradeloom.operators.selection import pack_rows, packed, score_keys, settle, unpacked
+
+    rnd = np.random.default_rng(3)
+    y, r1, r2 = (rnd.random(300) < 0.4).astype(int), np.round(rnd.random(300), 1), np.round(rnd.random(300) * 1.4 - 0.2, 1)
+    at = np.array([0.0, 0.124, 1.0])
+    cells = pd.concat(pack_rows({"u": at}, {"u": 3})(iter([pd.DataFrame({"label": "u", "y": y, "r1": r1, "r2": r2})])))
+    assert all(len(d) == 1 + (4 if d[0] == 4 else 8) * len(unpacked([d])) for d in cells["data"]) and set(cells.query("g == 0")["data"].map(lambda d: d[0])) == {4}
+    for g, w in enumerate(at):
+        k, own, base, got = score_keys(r1, r2, w), np.arange(300) % 10 == 0, 0, 0.0
+        asked = {b: d for b, d in packed(k[own], y[own], 3)}
+        won = np.array([(((k < k[i]) if y[i] else (k > k[i])) + (k == k[i]) / 2)[y != y[i]].sum() for i in np.flatnonzero(own)])
+        pos_below = neg_below = 0
+        for b, part in sorted(cells[cells["g"] == g].groupby("part")):
+            rows = pd.concat([part.assign(size=None, trial=None), pd.DataFrame([("u", g, b, asked[b], 7, 1)], columns=["label", "g", "part", "data", "size", "trial"])] if b in asked else [part.assign(size=None, trial=None)])
+            whole, *sets = settle(rows).itertuples(index=False)
+            base += whole.won + whole.pos * neg_below
+            got += sum(s.won + s.pos * neg_below + s.neg * (y.sum() - pos_below) for s in sets)
+            pos_below, neg_below = pos_below + whole.pos, neg_below + whole.neg
+        assert got == won.sum() and abs(base / (y.sum() * (1 - y).sum()) - area(k, y)) < 1e-12
