@@ -8,10 +8,10 @@ the one before it (a start mark stands before each text). For each class c the p
 
 where n_c counts texts, n_c(e) is the sum over what follows e, kinds_c(e) the number of different things that follow it, and P(x | e) is the share by both
 classes' counts, to which both classes back off. A step is the log of P_1 / P_0. An expression's log ratio is the sum of the steps to it;
-one that no counted text holds is judged by the longest beginning that is known, and a pair that no text of class 1 holds by its word alone.
+one that no counted text holds is judged by the longest beginning that is known, and such a pair by its word alone.
 
 The steps are rows (key, step). Words' and letters' steps come from joins and groupings; pairs are counted in packed blocks, which need half the
-shuffle. A text is scored with the table at hand if it has at most a given number of rows, which are then broadcast; a larger table is joined
+shuffle, and all of them get their steps there. Steps are kept by slices of their keys. A text is scored with the table at hand if it has at most a given number of rows, which are then broadcast; a larger table is joined
 with the keys that each chunk of texts asks for. Both give the same scores.
 """
 
@@ -227,18 +227,70 @@ def count_pairs(blocks: int):
 
 
 def merge_pairs(part: pd.DataFrame) -> pd.DataFrame:
-    """Of a block: key and counts of the pairs that class 1 holds, and each word's sums and kinds (key null)."""
+    """Of a block: a row with all its pairs, packed, and one for each word with its sums and kinds."""
     w, h, n = summed(*(np.concatenate(x) for x in zip(*map(pairs_of, part["data"]), strict=True)))
-    some = n[:, 1] > 0
-    pairs = pd.DataFrame({"word": w[some], "key": pair_keys(h[some], w[some]), "n0": n[some, 0], "n1": n[some, 1], "k0": 0, "k1": 0}).astype({"key": "Int64"})
+    block = int(part["block"].iloc[0])
     words, first = np.unique(w, return_index=True)
     total = np.add.reduceat(np.concatenate([n, n > 0], 1), first) if len(first) else np.zeros((0, 4), np.int64)
-    sums = pd.DataFrame({"word": words, "key": pd.array([pd.NA] * len(words), "Int64"), "n0": total[:, 0], "n1": total[:, 1], "k0": total[:, 2], "k1": total[:, 3]})
-    return pd.concat([pairs, sums])
+    sums = pd.DataFrame({"block": block, "word": words, "data": None, **{c: total[:, i] for i, c in enumerate(("t0", "t1", "k0", "k1"))}})
+    return pd.concat([pd.DataFrame([(block, 0, packed_pairs(w, h, n), 0, 0, 0, 0)], columns=sums.columns), sums])
+
+
+def packed_steps(keys: np.ndarray, steps: np.ndarray, slices: int) -> pd.DataFrame:
+    """slice, data: steps other than 0 by the first bits of their keys, in order."""
+    keys, first = np.unique(keys[steps != 0], return_index=True)
+    steps = steps[steps != 0][first]
+    part = keys >> np.int64(64 - slices.bit_length())
+    ends = np.searchsorted(part, np.arange(slices + 1))
+    return pd.DataFrame([(i, slice_bytes(keys[lo:hi], steps[lo:hi])) for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if hi > lo], columns=["slice", "data"])
+
+
+#: Places of the bytes of a key's distance from the one before it that do not compress.
+RAW = 5
+
+
+def slice_bytes(keys: np.ndarray, steps: np.ndarray) -> bytes:
+    """Ascending keys and their steps in some 6 bytes each: distances and steps byte place after byte place, the high ones compressed."""
+    gaps, low = planes(np.diff(keys, prepend=np.int64(0))), steps.astype("<i2").view(np.uint8).reshape(-1, 2).T
+    return len(keys).to_bytes(8, "little") + gaps[:RAW].tobytes() + zlib.compress(gaps[RAW:].tobytes() + low.tobytes(), 1)
+
+
+def steps_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    raw, rest = np.frombuffer(data, np.uint8, RAW * n, 8), np.frombuffer(zlib.decompress(data[8 + RAW * n :]), np.uint8)
+    keys = np.cumsum(from_planes(np.concatenate((raw, rest[: (8 - RAW) * n]))))
+    return keys, np.ascontiguousarray(rest[(8 - RAW) * n :].reshape(2, -1).T).view("<i2").ravel()
+
+
+class Slice:
+    """A slice of steps for a broadcast: travels packed, and is unpacked where it arrives."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return steps_of, (self.data,)
+
+
+def pair_steps(slices: int):
+    """cogroup function over a block's packed pairs and its words' sums in all blocks: the pairs' steps."""
+
+    def run(pairs: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        w, h, n = pairs_of(pairs["data"].iloc[0])
+        totals = totals.sort_values("word")
+        at = np.searchsorted(totals["word"].to_numpy(), w)
+        t, k = (totals[[f"{c}0", f"{c}1"]].to_numpy(np.float64) for c in "tk")
+        share = n.sum(1) / t.sum(1)[at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = [np.where(t[at, y] > 0, (np.maximum(n[:, y] - DISCOUNT, 0) + DISCOUNT * k[at, y] * share) / t[at, y], share) for y in (0, 1)]
+            x = np.clip(np.log(p[1] / p[0]), -100, 100) * SCALE
+        return packed_steps(pair_keys(h, w), (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int16), slices)
+
+    return run
 
 
 def train_words(rows: DataFrame) -> tuple[DataFrame, int, dict]:
-    """From raw and y (0 or 1): the steps (key, step), their number, and for (0, class) the numbers of different words, beginnings and pairs."""
+    """From raw and y (0 or 1): the steps by slices of their keys (slice, n, data), their number, and for (0, class) the numbers of different words, beginnings and pairs."""
     size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     blocks = max(16, 1 << int(np.ceil(np.log2(max(1, size / BLOCK)))))
     words = rows.mapInPandas(count_words, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -249,33 +301,61 @@ def train_words(rows: DataFrame) -> tuple[DataFrame, int, dict]:
     parents = nodes.groupBy("parent").agg(*sums, F.count_if(c("n0") > 0).alias("k0"), F.count_if(c("n1") > 0).alias("k1"))
     steps = nodes.join(parents, "parent").select("key", step_of(of_class("n0", "n1"), of_class("t0", "t1"), of_class("k0", "k1")).alias("step"))
 
-    counted = rows.mapInPandas(count_pairs(blocks), "block int, data binary").groupBy("block").applyInPandas(merge_pairs, "word long, key long, n0 long, n1 long, k0 long, k1 long")
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in gathered(parts):
+            yield packed_steps(held["key"].to_numpy(np.int64), held["step"].to_numpy(np.int16), blocks)
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        keys, values = (np.concatenate(x) for x in zip(*map(steps_of, part["data"]), strict=True))
+        return packed_steps(keys, values, blocks).assign(n=lambda x: [int.from_bytes(d[:8], "little") for d in x["data"]])
+
+    counted = rows.mapInPandas(count_pairs(blocks), "block int, data binary").groupBy("block").applyInPandas(merge_pairs, "block int, word long, data binary, t0 long, t1 long, k0 long, k1 long")
     counted = materialize(counted)
-    totals = counted.filter("key is null").groupBy("word").agg(*sums, F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
-    pairs = counted.filter("key is not null").select("word", "key", "n0", "n1").join(totals, "word")
-    steps = steps.unionByName(pairs.select("key", step_of(of_class("n0", "n1"), of_class("t0", "t1"), of_class("k0", "k1")).alias("step")))
-    model = materialize(steps.filter("step <> 0"), narrow=True)
+    mine = counted.filter("data is null")
+    totals = mine.groupBy("word").agg(*[F.sum(n).alias(n) for n in ("t0", "t1", "k0", "k1")])
+    totals = mine.select("block", "word").join(totals, "word") if blocks > BY_WORD else mine.drop("data")
+    pairs = counted.filter("data is not null").select("block", "data").groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(pair_steps(blocks), "slice int, data binary")
+    every = steps.mapInPandas(pack, "slice int, data binary").unionByName(pairs)
+    model = materialize(every.groupBy("slice").applyInPandas(merge, "slice int, data binary, n long"))
     n = nodes.agg(F.count_if(c("n0") > 0).alias("b0"), F.count_if(c("n1") > 0).alias("b1")).first()
-    p = totals.agg(F.count_if(c("t0") > 0).alias("w0"), F.count_if(c("t1") > 0).alias("w1"), F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).first()
-    return model, model.count(), {(0, y): (p[f"w{y}"], n[f"b{y}"], p[f"k{y}"] or 0) for y in (0, 1)}
+    p = mine.groupBy("word").agg(*[F.sum(n).alias(n) for n in ("t0", "t1", "k0", "k1")])
+    p = p.agg(F.count_if(c("t0") > 0).alias("w0"), F.count_if(c("t1") > 0).alias("w1"), F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).first()
+    return model, model.agg(F.sum("n")).first()[0] or 0, {(0, y): (p[f"w{y}"], n[f"b{y}"], p[f"k{y}"] or 0) for y in (0, 1)}
+
+
+def gathered(parts: Iterator[pd.DataFrame], rows: int = 500_000) -> Iterator[pd.DataFrame]:
+    """Batches put together to about so many rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
 
 
 # scoring
 
 
 class Steps:
-    """A table of steps by key."""
+    """A table of steps by key, in slices: each has ascending keys, below those of the next one."""
 
-    def __init__(self, keys: np.ndarray, steps: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.steps, self.known = keys[order], steps[order], {}
+    def __init__(self, slices: list[tuple[np.ndarray, np.ndarray]]):
+        self.slices, self.known = [x for x in slices if len(x[0])], {}
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The steps of ascending keys; 0 for those that are not there."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.steps[at], 0).astype(np.float32) / SCALE
+        out = np.zeros(len(keys), np.float32)
+        if not self.slices:
+            return out
+        ends = np.searchsorted(keys, [s[0][0] for s in self.slices])
+        for (own, steps), lo, hi in zip(self.slices, ends, [*ends[1:], len(keys)], strict=True):
+            if hi > lo:
+                at = np.minimum(np.searchsorted(own, keys[lo:hi]), len(own) - 1)
+                out[lo:hi] = np.where(own[at] == keys[lo:hi], steps[at], 0) / np.float32(SCALE)
+        return out
 
     def of_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and log ratios of different words; a bounded number of them is kept for the next batch."""
@@ -294,6 +374,10 @@ class Steps:
         return np.array([x for x, _ in got], np.int64), np.array([x for _, x in got], np.float32)
 
 
+#: One table a Python worker, put in order once and kept from task to task.
+STEPS: dict[int, Steps] = {}
+
+
 def keys_of(raws: list[bytes]) -> np.ndarray:
     """All keys that scoring the texts will ask for."""
     out = [np.zeros(0, np.int64)]
@@ -358,14 +442,17 @@ def with_words(rows: DataFrame, words: tuple[DataFrame, int, dict], run, schema:
     model, n, _ = words
     spark = rows.sparkSession
     if n <= broadcast_rows:
-        got = model.toArrow()
-        table = spark.sparkContext.broadcast((got["key"].to_numpy(), got["step"].to_numpy()))
-        del got
+        tables = []
+        for r in model.select("slice").orderBy("slice").collect():  # the driver holds a slice at a time
+            tables += [spark.sparkContext.broadcast(Slice(d)) for d in model.filter(F.col("slice") == r["slice"]).select("data").toArrow()["data"].to_pylist()]
+        number = tables[0]._jbroadcast.id() if tables else -1
 
         def score_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            steps = Steps(*table.value)
+            if number not in STEPS:
+                STEPS.clear()
+                STEPS[number] = Steps([t.value for t in tables])
             for part in parts:
-                yield run(part, evidence(part["_raw"].tolist(), steps))
+                yield run(part, evidence(part["_raw"].tolist(), STEPS[number]))
 
         return rows.mapInPandas(score_all, schema)
 
@@ -378,9 +465,15 @@ def with_words(rows: DataFrame, words: tuple[DataFrame, int, dict], run, schema:
         return pd.DataFrame({"_chunk": np.full(len(keys), part["_chunk"].iloc[0], np.int32), "key": keys})
 
     asked = parted.groupBy("_chunk").applyInPandas(ask, "_chunk int, key long")
-    answers = asked.join(model, "key").select(F.col("_chunk").alias("chunk"), "key", "step")
+    def rows_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for keys, steps in map(steps_of, part["data"]):
+                for lo in range(0, len(keys), MANY):
+                    yield pd.DataFrame({"key": keys[lo : lo + MANY], "step": steps[lo : lo + MANY]})
+
+    answers = asked.join(model.select("data").mapInPandas(rows_of, "key long, step short"), "key").select(F.col("_chunk").alias("chunk"), "key", "step")
 
     def score(part: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        return run(part.drop(columns="_chunk"), evidence(part["_raw"].tolist(), Steps(got["key"].to_numpy(np.int64), got["step"].to_numpy(np.int16))))
+        return run(part.drop(columns="_chunk"), evidence(part["_raw"].tolist(), Steps([tuple(got.sort_values("key")[["key", "step"]].to_numpy(np.int64).T)])))
 
     return parted.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, schema)

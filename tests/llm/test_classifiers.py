@@ -121,3 +121,20 @@ def test_toxicity_column_names(spark):
     assert score_toxicity(docs, model).columns == ["doc_id", "score", "predicted"]
     with pytest.raises(ValueError):
         score_toxicity(docs, model, keep=("score",))
+
+
+def test_pairs_of_ordinary_texts_have_steps(spark):
+    """A pair that class 1 never holds is evidence against it; the step is that of the formula."""
+    from math import log
+
+    import numpy as np
+
+    from gradeloom.llm.word_pairs import DISCOUNT, SCALE, pair_keys, steps_of, train_words, word_keys
+
+    rows = spark.createDataFrame([(b"alpha beta", 0)] * 6 + [(b"gamma beta", 1)] * 3 + [(b"alpha gamma", 1)], "raw binary, y int")
+    model = train_words(rows)[0].collect()
+    steps = {k: v for r in model for k, v in zip(*map(np.ndarray.tolist, steps_of(r["data"])), strict=True)}
+    assert sum(r["n"] for r in model) == len(steps)
+    a, b = word_keys(np.array(["alpha", "beta"], object))
+    p0, p1 = (6 - DISCOUNT + DISCOUNT * 6 / 9) / 6, DISCOUNT * 6 / 9 / 3
+    assert steps[int(pair_keys(np.array([a]), np.array([b]))[0])] == round(log(p1 / p0) * SCALE)
