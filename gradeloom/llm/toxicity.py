@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, fetch, join_on, prepare, table
-from .word_pairs import TOPS, train_words, with_words
+from .word_pairs import TOPS, broadcast_steps, train_words, with_words
 
 FEATURES = [f"x{i}" for i in range(2 + len(TOPS))]
 
@@ -48,6 +48,7 @@ def train_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: st
     prepare(spark)
     rows = labelled.select(as_bytes(F.col(text_col)).alias("raw"), F.col(label_col).cast("int").alias("y"), F.coalesce(F.col(fold_col).cast("int"), F.lit(1)).alias("fold")).filter("y in (0, 1)")
     words = train_words(rows.filter("fold <> 0").select("raw", "y"))
+    tables = broadcast_steps(words, broadcast_rows)
 
     def measure(part: pd.DataFrame, found: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame(found, columns=FEATURES).assign(y=part["y"].to_numpy())[["y", *FEATURES]]
@@ -55,9 +56,9 @@ def train_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: st
     held = rows.filter("fold = 0")
     share = min(1.0, calibration_rows / max(1, held.count()))
     held = held.filter(F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < int(share * 1_000_000))
-    x = with_words(held.select(F.col("raw").alias("_raw"), "y"), words, measure, "y int, " + ", ".join(f"{c} double" for c in FEATURES), broadcast_rows)
+    x = with_words(held.select(F.col("raw").alias("_raw"), "y"), words, measure, "y int, " + ", ".join(f"{c} double" for c in FEATURES), tables)
     x = fetch(x).sort_values([*FEATURES, "y"])
-    return words, fit_logistic(x[FEATURES].to_numpy(), x["y"].to_numpy(np.float64)), broadcast_rows
+    return words, fit_logistic(x[FEATURES].to_numpy(), x["y"].to_numpy(np.float64)), tables
 
 
 def score_toxicity(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +67,7 @@ def score_toxicity(docs: DataFrame, model, *, id_col: str = "doc_id", text_col:
     if {"score", "predicted"} & {id_col, *keep}:
         raise ValueError("score and predicted are the names of the result's columns")
     prepare(docs.sparkSession)
-    words, fit, broadcast_rows = model
+    words, fit, tables = model
     rows = docs.select(id_col, *keep, as_bytes(F.col(text_col)).alias("_raw"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", score double, predicted int"
 
@@ -74,7 +75,7 @@ def score_toxicity(docs: DataFrame, model, *, id_col: str = "doc_id", text_col:
         score = score_of(fit, found)
         return part.drop(columns="_raw").assign(score=score, predicted=(score >= 0.5).astype(np.int32))
 
-    return with_words(rows, words, run, schema, broadcast_rows)
+    return with_words(rows, words, run, schema, tables)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

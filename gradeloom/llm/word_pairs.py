@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .repeats import U, mix
 
 ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
@@ -38,7 +38,7 @@ DISCOUNT = 0.9
 #: Steps are kept as whole numbers of 1 / SCALE.
 SCALE = 256
 #: Bytes of text of a chunk, and of counted text for each block of pairs.
-CHUNK, BLOCK = 8 << 20, 32 << 20
+CHUNK, BLOCK = 8 << 20, 16 << 20
 #: Blocks among which words are dealt; more blocks than these part a word's pairs further, by the word before it.
 BY_WORD = 64
 #: Words that are held at a time as Python strings.
@@ -107,6 +107,7 @@ def codes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def count_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """word, n0, n1: in how many of the task's texts of each class a word is."""
+    STEPS.clear()  # of a model before this one
     held = [Counter(), Counter()]
 
     def emit() -> pd.DataFrame:
@@ -217,7 +218,7 @@ def count_pairs(blocks: int):
                     n[:, y] = 1
                     held.append((code, h, n))
                     size += len(code)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield emit()
                 held, size = [], 0
         if held:
@@ -309,17 +310,21 @@ def train_words(rows: DataFrame) -> tuple[DataFrame, int, dict]:
         keys, values = (np.concatenate(x) for x in zip(*map(steps_of, part["data"]), strict=True))
         return packed_steps(keys, values, blocks).assign(n=lambda x: [int.from_bytes(d[:8], "little") for d in x["data"]])
 
+    letters = materialize(steps.mapInPandas(pack, "slice int, data binary"))
+    n = nodes.agg(F.count_if(c("n0") > 0).alias("b0"), F.count_if(c("n1") > 0).alias("b1")).first()
+    discard(nodes)
     counted = rows.mapInPandas(count_pairs(blocks), "block int, data binary").groupBy("block").applyInPandas(merge_pairs, "block int, word long, data binary, t0 long, t1 long, k0 long, k1 long")
     counted = materialize(counted)
     mine = counted.filter("data is null")
     totals = mine.groupBy("word").agg(*[F.sum(n).alias(n) for n in ("t0", "t1", "k0", "k1")])
+    p = totals.agg(F.count_if(c("t0") > 0).alias("w0"), F.count_if(c("t1") > 0).alias("w1"), F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).first()
     totals = mine.select("block", "word").join(totals, "word") if blocks > BY_WORD else mine.drop("data")
     pairs = counted.filter("data is not null").select("block", "data").groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(pair_steps(blocks), "slice int, data binary")
-    every = steps.mapInPandas(pack, "slice int, data binary").unionByName(pairs)
-    model = materialize(every.groupBy("slice").applyInPandas(merge, "slice int, data binary, n long"))
-    n = nodes.agg(F.count_if(c("n0") > 0).alias("b0"), F.count_if(c("n1") > 0).alias("b1")).first()
-    p = mine.groupBy("word").agg(*[F.sum(n).alias(n) for n in ("t0", "t1", "k0", "k1")])
-    p = p.agg(F.count_if(c("t0") > 0).alias("w0"), F.count_if(c("t1") > 0).alias("w1"), F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).first()
+    pairs = materialize(pairs)
+    discard(counted)
+    model = materialize(letters.unionByName(pairs).groupBy("slice").applyInPandas(merge, "slice int, data binary, n long"))
+    discard(letters)
+    discard(pairs)
     return model, model.agg(F.sum("n")).first()[0] or 0, {(0, y): (p[f"w{y}"], n[f"b{y}"], p[f"k{y}"] or 0) for y in (0, 1)}
 
 
@@ -361,7 +366,7 @@ class Steps:
         """Keys and log ratios of different words; a bounded number of them is kept for the next batch."""
         known = self.known
         if new := [w for w in words if w not in known]:
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
                 new = list(words)
             for lo in range(0, len(new), MANY):
@@ -436,15 +441,22 @@ def evidence(raws: list[bytes], steps: Steps) -> np.ndarray:
     return out
 
 
-def with_words(rows: DataFrame, words: tuple[DataFrame, int, dict], run, schema: str, broadcast_rows: int = 24_000_000) -> DataFrame:
-    """run(part, evidence) of rows, which have _raw. Up to broadcast_rows steps (10 bytes each) are broadcast and rows stay where they are; more are
-    joined with the keys that chunks of rows ask for."""
+def broadcast_steps(words: tuple[DataFrame, int, dict], broadcast_rows: int = 24_000_000) -> list | None:
+    """The steps (10 bytes each) as one broadcast a slice, for all their readers; None if there are more than broadcast_rows."""
     model, n, _ = words
-    spark = rows.sparkSession
-    if n <= broadcast_rows:
-        tables = []
-        for r in model.select("slice").orderBy("slice").collect():  # the driver holds a slice at a time
-            tables += [spark.sparkContext.broadcast(Slice(d)) for d in model.filter(F.col("slice") == r["slice"]).select("data").toArrow()["data"].to_pylist()]
+    if n > broadcast_rows:
+        return None
+    tables = []
+    for r in model.select("slice").orderBy("slice").collect():  # the driver holds a slice at a time
+        tables += [model.sparkSession.sparkContext.broadcast(Slice(d)) for d in model.filter(F.col("slice") == r["slice"]).select("data").toArrow()["data"].to_pylist()]
+    return tables
+
+
+def with_words(rows: DataFrame, words: tuple[DataFrame, int, dict], run, schema: str, tables: list | None) -> DataFrame:
+    """run(part, evidence) of rows, which have _raw. With tables, from ``broadcast_steps``, rows stay where they are; else the steps are
+    joined with the keys that chunks of rows ask for."""
+    model = words[0]
+    if tables is not None:
         number = tables[0]._jbroadcast.id() if tables else -1
 
         def score_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

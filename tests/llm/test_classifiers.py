@@ -1,8 +1,13 @@
+import glob
+import os
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.llm import word_pairs
+from gradeloom.llm.common import materialize
 from gradeloom.llm.langid import identify, third, train_language_model
 from gradeloom.llm.toxicity import score_toxicity, train_toxicity
 
@@ -138,3 +143,22 @@ def test_pairs_of_ordinary_texts_have_steps(spark):
     a, b = word_keys(np.array(["alpha", "beta"], object))
     p0, p1 = (6 - DISCOUNT + DISCOUNT * 6 / 9) / 6, DISCOUNT * 6 / 9 / 3
     assert steps[int(pair_keys(np.array([a]), np.array([b]))[0])] == round(log(p1 / p0) * SCALE)
+
+
+def test_toxicity_leaves_the_model_alone_on_disk(spark, monkeypatch):
+    """Neither the tables in between nor the shuffles of what is written stay."""
+    held, kept = word_pairs.materialize, []
+    monkeypatch.setattr(word_pairs, "materialize", lambda *a, **k: kept.append(held(*a, **k)) or kept[-1])
+    rows = spark.createDataFrame([("aa bb cc", 0), ("bb dd", 1), ("aa dd", 1)], "raw string, y int").withColumn("raw", F.col("raw").cast("binary"))
+    model, n, _ = word_pairs.train_words(rows)
+    there = [df for df in kept if all(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())]
+    assert there == [model] and len(kept) > 2 and model.count() > 0 and n > 0
+
+
+def test_shuffles_of_written_tables_leave_the_disk(spark):
+    def shuffled():
+        return {f for folder in glob.glob(f"{tempfile.gettempdir()}/blockmgr-*") for f in glob.glob(f"{folder}/*/shuffle_*.data")}
+
+    before = shuffled()
+    rows = materialize(spark.range(10_000).groupBy((F.col("id") % 5000).alias("k")).count())
+    assert rows.count() == 5000 and not {f for f in shuffled() - before if os.path.getsize(f) > 2000}
