@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, prepare, table
+from .common import as_bytes, lean, materialize, prepare, table
 
 #: One byte to one: A-Z lowered, digits, a-z and bytes from 0x80 kept, all else a blank.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -230,13 +230,13 @@ def contaminated_words(
         """Of block k: the digest if it is the only one, else its spans and, with the first block, all rows."""
         items = bench.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).collect()  # bounded by block_words, or one item
         block = spark.sparkContext.broadcast(make_blocks(sorted((r["item"], bytes(r["raw"])) for r in items), window, shingle, 0))
-        found = materialize(rows.mapInPandas(find_shingles(block), ids + ", n_words long, hit_at array<int>, hit_shingle array<long>"))
+        found = materialize(rows.mapInPandas(lean(find_shingles(block)), ids + ", n_words long, hit_at array<int>, hit_shingle array<long>"))
         seen = found.select(F.explode(F.array_distinct("hit_shingle")).alias("s")).groupBy("s").count()
         rarity = spark.sparkContext.broadcast({r["s"]: r["count"] for r in seen.collect()})  # of the block's shingles only
         join = join_windows(block, rarity, shingle)
         if n_blocks == 1:
-            return found.mapInPandas(joined_digest(join), f"{ids}, {whole}")
-        out = found.mapInPandas(join, f"{ids}, n_words long, {spans}")
+            return found.mapInPandas(lean(joined_digest(join)), f"{ids}, {whole}")
+        out = found.mapInPandas(lean(join), f"{ids}, n_words long, {spans}")
         out = materialize(out if k == 0 else out.filter(F.size("span_from") > 0))
         block.destroy()
         rarity.destroy()
@@ -248,7 +248,7 @@ def contaminated_words(
     else:
         put = lambda c: F.flatten(F.collect_list(c)).alias(c)
         together = reduce(DataFrame.unionByName, passes).groupBy("_no").agg(put("span_from"), put("span_to"), F.array_sort(F.array_distinct(put("items"))).alias("items"))
-        out = passes[0].select("_row", "_no", "n_words").join(together, "_no").drop("_no").mapInPandas(digest, f"_row {kind}, {whole}")
+        out = passes[0].select("_row", "_no", "n_words").join(together, "_no").drop("_no").mapInPandas(lean(digest), f"_row {kind}, {whole}")
     return out.withColumnRenamed("_row", id_col).withColumn("contaminated", F.col("n_hit") > 0)
 
 

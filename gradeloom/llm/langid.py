@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fetch, letters, prepare, table
+from .common import as_bytes, fetch, lean, letters, prepare, table
 
 BITS = 15
 WIDTHS = (2, 3, 4)
@@ -142,7 +142,7 @@ def train_language_model(labelled: DataFrame, *, text_col: str = "text", lang_co
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit((1 << 62) * min(texts_a_language, n) // n))])
     rows = rows.filter(F.shiftrightunsigned("seed", 2) < share[F.col("lang")]).dropDuplicates(["lang", "seed"])
-    found = rows.select("lang", "seed", as_bytes(F.col("text")).alias("raw")).mapInPandas(examples, "lang string, seed long, kind int, bucket array<int>, weight array<float>")
+    found = rows.select("lang", "seed", as_bytes(F.col("text")).alias("raw")).mapInPandas(lean(examples), "lang string, seed long, kind int, bucket array<int>, weight array<float>")
     found = fetch(found)
     found = found.sort_values(["seed", "lang", "kind"])
     number = {x: i for i, x in enumerate(languages)}
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", k
             part["lang_pred"], part["score"], part["rejected"] = pred, score, ~ok | (pred == "und") | (score < m.reject_below)
             yield part
 
-    return base.mapInPandas(run, schema)
+    return base.mapInPandas(lean(run), schema)
 
 
 def third(id_col: str = "doc_id"):

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, only_near, partitions, prepare, table
+from .common import as_bytes, lean, materialize, only_near, partitions, prepare, table
 from .repeats import Hashes, U, mix, word_symbols
 
 WIDTH = 5
@@ -239,7 +239,7 @@ def verified(rows: DataFrame, firsts: DataFrame, edges: DataFrame, least: float,
     texts = texts_of(rows, firsts, roles.select("_t").distinct())
     groups = texts.join(roles, "_t").select("_a", "_salt", "lead", "_b", "raw")
     groups = groups.repartition(partitions(spark), "_a", "_salt").sortWithinPartitions("_a", "_salt", F.desc("lead"))
-    return groups.mapInPandas(alike(least), "_a long, _b long")
+    return groups.mapInPandas(lean(alike(least)), "_a long, _b long")
 
 
 def named_texts(rows: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     raw = as_bytes(F.col(text_col))
     rows = docs.select(F.unhex(F.md5(raw)).alias("_m"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), raw.alias("raw"))
     rows, firsts = named_texts(rows, name_bits)
-    signed = materialize(rows.select("_t", "raw").mapInPandas(sign, "_t long, signature binary, bands array<long>"))
+    signed = materialize(rows.select("_t", "raw").mapInPandas(lean(sign), "_t long, signature binary, bands array<long>"))
     firsts_of = firsts.select("_t", "_d")
     banded = signed.select("_t", F.posexplode("bands").alias("place", "band")).withColumn("place", F.col("place").cast("short"))
     shared = materialize(banded.groupBy("band").agg(F.min("_t").alias("_a"), F.max("_t").alias("z")).filter("_a < z").select("band", "_a"), narrow=True)
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         def compared(placed: DataFrame, texts: bool, schema: str) -> DataFrame:
             dealt = placed.join(known, "_t").repartition(partitions(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j")
             columns = ["band", "i", "j", "_t", "label", "side", "signature", "places"] + ["raw"] * texts
-            return materialize(dealt.select(columns).mapInPandas(compare_blocks(least, texts), schema))
+            return materialize(dealt.select(columns).mapInPandas(lean(compare_blocks(least, texts)), schema))
 
         near = compared(placed, False, schema)
         if near.limit(1).count():

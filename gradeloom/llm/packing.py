@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, prepare, table
+from .common import as_bytes, lean, materialize, prepare, table
 from .tokens import Encoder, encoder, tokenizer_path, with_end
 
 
@@ -103,7 +103,7 @@ def pack_best_fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_row"), as_bytes(F.col(text_col)).alias("raw"))
-    pieces = materialize(rows.mapInPandas(cut_pieces(path, size, end_id, keep_pieces), f"_row {kind}, piece int, start long, length long, ids_crc32 long"))
+    pieces = materialize(rows.mapInPandas(lean(cut_pieces(path, size, end_id, keep_pieces)), f"_row {kind}, piece int, start long, length long, ids_crc32 long"))
 
     # Ranks within a length: numbered within (length, salt), so that a common length is dealt to many tasks.
     fields = ["_row", "piece", "start", "ids_crc32"]
@@ -119,7 +119,7 @@ def pack_best_fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     plan = np.array(sorted(sweeps(dict(totals), size)) or [(0, 0, 0, 0, 0)], np.int64)  # at most a few ranges for each pair of length and gap
     plan = spark.sparkContext.broadcast((plan[:, 0] << 44 | plan[:, 1], plan[:, 1], plan[:, 3], plan[:, 4]))
-    out = ranked.mapInPandas(place(plan), f"_row {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.mapInPandas(lean(place(plan)), f"_row {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("_row", id_col)
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table
 from .repeats import covered, repeated_spans, with_keys, with_spans, word_names
 
 
@@ -51,7 +51,7 @@ def remove_copied_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     spans = repeated_spans(rows, word_names, size, seed, first_stays=True, name_bits=name_bits)
     joined = with_spans(rows, spans).select("_id", "raw", "lo", "hi")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInPandas(cut(texts), f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    out = joined.mapInPandas(lean(cut(texts)), f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
     return out.withColumnRenamed("_id", id_col)
 
 
