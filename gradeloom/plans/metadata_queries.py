@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import avg_rank, corr
 from ..operators import metadata as m
 from ..sources.publish import CheckFailed, publish, publish_default, read_current
-from ..sources.tables import matrix_rows, read_csv, registry, require, shared_folder, table, to_wide, write_csv
+from ..sources.tables import matrix_rows, read_written_csv, registry, require, shared_folder, table, to_wide, write_csv
 from ..streaming.rebuild import current, rebuild_stream
 from .base import GOLD, RANKED, SCORED, documents, gold, query, scored
 from .metric_queries import r6
@@ -231,9 +231,9 @@ def win15(spark, d):
 
 @query("src1_csv_round_trip", "SELECT doc_id, sha256(text) AS digest, lang, n_chars FROM documents")
 def src1(spark, d):
-    """Documents written as CSV, with line breaks and quotes in texts, and read back by a given schema."""
+    """Documents written as CSV, with line breaks and quotes in texts, and read back by a given schema; nulls and empty texts stay apart."""
     docs = documents(spark, d).select("doc_id", "text", "lang", "n_chars")
-    back = read_csv(spark, write_csv(docs), docs.schema)
+    back = read_written_csv(spark, write_csv(docs), docs.schema)
     return back.select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "n_chars")
 
 

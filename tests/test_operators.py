@@ -132,6 +132,15 @@ def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
     assert sorted(map(tuple, to_wide(to_long(wide, ["id"], ["a", "b"]), ["id"], ["a", "b"], value="y").collect())) == [(1, 0.1, 0.2), (2, None, 0.4)]
 
 
+def test_written_csv_keeps_every_text(spark):
+    from gradeloom.sources.tables import read_written_csv, write_csv
+
+    texts = [None, "", " ", "\\N", "\\", "\\b", "\\0", 'a"\0"b', "\0", '"', "\r\n", "a\rb", '",\n"', " a ", "\ufeff#"]
+    rows = [(i, t, u) for i, (t, u) in enumerate((t, u) for t in texts for u in texts)] + [(None, "x", None)]
+    df = frame(spark, rows, "i int, t string, u string")
+    assert set(map(tuple, read_written_csv(spark, write_csv(df), df.schema).collect())) == set(rows)
+
+
 def test_numbers_within_ranges(spark):
     from gradeloom.functions.ranks import numbered
 
