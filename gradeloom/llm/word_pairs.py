@@ -315,11 +315,11 @@ def train_words(rows: DataFrame) -> tuple[DataFrame, int, dict]:
     discard(nodes)
     counted = rows.mapInPandas(count_pairs(blocks), "block int, data binary").groupBy("block").applyInPandas(merge_pairs, "block int, word long, data binary, t0 long, t1 long, k0 long, k1 long")
     counted = materialize(counted)
-    mine = counted.filter("data is null")
+    mine = counted.filter("data is null").withColumnRenamed("block", "place")  # its own name, as it meets the table it comes from again
     totals = mine.groupBy("word").agg(*[F.sum(n).alias(n) for n in ("t0", "t1", "k0", "k1")])
     p = totals.agg(F.count_if(c("t0") > 0).alias("w0"), F.count_if(c("t1") > 0).alias("w1"), F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).first()
-    totals = mine.select("block", "word").join(totals, "word") if blocks > BY_WORD else mine.drop("data")
-    pairs = counted.filter("data is not null").select("block", "data").groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(pair_steps(blocks), "slice int, data binary")
+    totals = mine.select("place", "word").join(totals, "word") if blocks > BY_WORD else mine.drop("data")
+    pairs = counted.filter("data is not null").select("block", "data").groupBy("block").cogroup(totals.groupBy("place")).applyInPandas(pair_steps(blocks), "slice int, data binary")
     pairs = materialize(pairs)
     discard(counted)
     model = materialize(letters.unionByName(pairs).groupBy("slice").applyInPandas(merge, "slice int, data binary, n long"))

@@ -119,6 +119,20 @@ def test_toxicity_by_joined_table_equals_broadcast(spark):
     assert got[0] == got[1] and len(got[0]) == len(rows)
 
 
+def test_toxicity_with_words_in_many_blocks(spark, monkeypatch):
+    """A word's pairs are parted among blocks when there are many of them; the scores are the same."""
+    from gradeloom.llm import word_pairs
+
+    rows = [(i, t + " vermin" * (i % 3 == 0), int(i % 3 == 0), i % 5) for i, t, _ in texts(200, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold int")
+    few = sorted(map(repr, score_toxicity(docs, train_toxicity(docs)).collect()))
+    size = sum(len(t.encode()) for _, t, _, fold in rows if fold)
+    monkeypatch.setattr(word_pairs, "BLOCK", size // (4 * word_pairs.BY_WORD) + 1)
+    model = train_toxicity(docs, broadcast_rows=0)
+    assert model[0][0].count() > word_pairs.BY_WORD
+    assert sorted(map(repr, score_toxicity(docs, model).collect())) == few
+
+
 def test_toxicity_column_names(spark):
     """A column named like the result's is ignored unless it is to be kept, which is refused."""
     docs = spark.createDataFrame([(1, "a b", 1, 0, 0.5, 7), (2, "c", 0, 1, 0.1, 8)], "doc_id long, text string, toxic int, fold int, score double, predicted int")
