@@ -11,8 +11,8 @@ classes' counts, to which both classes back off. A step is the log of P_1 / P_0.
 one that no counted text holds is judged by the longest beginning that is known, and such a pair by its word alone.
 
 The steps are rows (key, step). Words' and letters' steps come from joins and groupings; pairs are counted in packed blocks, which need half the
-shuffle, and all of them get their steps there. Steps are kept by slices of their keys. A text is scored with the table at hand if it has at most a given number of rows, which are then broadcast; a larger table is joined
-with the keys that each chunk of texts asks for. Both give the same scores.
+shuffle, and all of them get their steps there. Steps are kept by slices of their keys. A text is scored with the table at hand if it has at most a given number of rows, which are then broadcast; of a larger table,
+each slice meets the keys that chunks of texts ask for, packed, and answers with their steps. Both give the same scores.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ DISCOUNT = 0.9
 SCALE = 256
 #: Bytes of text of a chunk, and of counted text for each block of pairs.
 CHUNK, BLOCK = 8 << 20, 16 << 20
+#: Chunks whose keys of a slice meet in one task.
+CHUNKS = 256
 #: Blocks among which words are dealt; more blocks than these part a word's pairs further, by the word before it.
 BY_WORD = 64
 #: Words that are held at a time as Python strings.
@@ -291,7 +293,7 @@ def pair_steps(slices: int):
 
 
 def train_words(rows: DataFrame) -> tuple[DataFrame, int, dict]:
-    """From raw and y (0 or 1): the steps by slices of their keys (slice, n, data), their number, and for (0, class) the numbers of different words, beginnings and pairs."""
+    """From raw and y (0 or 1): the steps by slices of their keys (slice, n, data, and slices, how many there can be), their number, and for (0, class) the numbers of different words, beginnings and pairs."""
     size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     blocks = max(16, 1 << int(np.ceil(np.log2(max(1, size / BLOCK)))))
     words = rows.mapInPandas(count_words, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -308,7 +310,7 @@ def train_words(rows: DataFrame) -> tuple[DataFrame, int, dict]:
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         keys, values = (np.concatenate(x) for x in zip(*map(steps_of, part["data"]), strict=True))
-        return packed_steps(keys, values, blocks).assign(n=lambda x: [int.from_bytes(d[:8], "little") for d in x["data"]])
+        return packed_steps(keys, values, blocks).assign(n=lambda x: [int.from_bytes(d[:8], "little") for d in x["data"]], slices=blocks)
 
     letters = materialize(steps.mapInPandas(pack, "slice int, data binary"))
     n = nodes.agg(F.count_if(c("n0") > 0).alias("b0"), F.count_if(c("n1") > 0).alias("b1")).first()
@@ -322,7 +324,7 @@ def train_words(rows: DataFrame) -> tuple[DataFrame, int, dict]:
     pairs = counted.filter("data is not null").select("block", "data").groupBy("block").cogroup(totals.groupBy("place")).applyInPandas(pair_steps(blocks), "slice int, data binary")
     pairs = materialize(pairs)
     discard(counted)
-    model = materialize(letters.unionByName(pairs).groupBy("slice").applyInPandas(merge, "slice int, data binary, n long"))
+    model = materialize(letters.unionByName(pairs).groupBy("slice").applyInPandas(merge, "slice int, data binary, n long, slices int"))
     discard(letters)
     discard(pairs)
     return model, model.agg(F.sum("n")).first()[0] or 0, {(0, y): (p[f"w{y}"], n[f"b{y}"], p[f"k{y}"] or 0) for y in (0, 1)}
@@ -453,8 +455,8 @@ def broadcast_steps(words: tuple[DataFrame, int, dict], broadcast_rows: int = 24
 
 
 def with_words(rows: DataFrame, words: tuple[DataFrame, int, dict], run, schema: str, tables: list | None) -> DataFrame:
-    """run(part, evidence) of rows, which have _raw. With tables, from ``broadcast_steps``, rows stay where they are; else the steps are
-    joined with the keys that chunks of rows ask for."""
+    """run(part, evidence) of rows, which have _raw. With tables, from ``broadcast_steps``, rows stay where they are; else slices of
+    steps meet the keys that chunks of rows ask for."""
     model = words[0]
     if tables is not None:
         number = tables[0]._jbroadcast.id() if tables else -1
@@ -472,20 +474,30 @@ def with_words(rows: DataFrame, words: tuple[DataFrame, int, dict], run, schema:
     chunks = 1 + (size or 0) // CHUNK + count // 50_000
     parted = rows.withColumn("_chunk", F.pmod(F.xxhash64(*rows.columns), F.lit(chunks)).cast("int"))
 
-    def ask(part: pd.DataFrame) -> pd.DataFrame:
-        keys = keys_of(part["_raw"].tolist())
-        return pd.DataFrame({"_chunk": np.full(len(keys), part["_chunk"].iloc[0], np.int32), "key": keys})
-
-    asked = parted.groupBy("_chunk").applyInPandas(ask, "_chunk int, key long")
-    def rows_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for keys, steps in map(steps_of, part["data"]):
-                for lo in range(0, len(keys), MANY):
-                    yield pd.DataFrame({"key": keys[lo : lo + MANY], "step": steps[lo : lo + MANY]})
+    one = model.select("slices").first()
+    slices = one["slices"] if one else 1
+    groups = 1 + chunks // CHUNKS
 
-    answers = asked.join(model.select("data").mapInPandas(rows_of, "key long, step short"), "key").select(F.col("_chunk").alias("chunk"), "key", "step")
+    def ask(part: pd.DataFrame) -> pd.DataFrame:
+        keys, chunk = keys_of(part["_raw"].tolist()), int(part["_chunk"].iloc[0])
+        return packed_steps(keys, np.ones(len(keys), np.int16), slices).assign(_chunk=chunk, _group=chunk % groups)
+
+    def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own):
+            known, steps = steps_of(own["data"].iloc[0])
+            for chunk, data in zip(asked["_chunk"], asked["data"], strict=True):
+                keys, _ = steps_of(data)
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                found = known[at] == keys
+                out.append((chunk, int(own["slice"].iloc[0]), slice_bytes(keys[found], steps[at[found]])))
+        return pd.DataFrame(out, columns=["chunk", "slice", "data"])
+
+    asked = parted.groupBy("_chunk").applyInPandas(ask, "_chunk int, _group int, slice int, data binary")
+    shared = model.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"), "slice", "data")
+    answers = asked.groupBy("_group", "slice").cogroup(shared.groupBy("_group", "slice")).applyInPandas(answer, "chunk int, slice int, data binary")
 
     def score(part: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        return run(part.drop(columns="_chunk"), evidence(part["_raw"].tolist(), Steps([tuple(got.sort_values("key")[["key", "step"]].to_numpy(np.int64).T)])))
+        return run(part.drop(columns="_chunk"), evidence(part["_raw"].tolist(), Steps([steps_of(d) for d in got.sort_values("slice")["data"]])))
 
     return parted.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, schema)
